@@ -1,0 +1,24 @@
+"""The operators applied to whole tables: queries opN_<name> and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+from .quality_rules import quality_rules
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+def queries() -> dict:
+    return {
+        "op5_quality_rules": op5_quality_rules,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
