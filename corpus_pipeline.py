@@ -7,18 +7,40 @@ read again as the next one's docs. All but the last return the columns of docume
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from triplespark.llm.common import table, written
+from triplespark.llm.jaccard_join import jaccard_join
+from triplespark.llm.language_id import UNKNOWN, language_id, train_language_id
 from triplespark.llm.quality_rules import quality_rules
 
+#: Least probability of the predicted language.
+LEAST_LANGUAGE = 0.4
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
     return quality_rules(docs).where("kept").select(*docs.columns)
 
 
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents without a letter and those of no clear language."""
+    network = train_language_id(docs, F.col("doc_id"))
+    named = language_id(docs, network)
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of linked documents the one with the smallest id."""
+    groups = jaccard_join(docs)
+    first = groups.where(F.col("component_id") == F.col("doc_id")).select("doc_id")
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+
+
 STAGES = [
     ("quality_rules", keep_quality),
+    ("language_id", keep_language),
+    ("jaccard_join", keep_distinct),
 ]
 
 #: Robust estimates and learned models have no SQL form.

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import part_of, table
+from .jaccard_join import jaccard_join
+from .language_id import language_id, train_language_id
 from .quality_rules import quality_rules
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", part_of("doc_id", 4) == 2)
+    network = train_language_id(docs.where(~F.col("held_out")), F.col("doc_id"))
+    return language_id(docs.select("doc_id", "held_out", "text"), network).drop("text")
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
@@ -16,6 +28,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_language_id": op3_language_id,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_quality_rules": op5_quality_rules,
     }
 
