@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplespark.llm.common import table, written
+from triplespark.llm.decontaminate import decontaminate
 from triplespark.llm.jaccard_join import jaccard_join
 from triplespark.llm.language_id import UNKNOWN, language_id, train_language_id
 from triplespark.llm.quality_rules import quality_rules
+from triplespark.llm.queries import public_model
+from triplespark.llm.sentencepiece import encode
 
 #: Least probability of the predicted language.
 LEAST_LANGUAGE = 0.4
@@ -33,14 +36,27 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the smallest id."""
     groups = jaccard_join(docs)
-    first = groups.where(F.col("component_id") == F.col("doc_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    others = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    held = decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document's pieces."""
+    return encode(docs.select("doc_id", "text"), public_model()).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
 STAGES = [
     ("quality_rules", keep_quality),
     ("language_id", keep_language),
     ("jaccard_join", keep_distinct),
+    ("decontaminate", keep_uncontaminated),
+    ("sentencepiece", encoded),
 ]
 
 #: Robust estimates and learned models have no SQL form.

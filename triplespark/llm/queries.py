@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import part_of, table
+from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
 from .language_id import language_id, train_language_id
 from .quality_rules import quality_rules
+from .sentencepiece import Model, decode, encode, read_model
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +28,32 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def public_model(path: str | None = None) -> Model:
+    """The model file at `path`; by default the public one that this machine's packages bring along."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return read_model(path)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_model()
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("same_text"))
+
+
 def queries() -> dict:
     return {
         "op3_language_id": op3_language_id,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_quality_rules": op5_quality_rules,
+        "op8_decontaminate": op8_decontaminate,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
