@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 
 from .common import part_of, table
 from .decontaminate import decontaminate
+from .html_extract import extract_html
 from .jaccard_join import jaccard_join
 from .language_id import language_id, train_language_id
+from .license_scan import license_scan
 from .quality_rules import quality_rules
 from .sentencepiece import Model, decode, encode, read_model
+from .url_filters import url_filters
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_html(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,9 +65,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": op1_html_extraction,
+        "op2_license_scan": op2_license_scan,
         "op3_language_id": op3_language_id,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_quality_rules": op5_quality_rules,
+        "op7_url_filters": op7_url_filters,
         "op8_decontaminate": op8_decontaminate,
         "op10_sentencepiece": op10_sentencepiece,
     }
