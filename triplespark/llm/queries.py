@@ -11,6 +11,8 @@ from .html_extract import extract_html
 from .jaccard_join import jaccard_join
 from .language_id import language_id, train_language_id
 from .license_scan import license_scan
+from .lm_score import lm_score
+from .quality_classifier import quality_classifier, train_quality
 from .quality_rules import quality_rules
 from .sentencepiece import Model, decode, encode, read_model
 from .url_filters import url_filters
@@ -40,6 +42,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (part_of("doc_id", 10) == 0).alias("held_out"), "text")
+    return lm_score(docs, ~F.col("held_out"), keep_text=False)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -48,6 +55,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_quality(docs, labels.where(part_of("doc_id", 3) != 1))
+    return quality_classifier(docs.select("doc_id", (part_of("doc_id", 3) == 1).alias("held_out"), "text"), model).drop("text")
+
+
 def public_model(path: str | None = None) -> Model:
     """The model file at `path`; by default the public one that this machine's packages bring along."""
     if path is None:
@@ -70,8 +83,10 @@ def queries() -> dict:
         "op3_language_id": op3_language_id,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_quality_rules": op5_quality_rules,
+        "op6_lm_score": op6_lm_score,
         "op7_url_filters": op7_url_filters,
         "op8_decontaminate": op8_decontaminate,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
