@@ -28,6 +28,9 @@ SPACE = "\u2581"
 UNITS = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
 #: Share of all units from which on a unit is broadcast: at most 1 / HEAD units.
 HEAD = 1e-6
+#: Units of a partition while their edges are grouped, and the most partitions.
+UNITS_EACH = 20_000
+MOST_PARTS = 100_000
 #: Score of a character without a piece, below the model's least score.
 PENALTY = 10.0
 
@@ -155,8 +158,10 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids")
     docs = docs.drop(*[c for c in (ids, "_t1", "_t2") if c != text])
     units = docs.select(F.explode(F.regexp_extract_all(_escaped(F.col(text), model), F.lit(UNITS), F.lit(0))).alias("unit"))
     counted = written(units.groupBy("unit").agg(F.count("*").alias("c")), "units")
-    total = counted.agg(F.sum("c")).first()[0] or 0
-    lexicon = written(counted.select("unit").repartition("unit").transform(segment, model).join(counted, "unit"), "lexicon")
+    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # Small partitions, so that the edges of each are grouped in memory.
+    parts_n = max(1, min(MOST_PARTS, distinct // UNITS_EACH))
+    lexicon = written(segment(counted.select("unit").repartition(parts_n, "unit"), model).join(counted, "unit"), "lexicon")
     head = spark.sparkContext.broadcast({r["unit"]: list(r["ids"]) for r in lexicon.where(F.col("c") >= HEAD * total).toLocalIterator()})
     prefix = SPACE if model.prefix else ""
 
