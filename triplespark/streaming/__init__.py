@@ -1,0 +1 @@
+"""Graphs are batch tables; a stream of changes is applied by calling `operators.update.apply_changelog` from `foreachBatch`."""
