@@ -12,23 +12,29 @@ filled; a set with fewer also emits its empty ones.
 Exact copies are one class from the start, and each class is one vertex. A bucket of classes
 with the same signature is a star around its smallest class; what the star leaves in different
 components is compared pair by pair within the bucket, so no link between different components
-is lost, and a bucket that is one component by then emits no pair.
+is lost, and a bucket that is one component by then emits no pair. Pairs whose sketches differ in
+more bits than similar sets may differ in features are dropped within the join; that bound is
+exact, so it drops no link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 PERCENT = 85
 WIDTH = 4
+#: Words of 64 bits in a set's sketch.
+SKETCH = 16
+_WORDS = [f"k{i}" for i in range(SKETCH)]
 
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -87,19 +93,29 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     if not len(features):
         return np.empty(0, np.int64)
     found, own = [], bands.band(len(features))
+    place, content = _mix(features ^ _P[1]), _mix(features ^ _P[2])
     for band in (own, own + 1):
         k, n = bands.partitions(band)
-        part = (_mix(features ^ _P[1]) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        p = part[order]
-        starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-        sums = np.add.reduceat(_mix(features ^ _P[2])[order], starts)
+        part = (place % np.uint64(n)).astype(np.int64)
+        sums = np.zeros(n, np.uint64)
+        np.add.at(sums, part, content)
+        filled = np.flatnonzero(np.bincount(part, minlength=n))
         tag = np.uint64((band + 1) * 0x9E3779B9)
-        found.append(_mix(sums + _mix(p[starts].astype(np.uint64) * _P[3] + tag)))
-        if len(starts) <= k:  # too few filled partitions: the empty ones count as well
-            empty = np.setdiff1d(np.arange(n), p[starts]).astype(np.uint64)
+        found.append(_mix(sums[filled] + _mix(filled.astype(np.uint64) * _P[3] + tag)))
+        if len(filled) <= k:  # too few filled partitions: the empty ones count as well
+            empty = np.setdiff1d(np.arange(n), filled).astype(np.uint64)
             found.append(_mix(_mix(empty * _P[4] + tag) + _P[5]))
-    return np.unique(np.concatenate(found)).view(np.int64)
+    return np.concatenate(found).view(np.int64)
+
+
+def sketch(features: np.ndarray) -> np.ndarray:
+    """SKETCH words of 64 bits: the parity of the features that hash to each bit.
+
+    A feature that only one of two sets has flips one bit, so the sketches of two sets differ in
+    no more bits than the sets do in features.
+    """
+    bits = np.bincount((_mix(features ^ _P[0]) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def set_hash(features: np.ndarray) -> tuple[int, int]:
@@ -128,16 +144,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def _described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, n_shingles, h1, h2 for each row."""
+    """key, n_shingles, h1, h2 and the sketch for each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(x if isinstance(x, str) else None, width) for x in batch[text]]
             h = [set_hash(s) for s in sets]
-            yield pd.DataFrame({key: batch[key], "n_shingles": [len(s) for s in sets], "h1": [x[0] for x in h], "h2": [x[1] for x in h]})
+            words = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), SKETCH)
+            yield pd.DataFrame({key: batch[key], "n_shingles": [len(s) for s in sets], "h1": [x[0] for x in h], "h2": [x[1] for x in h], **dict(zip(_WORDS, words.T))})
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_shingles long, h1 long, h2 long")
+    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_shingles long, h1 long, h2 long, {', '.join(f'{k} long' for k in _WORDS)}")
 
 
 def _signed(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
@@ -161,13 +178,22 @@ def _signed(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     return docs.select(text).mapInPandas(run, "sig long, h1 long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of h1, those whose documents reach the threshold, as pairs of class ids."""
-    named = classes.select("h1", "class_id", "n")
-    wanted = pairs.join(named.toDF("a", "class_a", "n_a"), "a").join(named.toDF("b", "class_b", "n_b"), "b")
-    wanted = wanted.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("class_a") != F.col("class_b")))
+def _near(percent: int) -> Column:
+    """Whether the sizes and sketches of a pair (columns ending in _a and _b) allow a link."""
+    both = F.col("n_a") + F.col("n_b")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in _WORDS])
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * apart <= (100 - percent) * both)
+
+
+def _sided(rows: DataFrame, side: str) -> DataFrame:
+    """`rows` with their columns, but sig and lead, named for one side of a pair."""
+    return rows.select(*[F.col(c).alias(c if c in ("sig", "lead") else f"{c}_{side}") for c in rows.columns])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those whose documents reach the threshold."""
     texts = docs.select(F.col(key), F.col(text).alias("t"))
-    both = wanted.select("class_a", "class_b").join(texts.toDF("class_a", "text_a"), "class_a").join(texts.toDF("class_b", "text_b"), "class_b")
+    both = pairs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")).join(texts.toDF("class_a", "text_a"), "class_a").join(texts.toDF("class_b", "text_b"), "class_b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,25 +223,26 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     docs = docs.select(key, text)
     described = written(_described(docs, key, text, width), "sets")
     filled = described.where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
-    classes = written(filled.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min(key).alias("class_id")), "classes")
+    classes = written(filled.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min(key).alias("class_id"), *[F.first(k).alias(k) for k in _WORDS]), "classes")
+    known = classes.select("h1", "class_id", "n", *_WORDS)
     # Dealt once by signature: the leaders and their members are found in the same stage, streaming.
     signed = _signed(docs.where(F.col(key).isNotNull()), text, width, percent).repartition("sig")
     leaders = signed.groupBy("sig").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where("lead <> last")
-    members = written(signed.join(leaders.select("sig", "lead"), "sig"), "buckets")
-    star = members.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")).distinct()
-    linked = written(_verified(star, classes, docs, key, text, width, percent), "links")
+    members = written(signed.join(leaders.select("sig", "lead"), "sig").distinct(), "buckets")
+    star = members.where("h1 <> lead").select(F.col("lead").alias("h1_a"), F.col("h1").alias("h1_b")).distinct()
+    star = star.join(_sided(known, "a"), "h1_a").join(_sided(known, "b"), "h1_b").where(_near(percent) & (F.col("class_id_a") != F.col("class_id_b")))
+    tried = written(star.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")), "pairs")
+    linked = written(_verified(tried, docs, key, text, width, percent), "links")
     components = connected_components(linked)
     # What a bucket still has in several components is compared across them.
-    owner = classes.select("h1", "class_id").join(components.withColumnRenamed("node", "class_id"), "class_id", "left")
-    owner = owner.select("h1", F.coalesce("component", "class_id").alias("comp"))
-    placed = members.select("sig", "lead", "h1").distinct().join(owner, "h1")
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    rest = written(placed.join(mixed, "sig", "left_semi"), "mixed")
-    sides = rest.where("h1 <> lead")
-    across = sides.select("sig", F.col("h1").alias("a"), F.col("comp").alias("ca")).join(sides.select("sig", F.col("h1").alias("b"), F.col("comp").alias("cb")), "sig")
-    across = across.where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(star, ["a", "b"], "left_anti")
-    more = written(_verified(across, classes, docs, key, text, width, percent), "links")
+    owner = known.join(components.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    placed = members.join(owner.select("h1", "component"), "h1")
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    rest = written(members.where("h1 <> lead").join(mixed, "sig", "left_semi").select("sig", "h1").join(owner, "h1").drop("h1"), "mixed")
+    left, right = _sided(rest, "a"), _sided(rest, "b")
+    across = left.join(right, (left["sig"] == right["sig"]) & (F.col("component_a") < F.col("component_b")) & _near(percent))
+    across = across.select(F.least("class_id_a", "class_id_b").alias("a"), F.greatest("class_id_a", "class_id_b").alias("b")).distinct()
+    more = written(_verified(across, docs, key, text, width, percent), "links")
     if not more.isEmpty():
         components = connected_components(linked.union(more))
     ids = classes.join(components.withColumnRenamed("node", "class_id"), "class_id", "left").select("h1", "h2", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"))
