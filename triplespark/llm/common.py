@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The white space that ends a word: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -53,3 +57,24 @@ def without(c: Column, characters: str) -> Column:
     for x in characters:
         c = F.replace(c, F.lit(x))
     return c
+
+
+def map_batches(docs: DataFrame, passed: list[str], inputs: list[str], added: list[T.StructField], start: Callable[[], Callable[..., list[list]]]) -> DataFrame:
+    """The columns `passed` as they are, and `added` ones worked out from `inputs`, batch by batch.
+
+    `start` is called once for each task and gives a function from lists of the inputs' values to
+    lists of the added columns' values. Passed columns stay in Arrow, so nulls and large integers
+    keep their values.
+    """
+    fields = [docs.schema[c] for c in passed]
+    schema = T.StructType([*fields, *added])
+    kinds = [to_arrow_type(f.dataType) for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            made = work(*[batch.column(c).to_pylist() for c in inputs])
+            arrays = [batch.column(c) for c in passed] + [pa.array(v, k) for v, k in zip(made, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
+
+    return docs.select(*dict.fromkeys([*passed, *inputs])).mapInArrow(run, schema)

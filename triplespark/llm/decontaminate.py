@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Edits allowed for each character of an item.
 BUDGET = 0.05
@@ -131,20 +133,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block))
-    kinds = dict(docs.dtypes)[key], dict(benchmark.dtypes)[item]
-    schema = f"`{key}` {kinds[0]}, item_id {kinds[1]}, distance long, end long"
+    schema = T.StructType([docs.schema[key], T.StructField("item_id", benchmark.schema[item].dataType), T.StructField("distance", T.LongType()), T.StructField("end", T.LongType())])
+    arrow = to_arrow_schema(schema)
     docs = docs.select(key, text)
     out = None
     for n in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).orderBy("item", "text")
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = Items(shared.value, budget)
             for batch in batches:
-                rows = [(k, *m) for k, t in zip(batch[key], batch[text]) for m in known.matches(t)]
-                yield pd.DataFrame(rows, columns=[key, "item_id", "distance", "end"])
+                rows = [(k, *m) for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()) for m in known.matches(t)]
+                columns = list(zip(*rows)) or [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-        found = docs.mapInPandas(search, schema)
+        found = docs.mapInArrow(search, schema)
         out = found if out is None else out.union(found)
     return out

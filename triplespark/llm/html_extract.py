@@ -8,13 +8,13 @@ is kept with those of its siblings that score well or read like prose.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -201,11 +201,5 @@ def extract_html(pages: DataFrame, html: str = "html", text: str = "text") -> Da
     is one space; blocks come in page order, joined by line feeds. A column of `pages` named
     like `text` is replaced; repeated rows are extracted each.
     """
-    others = [c for c in pages.columns if c not in (html, text)]
-    fields = [f for f in pages.schema.fields if f.name in others]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[others].assign(**{text: [main_text(x) for x in batch[html]]})
-
-    return pages.select(*others, html).mapInPandas(run, T.StructType([*fields, T.StructField(text, T.StringType())]))
+    passed = [c for c in pages.columns if c not in (html, text)]
+    return map_batches(pages, passed, [html], [T.StructField(text, T.StringType())], lambda: lambda sources: [[main_text(x) for x in sources]])

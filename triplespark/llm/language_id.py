@@ -10,12 +10,13 @@ width w is a table of responses by place and byte, so that applying it is lookin
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import map_batches
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -180,15 +181,11 @@ def language_id(docs: DataFrame, network: ByteNetwork | None, text: str = "text"
     network. Rows are judged each, so repeated rows get equal results. Columns of `docs` named
     lang_pred or score are replaced; all others are passed on.
     """
-    docs = docs.drop(*[c for c in ("lang_pred", "score") if c != text])
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    passed = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         net = shared.value and shared.value.prepare()
-        for batch in batches:
-            texts = [x if isinstance(x, str) else None for x in batch[text]]
-            names, scores = _predict(net, texts) if net else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-            yield batch.assign(lang_pred=names, score=scores)
+        return lambda texts: _predict(net, texts) if net else ([UNKNOWN] * len(texts), [0.0] * len(texts))
 
-    return docs.mapInPandas(judge, schema)
+    return map_batches(docs, passed, [text], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], start)

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 #: Bounds: labelled texts for each label, labels in a sample, dimensions, neighbours.
 PER_LABEL = 1200
 RANK = 48
@@ -98,6 +100,15 @@ class Neighbours:
         return np.clip(out, 0, 1)
 
 
+def _leading(square: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """The leading eigenvectors of a symmetric matrix, by subspace iteration from a fixed start."""
+    basis = np.random.default_rng(3).normal(size=(len(square), rank + 8)).astype(np.float64)
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr(square @ basis)
+    small = basis.T @ square @ basis
+    return (basis @ np.linalg.eigh(small)[1][:, ::-1][:, :rank]).astype(np.float32)
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Neighbours | None:
     """Neighbours from a bounded sample of `labels` (key, label 0 or 1); None if nothing is labelled.
 
@@ -124,8 +135,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     x, y = x[order], rows["y"].to_numpy()[order]
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
     weighted = x * idf
-    values, vectors = np.linalg.eigh(weighted.T @ weighted)
-    basis = vectors[:, ::-1][:, : min(RANK, len(x))].astype(np.float32)
+    basis = _leading(weighted.T @ weighted, min(RANK, len(x)))
     out = Neighbours(idf, basis, np.empty(0), y)
     out.vectors = out.project(x)
     return out
@@ -138,16 +148,19 @@ def quality_classifier(docs: DataFrame, model: Neighbours | None, text: str = "t
     model every score is 0.5. Columns of `docs` named like the added ones are replaced; repeated
     rows get equal scores.
     """
-    docs = docs.drop(*[c for c in ("score", "predicted") if c != text])
+    passed = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         known = shared.value
-        for batch in batches:
+
+        def judge(texts: list[str | None]) -> list[list]:
             scores: list[float] = []
-            for at in range(0, len(batch), BLOCK):
-                x = np.stack([counts(t if isinstance(t, str) else None) for t in batch[text].iloc[at : at + BLOCK]])
+            for at in range(0, len(texts), BLOCK):
+                x = np.stack([counts(t) for t in texts[at : at + BLOCK]])
                 scores.extend(known.scores(x) if known else [0.5] * len(x))
-            yield batch.assign(score=scores, predicted=[int(s >= 0.5) for s in scores])
+            return [scores, [int(s >= 0.5) for s in scores]]
+
+        return judge
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return map_batches(docs, passed, [text], [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], start)

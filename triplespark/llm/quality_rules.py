@@ -165,11 +165,13 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     gives an empty result. Texts are read once; their statistics are kept in the shared folder,
     with the texts only if `keep_text`.
     """
-    docs = docs.drop(*[c for c in ADDED if c not in (text, lang, source)])
+    kept = [c for c in docs.columns if c not in ADDED and (keep_text or c != text)]
+    # The columns travel as one struct, so that none of their names can clash with those in here.
+    row = F.struct(*[F.col(c) for c in kept]) if kept else F.struct(F.lit(0).alias("_"))
     key = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (lang, source)]
-    stats = text_statistics(docs, text).withColumn("base_failed", base_failed())
-    stats = stats.select("*", features().alias("f"), F.concat(F.lit("l:"), key[0]).alias("_gl"), F.concat(F.lit("s:"), key[0], F.lit("\x01"), key[1]).alias("grp"))
-    stats = written(stats if keep_text else stats.drop(text), "stats")
+    grouped = docs.select(row.alias("_row"), F.col(text).alias("_text"), F.concat(F.lit("l:"), key[0]).alias("_gl"), F.concat(F.lit("s:"), key[0], F.lit("\x01"), key[1]).alias("grp"))
+    stats = text_statistics(grouped, "_text").drop("_text").withColumn("base_failed", base_failed()).withColumn("f", features())
+    stats = written(stats, "stats")
     rows = stats.where(~F.col("base_failed")).select("_gl", "grp", "f")
     sizes = rows.groupBy("_gl", "grp").agg(F.count("*").alias("n_s"))
     sizes = sizes.join(rows.groupBy("_gl").agg(F.count("*").alias("n_l")), "_gl")
@@ -177,4 +179,5 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     level = F.when(F.col("n_s") >= least, F.col("grp")).when(F.col("n_l") >= least, F.col("_gl")).otherwise(F.lit("a:"))
     estimates = sizes.select(F.col("grp").alias("key"), level.alias("grp")).join(params, "grp").select(F.col("key").alias("grp"), "m", "inv")
     judged = _with_distance(stats, written(estimates, "mcd"))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True))).drop("_gl", "grp", "f")
+    verdict = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True))
+    return judged.select(*[F.col("_row")[c].alias(c) for c in kept], *ADDED[:-1], verdict.alias("kept"))
