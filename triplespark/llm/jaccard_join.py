@@ -10,9 +10,10 @@ are single partitions). Partitions that are empty carry nothing, as long as more
 filled; a set with fewer also emits its empty ones.
 
 Exact copies are one class from the start, and each class is one vertex. A bucket of classes
-with the same signature is a star around its smallest class; what the star leaves in different
-components is compared pair by pair within the bucket, so no link between different components
-is lost, and a bucket that is one component by then emits no pair. Pairs whose sketches differ in
+with the same signature is a star around one of its classes, in each of several rounds around
+another; what the stars leave in different components is compared pair by pair within the
+bucket, so no link between different components is lost, and a bucket that is one component by
+then emits no pair. Pairs whose sketches differ in
 more bits than similar sets may differ in features are dropped within the join; that bound is
 exact, so it drops no link.
 """
@@ -27,13 +28,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import map_batches, written
 
 PERCENT = 85
 WIDTH = 4
 #: Words of 64 bits in a set's sketch.
 SKETCH = 16
+#: Rounds of stars before what is left is compared pair by pair.
+STARS = 3
 _WORDS = [f"k{i}" for i in range(SKETCH)]
 
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -146,15 +150,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def _described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, n_shingles, h1, h2 and the sketch for each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(x if isinstance(x, str) else None, width) for x in batch[text]]
-            h = [set_hash(s) for s in sets]
-            words = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), SKETCH)
-            yield pd.DataFrame({key: batch[key], "n_shingles": [len(s) for s in sets], "h1": [x[0] for x in h], "h2": [x[1] for x in h], **dict(zip(_WORDS, words.T))})
+    def describe(texts: list[str | None]) -> list[list]:
+        sets = [shingles(x, width) for x in texts]
+        h = [set_hash(x) for x in sets]
+        words = np.array([sketch(x) for x in sets], np.int64).reshape(len(sets), SKETCH)
+        return [[len(x) for x in sets], [x[0] for x in h], [x[1] for x in h], *words.T]
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_shingles long, h1 long, h2 long, {', '.join(f'{k} long' for k in _WORDS)}")
+    fields = [T.StructField(c, T.LongType()) for c in ("n_shingles", "h1", "h2", *_WORDS)]
+    return map_batches(docs, [key], [text], fields, lambda: describe)
 
 
 def _signed(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
@@ -187,12 +190,11 @@ def _near(percent: int) -> Column:
 
 def _sided(rows: DataFrame, side: str) -> DataFrame:
     """`rows` with their columns, but sig and lead, named for one side of a pair."""
-    return rows.select(*[F.col(c).alias(c if c in ("sig", "lead") else f"{c}_{side}") for c in rows.columns])
+    return rows.select(*[F.col(c).alias(c if c == "sig" else f"{c}_{side}") for c in rows.columns])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, those whose documents reach the threshold."""
-    texts = docs.select(F.col(key), F.col(text).alias("t"))
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those whose texts (class_id, t) reach the threshold."""
     both = pairs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")).join(texts.toDF("class_a", "text_a"), "class_a").join(texts.toDF("class_b", "text_b"), "class_b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +209,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int
                 keep.append(100 * both_n >= percent * (len(x) + len(y) - both_n))
             yield batch.loc[keep, ["class_a", "class_b"]].rename(columns={"class_a": "a", "class_b": "b"})
 
-    kind = dict(docs.dtypes)[key]
+    kind = dict(texts.dtypes)["class_id"]
     return both.mapInPandas(run, f"a {kind}, b {kind}")
 
 
@@ -224,27 +226,35 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     described = written(_described(docs, key, text, width), "sets")
     filled = described.where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
     classes = written(filled.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min(key).alias("class_id"), *[F.first(k).alias(k) for k in _WORDS]), "classes")
-    known = classes.select("h1", "class_id", "n", *_WORDS)
+    known = classes.select("h1", "h2", "class_id", "n", *_WORDS)
     # Dealt once by signature: the leaders and their members are found in the same stage, streaming.
     signed = _signed(docs.where(F.col(key).isNotNull()), text, width, percent).repartition("sig")
     leaders = signed.groupBy("sig").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where("lead <> last")
-    members = written(signed.join(leaders.select("sig", "lead"), "sig").distinct(), "buckets")
-    star = members.where("h1 <> lead").select(F.col("lead").alias("h1_a"), F.col("h1").alias("h1_b")).distinct()
-    star = star.join(_sided(known, "a"), "h1_a").join(_sided(known, "b"), "h1_b").where(_near(percent) & (F.col("class_id_a") != F.col("class_id_b")))
-    tried = written(star.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")), "pairs")
-    linked = written(_verified(tried, docs, key, text, width, percent), "links")
-    components = connected_components(linked)
-    # What a bucket still has in several components is compared across them.
-    owner = known.join(components.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    placed = members.join(owner.select("h1", "component"), "h1")
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    rest = written(members.where("h1 <> lead").join(mixed, "sig", "left_semi").select("sig", "h1").join(owner, "h1").drop("h1"), "mixed")
-    left, right = _sided(rest, "a"), _sided(rest, "b")
-    across = left.join(right, (left["sig"] == right["sig"]) & (F.col("component_a") < F.col("component_b")) & _near(percent))
-    across = across.select(F.least("class_id_a", "class_id_b").alias("a"), F.greatest("class_id_a", "class_id_b").alias("b")).distinct()
-    more = written(_verified(across, docs, key, text, width, percent), "links")
-    if not more.isEmpty():
-        components = connected_components(linked.union(more))
-    ids = classes.join(components.withColumnRenamed("node", "class_id"), "class_id", "left").select("h1", "h2", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"))
+    members = written(signed.join(leaders.select("sig"), "sig").distinct(), "buckets")
+    texts = known.join(members.select("h1").distinct(), "h1", "left_semi").select(F.col("class_id").alias(key))
+    texts = written(docs.join(texts, key, "left_semi").select(F.col(key).alias("class_id"), F.col(text).alias("t")), "texts")
+    owner = known.withColumn("component", F.col("class_id"))
+    mixed, linked = members, None
+    for star in range(STARS + 1):
+        rest = written(mixed.join(owner, "h1"), "mixed")
+        if rest.isEmpty():
+            break
+        left, right = _sided(rest, "a"), _sided(rest, "b")
+        if star < STARS:  # each bucket is a star around one of its classes, another one each time
+            lead = rest.groupBy("sig").agg(F.min_by("h1", F.xxhash64("h1", F.lit(star))).alias("lead"))
+            left = left.join(lead, (left["sig"] == lead["sig"]) & (F.col("h1_a") == F.col("lead"))).select(left["sig"], *[c for c in left.columns if c != "sig"])
+            apart = F.col("component_a") != F.col("component_b")
+        else:  # what is left in different components is compared within its buckets
+            apart = F.col("component_a") < F.col("component_b")
+        pairs = left.join(right, (left["sig"] == right["sig"]) & apart & _near(percent))
+        pairs = pairs.select(F.least("class_id_a", "class_id_b").alias("a"), F.greatest("class_id_a", "class_id_b").alias("b")).distinct()
+        found = _verified(written(pairs, "pairs"), texts, width, percent)
+        linked = written(found if linked is None else linked.unionByName(found), "links")
+        components = connected_components(linked)
+        owner = known.join(components.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        placed = mixed.join(owner.select("h1", "component"), "h1")
+        several = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+        mixed = written(mixed.join(several, "sig", "left_semi"), "buckets")
+    ids = owner.select("h1", "h2", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     out = described.join(ids, ["h1", "h2", "n_shingles"], "left")
     return out.select(key, "n_shingles", F.coalesce("component_id", F.col(key)).alias("component_id"))
