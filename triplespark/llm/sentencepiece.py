@@ -12,6 +12,7 @@ broadcast; all others come to their texts by joins.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import map_batches, written
 
 SPACE = "\u2581"
 #: No piece crosses the start of a word's spaces or a line feed.
@@ -31,6 +32,8 @@ HEAD = 1e-6
 #: Units of a partition while their edges are grouped, and the most partitions.
 UNITS_EACH = 20_000
 MOST_PARTS = 100_000
+#: Characters of the longest unit whose lattice is folded.
+LONG = 100
 #: Score of a character without a piece, below the model's least score.
 PENALTY = 10.0
 
@@ -74,7 +77,7 @@ def _escaped(text: Column, model: Model) -> Column:
 def _edges(units: DataFrame, model: Model) -> DataFrame:
     """unit, n (its characters) and edges (start from 1, length, id, score) in order, for each row of `units`."""
     spark = units.sparkSession
-    usable = [(p, i, float(s)) for i, (p, s) in enumerate(zip(model.pieces, model.scores)) if i not in model.hidden and i not in model.bytes.values()]
+    usable = _usable(model)
     longest = max((len(p) for p, _, _ in usable), default=1)
     # The empty string finds an edge of its own in each unit, so that units without a piece stay.
     table = F.broadcast(spark.createDataFrame([("", -1, 0.0), *usable], "piece string, id int, score double"))
@@ -122,8 +125,77 @@ def _best_path(least: float) -> tuple[Column, Column]:
     return best, path
 
 
+def _long_ids(unit: str, model: Model, known: dict[str, int], longest: int) -> list[int]:
+    """The ids of a unit of any length: the same merges from a heap, or the same best path position by position."""
+    n = len(unit)
+    if model.bpe:
+        after, before, end = list(range(1, n + 1)), list(range(-1, n)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = after[a]
+            if b < n and (i := known.get(unit[a : end[b]])) is not None:
+                heapq.heappush(heap, (-model.scores[i], a, end[b]))
+
+        for a in range(n - 1):
+            offer(a)
+        while heap:
+            _, a, stop = heapq.heappop(heap)
+            b = after[a] if end[a] else n
+            if end[a] and b < n and end[b] == stop:  # both halves are still what they were
+                end[a], end[b], after[a] = stop, 0, after[b]
+                if after[a] < n:
+                    before[after[a]] = a
+                offer(a)
+                if before[a] >= 0:
+                    offer(before[a])
+        spans = [(a, end[a]) for a in range(n) if end[a]]
+    else:
+        least = min(model.scores, default=0.0) - PENALTY
+        best: list[tuple[float, int]] = [(0.0, -1)]
+        for stop in range(1, n + 1):
+            ways = [(best[a][0] + model.scores[known[unit[a:stop]]], a) for a in range(max(0, stop - longest), stop) if unit[a:stop] in known]
+            if unit[stop - 1] not in known:
+                ways.append((best[stop - 1][0] + least, stop - 1))
+            best.append(max(ways))
+        spans, stop = [], n
+        while stop:
+            spans.append((best[stop][1], stop))
+            stop = best[stop][1]
+        spans.sort()
+    out: list[int] = []
+    for a, b in spans:
+        i = known.get(unit[a:b])
+        out.extend([i] if i is not None else [model.bytes[x] for x in unit[a:b].encode()] if model.bytes else [model.unknown])
+    return out
+
+
+def _usable(model: Model) -> list[tuple[str, int, float]]:
+    """Pieces that stand for text as it is."""
+    skipped = model.hidden | set(model.bytes.values())
+    return [(p, i, float(s)) for i, (p, s) in enumerate(zip(model.pieces, model.scores)) if i not in skipped]
+
+
 def segment(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) for each distinct non-empty `unit`."""
+    """(unit, ids) for each distinct non-empty `unit`.
+
+    The fold's work grows with the square of a unit's length, so units of over `LONG` characters
+    (runs without a space) are cut one by one in tasks, with the same result.
+    """
+    shared = units.sparkSession.sparkContext.broadcast(model)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        known = {p: i for p, i, _ in _usable(own)}
+        longest = max(map(len, known), default=1)
+        for batch in batches:
+            yield pd.DataFrame({"unit": batch["unit"], "ids": [_long_ids(u, own, known, longest) for u in batch["unit"]]})
+
+    short, long = units.where(F.length("unit") <= LONG), units.where(F.length("unit") > LONG)
+    return _folded(short.select("unit"), model).unionByName(long.select("unit").mapInPandas(cut, "unit string, ids array<int>"))
+
+
+def _folded(units: DataFrame, model: Model) -> DataFrame:
     lattice = _edges(units, model).withColumn("g", _grid())
     if model.bpe:
         lattice = lattice.withColumn("cuts", _merged())
@@ -148,21 +220,28 @@ def segment(units: DataFrame, model: Model) -> DataFrame:
     return lattice.select("unit", pieces.alias("ids"))
 
 
+def _decoded(ids: str) -> list[int]:
+    return [int(i, 36) for i in ids.split(" ")]
+
+
 def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with the ids of each whole text as an array of int; null for a null text, empty for an empty one.
 
-    Texts are known by two hashes of their content, so keys are not needed, and repeated rows
-    and null keys do no harm. A column of `docs` named like `ids` is replaced.
+    Texts are known by a hash of their content, so keys are not needed, and repeated rows and
+    null keys do no harm. A column of `docs` named like `ids` is replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in (ids, "_t1", "_t2") if c != text])
+    docs = docs.drop(*[c for c in (ids, "_t", "_u") if c != text])
     units = docs.select(F.explode(F.regexp_extract_all(_escaped(F.col(text), model), F.lit(UNITS), F.lit(0))).alias("unit"))
     counted = written(units.groupBy("unit").agg(F.count("*").alias("c")), "units")
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # Small partitions, so that the edges of each are grouped in memory.
     parts_n = max(1, min(MOST_PARTS, distinct // UNITS_EACH))
-    lexicon = written(segment(counted.select("unit").repartition(parts_n, "unit"), model).join(counted, "unit"), "lexicon")
-    head = spark.sparkContext.broadcast({r["unit"]: list(r["ids"]) for r in lexicon.where(F.col("c") >= HEAD * total).toLocalIterator()})
+    # Lists of ids travel as text, numbers to the base 36, which is half the size of arrays.
+    coded = F.array_join(F.transform("ids", lambda i: F.conv(i.cast("string"), 10, 36)), " ")
+    lexicon = segment(counted.select("unit").repartition(parts_n, "unit"), model).select("unit", coded.alias("ids"))
+    lexicon = written(lexicon.join(counted, "unit"), "lexicon")
+    head = spark.sparkContext.broadcast({r["unit"]: _decoded(r["ids"]) for r in lexicon.where(F.col("c") >= HEAD * total).toLocalIterator()})
     prefix = SPACE if model.prefix else ""
 
     def parts(x: str) -> list[str]:
@@ -171,31 +250,28 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids")
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = head.value
         for batch in batches:
-            seen = dict(zip(zip(batch["_t1"], batch["_t2"]), batch[text]))
-            rows = [(*k, u) for k, x in seen.items() if isinstance(x, str) for u in set(parts(x)) if u not in known]
-            yield pd.DataFrame(rows, columns=["_t1", "_t2", "unit"])
+            rows = [(k, u) for k, x in dict(zip(batch["_t"], batch[text])).items() if isinstance(x, str) for u in set(parts(x)) if u not in known]
+            yield pd.DataFrame(rows, columns=["_t", "unit"])
 
-    keyed = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), F.col(text))})
-    tail = keyed.select("_t1", "_t2", text).mapInPandas(rare, "_t1 long, _t2 long, unit string").distinct()
-    tail = tail.join(lexicon.select("unit", "ids"), "unit").groupBy("_t1", "_t2").agg(F.collect_list("unit").alias("_u"), F.collect_list("ids").alias("_i"))
+    # What a unit's ids are doesn't depend on the text, so texts whose hashes are equal may share a list.
+    keyed = docs.withColumn("_t", F.xxhash64(text))
+    tail = keyed.select("_t", text).mapInPandas(rare, "_t long, unit string")
+    tail = tail.join(lexicon.select("unit", "ids"), "unit").groupBy("_t").agg(F.collect_set(F.struct("unit", "ids")).alias("_u"))
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         known = head.value
-        for batch in batches:
-            out = []
-            for x, u, i in zip(batch[text], batch["_u"], batch["_i"]):
-                if not isinstance(x, str):
-                    out.append(None)
-                    continue
-                own = dict(zip(u, map(list, i))) if u is not None else {}
-                row: list[int] = []
-                for p in parts(x):
-                    row.extend(known.get(p) or own[p])
-                out.append(row)
-            yield batch.drop(columns=["_t1", "_t2", "_u", "_i"]).assign(**{ids: out})
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return keyed.join(tail, ["_t1", "_t2"], "left").mapInPandas(whole, schema)
+
+        def whole(texts: list[str | None], units_: list) -> list[list]:
+            out: list[list[int] | None] = []
+            for x, u in zip(texts, units_):
+                own = {r["unit"]: _decoded(r["ids"]) for r in u or ()}
+                out.append(None if x is None else [n for p in parts(x) for n in (known.get(p) or own[p])])
+            return [out]
+
+        return whole
+
+    joined = keyed.join(tail, "_t", "left")
+    return map_batches(joined, docs.columns, [text, "_u"], [T.StructField(ids, T.ArrayType(T.IntegerType()))], start)
 
 
 def decode(docs: DataFrame, model: Model, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -204,22 +280,21 @@ def decode(docs: DataFrame, model: Model, ids: str = "ids", text: str = "decoded
     Control pieces and ids outside the model stand for nothing; bytes that are not UTF-8 become
     replacement characters. A column named like `text` is replaced.
     """
-    docs = docs.drop(*[c for c in (text,) if c != ids])
+    passed = [c for c in docs.columns if c != text]
     raw = [b"" if i in model.hidden else p.replace(SPACE, " ").encode() for i, p in enumerate(model.pieces)]
     for byte, i in model.bytes.items():
         raw[i] = bytes([byte])
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         known = shared.value
-        for batch in batches:
-            out = []
-            for row in batch[ids]:
-                if row is None:
-                    out.append(None)
-                    continue
-                x = b"".join(known[i] for i in row if 0 <= i < len(known)).decode("utf-8", "replace")
-                out.append(x[1:] if model.prefix and x[:1] == " " else x)
-            yield batch.assign(**{text: out})
-
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())]))
+
+        def read(row: list[int] | None) -> str | None:
+            if row is None:
+                return None
+            x = b"".join(known[i] for i in row if 0 <= i < len(known)).decode("utf-8", "replace")
+            return x[1:] if model.prefix and x[:1] == " " else x
+
+        return lambda rows: [[read(r) for r in rows]]
+
+    return map_batches(docs, passed, [ids], [T.StructField(text, T.StringType())], start)
