@@ -133,7 +133,7 @@ def _predict(network: ByteNetwork, texts: list[str | None]) -> tuple[list[str],
 
     size = 0
     for i, text in enumerate(texts):
-        if text and (data := _bytes(text)):
+        if text and any(map(str.isalpha, text)) and (data := _bytes(text)):
             waiting.append((i, _windows(data)))
             size += len(waiting[-1][1])
             if size >= 4096:

@@ -15,7 +15,7 @@ from .lm_score import lm_score
 from .quality_classifier import quality_classifier, train_quality
 from .quality_rules import quality_rules
 from .sentencepiece import Model, decode, encode, read_model
-from .url_filters import url_filters
+from .url_filters import GLOBS, RULES, url_filters
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +91,20 @@ def queries() -> dict:
     }
 
 
+#: Hosts, paths and rules as SQL; the query's fixed rules and globs in the order in which they count.
+URL_SQL = (
+    """with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
+h as (select page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
+r as (select *, case """
+    + " ".join(f"when ends_with('.' || host, '.{x.text.partition('/')[0]}') and starts_with(path, '/{x.text.partition('/')[2]}') then '{x.text}'" for x in sorted(RULES, key=lambda x: -len(x.text)))
+    + " end as rule from h) select page_id, host, path, rule, case "
+    + " ".join(f"when rule = '{x.text}' then '{x.verdict}'" for x in RULES)
+    + " "
+    + " ".join(f"when ('.' || host) glob '{g.host}' and path glob '{g.path}' then '{g.verdict}'" for g in GLOBS)
+    + " else 'allow' end as verdict from r"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only op7's rows can be said in SQL; the others learn models or search within texts."""
+    return {"op7_url_filters": URL_SQL}
