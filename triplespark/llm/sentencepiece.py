@@ -256,7 +256,8 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids")
     # What a unit's ids are doesn't depend on the text, so texts whose hashes are equal may share a list.
     keyed = docs.withColumn("_t", F.xxhash64(text))
     tail = keyed.select("_t", text).mapInPandas(rare, "_t long, unit string")
-    tail = tail.join(lexicon.select("unit", "ids"), "unit").groupBy("_t").agg(F.collect_set(F.struct("unit", "ids")).alias("_u"))
+    # Dealt before they are gathered: a partial list for each row would be several times as large.
+    tail = tail.join(lexicon.select("unit", "ids"), "unit").repartition("_t").groupBy("_t").agg(F.collect_set(F.struct("unit", "ids")).alias("_u"))
 
     def start():
         known = head.value
