@@ -225,6 +225,27 @@ def test_automaton_sums_to_one(spark):
         assert abs(mass + rest - 1) < 1e-6
 
 
+@pytest.mark.parametrize("orders", [1e-5, 0.02, 2.0])
+def test_rare_pairs_and_triples_count(spark, orders):
+    """All pairs and triples from two occurrences on, whatever share of them is broadcast."""
+    rows = [(i, f"{prose(i % 25, 40)} rare{i % 7} pair{i % 7} here{i % 7}") for i in range(60)] + [(60, None), (61, "never rare1 pair1 seen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learned = [M.tokens(t) for i, t in rows if i % 5]
+    count = Counter(w for t in learned for w in t)
+    total, distinct = sum(count.values()), len(count)
+    value = lambda c: math.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+    single = {w: value(c) for w, c in count.items()}
+    ids = {w: i for i, w in enumerate(single)}
+    grams = [Counter(g for t in learned for row in [[-1, *[ids[w] for w in t]]] for g in zip(*[row[k:] for k in range(n)])) for n in (2, 3)]
+    a = M.build(single, *[[(*k, c) for k, c in g.items() if c >= 2] for g in grams], list(count.values()), len(learned))
+    for r in M.lm_score(docs, F.col("doc_id") % 5 != 0, head=0.01, orders=orders).collect():
+        words = M.tokens(r["text"])
+        unseen = sum(value(0) for w in words if w not in ids)
+        assert abs(r["score"] - a.walk([ids.get(w, -1) for w in words]) - unseen) < 1e-6
+        assert abs(r["base_score"] - sum(value(count[w]) for w in words)) < 1e-6
+        assert r["n_known"] == sum(w in ids for w in words)
+
+
 def test_rare_words_of_repeated_texts(spark):
     rows = [(i, "alpha beta") for i in range(5)] + [(9, "gamma alpha")]
     got = M.lm_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") < 5, head=0.9).collect()

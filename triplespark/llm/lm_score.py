@@ -1,12 +1,14 @@
 """Language-model scores from a weighted backoff automaton.
 
-Words and their counts are learned from the whole training corpus and stay a table. Words that
-make up at least `HEAD` of all tokens, and pairs and triples of words that make up at least
-`ORDERS` (at most 1 / share of each can exist), become states and arcs of an automaton that is
-broadcast: an arc carries the log-probability of a discounted n-gram, a failure arc the backoff
-weight that leads to the next shorter history. One traversal of a text from left to right
-carries the state and adds up the weights. For rarer words the traversal falls back to the
-empty history; their own probabilities come to the texts by a join with the table of words.
+Words, and all pairs and triples of words with at least `LEAST` occurrences at every size of
+corpus, are learned from the whole training corpus and stay tables. `build` has them as an
+automaton: an arc carries the log-probability of a discounted n-gram, a failure arc the backoff
+weight that leads to the next shorter history. What its traversal of a text adds up is a sum
+over the text's words, pairs and triples, each with a value of its own: a word's probability and
+the weight of falling back from it, and for a pair or triple that is kept the difference to its
+shorter history and the weight of falling back from it. So texts are scored without carrying a
+state: words that make up at least `HEAD` of all tokens, and pairs and triples that make up at
+least `ORDERS`, are broadcast, and all others bring their values to the texts by one join.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,8 @@ from .common import map_batches, written
 
 HEAD = 1e-6
 ORDERS = 1e-5
+#: Occurrences from which pairs and triples are kept.
+LEAST = 2
 DISCOUNT = 0.5
 ADDED = 0.1
 #: The end of a text; no word is empty.
@@ -114,8 +119,22 @@ def build(unigrams: dict[str, float], pairs: list[tuple[int, int, int]], triples
     return Automaton(ids, arcs, fails, weights, longest(-1))
 
 
+#: Tokens that are worked on at a time.
+CHUNK = 500_000
+
+
+def _hash(word: str) -> tuple[int, int]:
+    """Two hashes of a word; pairs and triples know their words by the first."""
+    d = blake2b(word.encode("utf-8", "replace"), digest_size=16).digest()
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+#: The start of a text; no word holds a space.
+START = _hash(" start")[0]
+
+
 def _word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, c) over all rows."""
+    """(word, h, h2, c) over all rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,46 +145,131 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
             rows = {w.decode(): c for w, c in found.items()} | {END: len(batch)}
             yield pd.DataFrame({"word": list(rows), "c": list(rows.values())})
 
-    return docs.select(text).mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            h = np.array([_hash(w) for w in batch["word"]], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"word": batch["word"], "h": h[:, 0], "h2": h[:, 1], "c": batch["c"]})
 
+    counts = docs.select(text).mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return counts.mapInPandas(hashed, "word string, h long, h2 long, c long")
 
-def _gram_counts(docs: DataFrame, text: str, ids: dict[str, int], order: int, kept: set[tuple[int, int]] | None, least: float) -> list[tuple[int, ...]]:
-    """Pairs or triples of `ids` (-1 first for the start of a text) with at least `least` occurrences, and their counts.
 
-    A triple can only be frequent if both its pairs are, so only those are counted.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((ids, np.array(sorted((a + 1) * (len(ids) + 1) + b + 1 for a, b in kept or ()), np.int64)))
+@dataclass
+class Chunk:
+    """Texts as one row of local word ids, each text between 0 (its start) and -1."""
+
+    first: int
+    n: int
+    words: list[str]
+    row: np.ndarray
+    owner: np.ndarray
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
+        """For pairs and then triples: code (below size ** 2 or places * size), text and local ids at each place."""
+        r, size = self.row, len(self.words)
+        at = np.flatnonzero((r[:-1] >= 0) & (r[1:] >= 1))
+        code = r[at] * size + r[at + 1]
+        yield code, self.owner[at], (r[at], r[at + 1])
+        _, number = np.unique(code, return_inverse=True)
+        more = r[at + 2] >= 1  # a pair's second word is followed by -1 at least
+        at, number = at[more], number[more]
+        yield number * size + r[at + 2], self.owner[at], (r[at], r[at + 1], r[at + 2])
+
+    def hashes(self) -> np.ndarray:
+        return np.array([(START, 0), *(_hash(w) for w in self.words[1:])], np.int64)
+
+
+def _chunks(texts) -> Iterator[Chunk]:
+    first, local, row, sizes = 0, {" ": 0}, [], []
+    for i, x in enumerate(texts):
+        before = len(row)
+        row.append(0)
+        row.extend([local.setdefault(w, len(local)) for w in tokens(x)])
+        row.append(-1)
+        sizes.append(len(row) - before)
+        if len(row) >= CHUNK:
+            yield Chunk(first, len(sizes), list(local), np.array(row, np.int64), np.repeat(np.arange(len(sizes)), sizes))
+            first, local, row, sizes = i + 1, {" ": 0}, [], []
+    if sizes:
+        yield Chunk(first, len(sizes), list(local), np.array(row, np.int64), np.repeat(np.arange(len(sizes)), sizes))
+
+
+def _gram_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(a, b, w, c): pairs (w is 0) and triples of hashes with at least `LEAST` occurrences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, pairs = shared.value
-        base = len(known) + 1  # 0 is the start of a text, a word is its id + 1; -1 is any other word
         for batch in batches:
-            parts = []
-            for x in batch[text]:
-                row = [0]
-                row.extend([known.get(w, -2) + 1 for w in tokens(x)])
-                parts.append(np.array([*row, -1], np.int64))
-            a = np.concatenate(parts)
-            two = np.where((a[:-1] >= 0) & (a[1:] >= 1), a[:-1] * base + a[1:], -1)
-            if order == 2:
-                code = two[two >= 0]
-            else:
-                good = (two >= 0) & np.isin(two, pairs)
-                both = good[:-1] & good[1:]
-                code = two[:-1][both] * base + a[2:][both]
-            value, count = np.unique(code, return_counts=True)
-            yield pd.DataFrame({"code": value, "c": count})
-
-    base = len(ids) + 1
-    rows = docs.select(text).mapInPandas(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).where(F.col("c") >= F.lit(least)).collect()
-    out = []
-    for r in sorted(rows):
-        code, gram = r["code"], []
-        for _ in range(order):
-            code, last = divmod(code, base)
-            gram.insert(0, last - 1)
-        out.append((*gram, r["c"]))
-    return out
+            for chunk in _chunks(batch[text]):
+                h = chunk.hashes()[:, 0]
+                for code, _, ids in chunk.grams():
+                    _, at, count = np.unique(code, return_index=True, return_counts=True)
+                    yield pd.DataFrame({"a": h[ids[0][at]], "b": h[ids[1][at]], "w": h[ids[2][at]] if len(ids) > 2 else 0, "c": count})
+
+    rows = docs.select(text).mapInPandas(run, "a long, b long, w long, c long")
+    return rows.groupBy("a", "b", "w").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
+
+
+def _weights(words: DataFrame, grams: DataFrame, texts: int, mass: float) -> tuple[DataFrame, DataFrame]:
+    """(h, back) of words that are histories, and (a, b, w, c, value) of the pairs and triples.
+
+    The probabilities and weights of falling back are those of `build`.
+    """
+    back = lambda p, q: F.log10(F.greatest(1 - F.sum(p), F.lit(1e-12)) / F.greatest(1 - F.sum(q), F.lit(1e-12)))
+    start = words.sparkSession.range(1).select(F.lit(START).alias("h"), F.lit(texts).cast("long").alias("c"))
+    totals = words.select("h", "c").union(start).groupBy("h").agg(F.sum("c").alias("t"))
+    pairs = grams.where("w = 0").join(totals.withColumnsRenamed({"h": "a", "t": "ta"}), "a").join(totals.withColumnsRenamed({"h": "b", "t": "tb"}), "b")
+    pairs = written(pairs.select("a", "b", "c", ((F.col("c") - DISCOUNT) / F.col("ta")).alias("p"), ((F.col("tb") + ADDED) / mass).alias("q")), "pairs")
+    after = written(pairs.groupBy("a").agg(back("p", "q").alias("back")), "after")
+    triples = grams.where("w != 0").join(pairs.select("a", "b", F.col("c").alias("t")), ["a", "b"]).join(pairs.select(F.col("a").alias("b"), F.col("b").alias("w"), F.col("p").alias("q")), ["b", "w"])
+    triples = written(triples.select("a", "b", "w", "c", ((F.col("c") - DISCOUNT) / F.col("t")).alias("p"), "q"), "triples")
+    after2 = written(triples.groupBy("a", "b").agg(back("p", "q").alias("back2")), "after")
+    more = F.log10(F.col("p")) - F.log10(F.col("q"))
+    two = pairs.join(after, "a").join(after2, ["a", "b"], "left")
+    two = two.select("a", "b", F.lit(0).cast("long").alias("w"), "c", (more - F.col("back") + F.coalesce("back2", F.lit(0.0))).alias("value"))
+    three = triples.join(after2, ["a", "b"]).select("a", "b", "w", "c", (more - F.col("back2")).alias("value"))
+    return after.withColumnRenamed("a", "h"), two.union(three)
+
+
+class Head:
+    """What is broadcast: words by id with their log10 probability and value, and the frequent pairs and triples."""
+
+    def __init__(self, words: dict[str, tuple[float, float]], grams: list[tuple[int, int, int, float]], unseen: float, begin: float):
+        self.ids = {w: i for i, w in enumerate(words)}
+        self.logs = np.array([*(x for x, _ in words.values()), unseen])
+        self.values = np.array([*(x for _, x in words.values()), unseen])
+        self.begin = begin
+        keys = np.array([g[:3] for g in grams], np.int64).reshape(-1, 3)
+        mixed = self._mix(*keys.T)
+        order = np.argsort(mixed)
+        self.mixed, self.keys, self.worth = mixed[order], keys[order], np.array([g[3] for g in grams], float)[order]
+
+    @staticmethod
+    def _mix(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        a, b, w = (np.ascontiguousarray(x).view(np.uint64) for x in (a, b, w))
+        k = np.uint64(0x9E3779B97F4A7C15)
+        return ((a * k ^ a >> np.uint64(29)) + b) * k + w
+
+    def find(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Places in `worth`; -1 for pairs and triples that are not here."""
+        if not len(self.mixed):
+            return np.full(len(a), -1)
+        m = self._mix(a, b, w)
+        at = np.minimum(np.searchsorted(self.mixed, m), len(self.mixed) - 1)
+        k = self.keys[at]
+        return np.where((k[:, 0] == a) & (k[:, 1] == b) & (k[:, 2] == w), at, -1)
+
+    def known(self, chunk: Chunk) -> np.ndarray:
+        """By local id the place in `logs`, its last for rare words."""
+        return np.array([-1, *(self.ids.get(w, -1) for w in chunk.words[1:])])
+
+    def grams(self, chunk: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Distinct pairs and triples of each text: text, times, hashes and place in `worth`."""
+        h = chunk.hashes()[:, 0]
+        for code, owner, ids in chunk.grams():
+            _, at, count = np.unique(code * chunk.n + owner, return_index=True, return_counts=True)
+            a, b = h[ids[0][at]], h[ids[1][at]]
+            w = h[ids[2][at]] if len(ids) > 2 else np.zeros(len(at), np.int64)
+            yield owner[at], count, np.stack([a, b, w]), self.find(a, b, w)
 
 
 def lm_score(docs: DataFrame, training: Column, text: str = "text", head: float = HEAD, orders: float = ORDERS, keep_text: bool = True) -> DataFrame:
@@ -173,8 +277,9 @@ def lm_score(docs: DataFrame, training: Column, text: str = "text", head: float
 
     The model learns from the rows where `training` holds. Tokens are the words and one end;
     base_score adds log10((c + 0.1) / (N + 0.1 (V + 1))) over them, score is the automaton's
-    log10 probability. A null text is an empty one: its end alone. Texts are known by two
-    hashes of their content, so repeated rows and null keys do no harm. Columns of `docs` named
+    log10 probability with all pairs and triples that occur `LEAST` times in training; `head` and
+    `orders` only say which words and n-grams are broadcast. A null text is an empty one: its end
+    alone. Texts are known by two hashes of their content, so repeated rows and null keys do no harm. Columns of `docs` named
     like the added ones are replaced. Without training rows N and V are 0. The text itself is
     passed on only if `keep_text`.
     """
@@ -184,60 +289,78 @@ def lm_score(docs: DataFrame, training: Column, text: str = "text", head: float
     learned = docs.where(training)
     counted = written(_word_counts(learned, text), "words")
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    scale = math.log10(total + ADDED * (distinct + 1))
-    common = {r["word"]: r["c"] for r in counted.where((F.col("c") >= F.lit(head * total)) | (F.col("word") == END)).orderBy(F.desc("c"), "word").toLocalIterator()}
-    common.setdefault(END, 0)
-    texts = common[END]
-    frequent = {w: i for i, (w, c) in enumerate(common.items()) if c >= max(orders * total, 1)}
-    pairs = [] if total == 0 else _gram_counts(learned, text, frequent, 2, None, max(orders * total, 2))
-    triples = [] if not pairs else _gram_counts(learned, text, frequent, 3, {(a, b) for a, b, _ in pairs}, max(orders * total, 2))
-    single = {w: math.log10(c + ADDED) - scale for w, c in common.items()}
-    shared = sc.broadcast((build(single, pairs, triples, list(common.values()), texts), np.array(list(single.values()))))
+    mass = total + ADDED * (distinct + 1)
+    scale, unseen = math.log10(mass), math.log10(ADDED) - math.log10(mass)
+    ends = counted.where(F.col("word") == END).first()
+    texts = ends["c"] if ends else 0
+    after, grams = _weights(counted, written(_gram_counts(learned, text), "grams"), texts, mass)
+    grams = written(grams, "grams")
+    often = F.col("c") >= F.lit(max(orders * total, LEAST))
+    log = F.log10(F.col("c") + ADDED) - F.lit(scale)
+    words = written(counted.join(after, "h", "left").select("word", "h", "h2", "c", log.alias("log"), F.coalesce("back", F.lit(0.0)).alias("back")), "words")
+    usual = (F.col("c") >= F.lit(head * total)) | (F.col("word") == END)
+    common = {r["word"]: (r["log"], r["log"] + r["back"]) for r in words.where(usual).orderBy(F.desc("c"), "word").toLocalIterator()}
+    common.setdefault(END, (unseen, unseen))
+    begin = after.where(F.col("h") == START).first()
+    frequent = [(r["a"], r["b"], r["w"], r["value"]) for r in grams.where(often).toLocalIterator()]
+    shared = sc.broadcast(Head(common, frequent, unseen, begin["back"] if begin else 0.0))
     known_end = int(texts > 0)
 
     def start():
-        automaton, logs = shared.value
-        get = automaton.ids.get
+        known = shared.value
 
         def walk(texts_: list[str | None]) -> list[list]:
             out: list[list] = [[], [], [], []]
-            for x in texts_:
-                ids = [get(w, -1) for w in tokens(x)]
-                a = np.array(ids)
-                inside = a[a >= 0]
-                for column, value in zip(out, (len(ids), len(inside) - 1 + known_end, float(logs[inside].sum()), automaton.walk(ids))):
-                    column.append(value)
+            for chunk in _chunks(texts_):
+                at = chunk.row >= 1
+                owner, place = chunk.owner[at], known.known(chunk)[chunk.row[at]]
+                sums = lambda x, o=owner, n=chunk.n: np.bincount(o, x, n)
+                score = known.begin + sums(known.values[place])
+                for own, times, _, found in known.grams(chunk):
+                    hit = found >= 0
+                    score += sums(times[hit] * known.worth[found[hit]], own[hit])
+                for column, value in zip(out, (np.bincount(owner, minlength=chunk.n), np.bincount(owner[place >= 0], minlength=chunk.n) - 1 + known_end, sums(known.logs[place]), score)):
+                    column.extend(value.tolist())
             return out
 
         return walk
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = shared.value[0].ids
+        known = shared.value
         for batch in batches:
-            seen = dict(zip(zip(batch["_t1"], batch["_t2"]), batch[text]))
-            rows = []
-            for key, x in seen.items():
-                own = Counter(w for w in tokens(x) if w not in get)
-                rows.extend((*key, w, n, i == 0) for i, (w, n) in enumerate(own.items()))
-            yield pd.DataFrame(rows, columns=["_t1", "_t2", "word", "n", "first"])
+            t1, t2 = batch["_t1"].to_numpy(), batch["_t2"].to_numpy()
+            for chunk in _chunks(batch[text]):
+                h, place = chunk.hashes(), known.known(chunk)
+                at = (chunk.row >= 1) & (place[chunk.row] < 0)
+                code, times = np.unique(chunk.row[at] * chunk.n + chunk.owner[at], return_counts=True)
+                word, own = np.divmod(code, chunk.n)
+                parts = [(own, times, np.stack([h[word, 0], h[word, 1], np.ones(len(word), np.int64)]))]
+                for own, times, keys, found in known.grams(chunk):
+                    miss = found < 0
+                    parts.append((own[miss], times[miss], keys[:, miss]))
+                for own, times, keys in parts:
+                    own = own + chunk.first
+                    yield pd.DataFrame({"_t1": t1[own], "_t2": t2[own], "a": keys[0], "b": keys[1], "w": keys[2], "n": times})
 
     keyed = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), F.col(text))})
     passed = [c for c in keyed.columns if keep_text or c != text]
     counted_fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
     walked = map_batches(keyed, passed, [text], counted_fields, start)
-    tail = keyed.select("_t1", "_t2", text).mapInPandas(rare, "_t1 long, _t2 long, word string, n long, first boolean")
-    tail = tail.join(counted, "word", "left")
-    value = F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADDED)) - F.lit(scale))
-    # A text that came in several batches counts as often as its first word does.
-    times = F.sum(F.col("first").cast("long"))
-    tail = tail.groupBy("_t1", "_t2").agg((F.sum(value) / times).alias("_value"), (F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)) / times).cast("long").alias("_known"))
+    # Rare words count as unseen in the walk; w is 1 in their rows, and 0 in those of pairs.
+    more = F.col("log") - unseen
+    singles = words.where(~usual).select(F.col("h").alias("a"), F.col("h2").alias("b"), F.lit(1).cast("long").alias("w"), more.alias("_base"), (more + F.col("back")).alias("_value"), F.lit(1).cast("long").alias("_known"))
+    values = singles.union(grams.where(~often).select("a", "b", "w", F.lit(0.0), "value", F.lit(0).cast("long")))
+    tail = keyed.select("_t1", "_t2", text).mapInPandas(rare, "_t1 long, _t2 long, a long, b long, w long, n int").join(values, ["a", "b", "w"])
+    tail = tail.groupBy("_t1", "_t2").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in ("_base", "_value", "_known")])
+    # A text that repeats brought its words each time.
+    tail = tail.join(keyed.groupBy("_t1", "_t2").agg(F.count("*").alias("_times")), ["_t1", "_t2"])
     out = walked.join(tail, ["_t1", "_t2"], "left")
-    more = F.coalesce("_value", F.lit(0.0))
+    rest = lambda c: F.coalesce(F.col(c) / F.col("_times"), F.lit(0.0))
     return out.select(
         *[c for c in docs.columns if keep_text or c != text],
         "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.round(rest("_known")).cast("long")).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("base_score") + rest("_base")).alias("base_score"),
+        (F.col("score") + rest("_value")).alias("score"),
     )
