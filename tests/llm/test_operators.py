@@ -111,6 +111,28 @@ def test_edit_matching_against_brute_force():
         assert {k: d for k, d, _ in known.matches(text)} == want
 
 
+def test_items_that_repeat_a_passage():
+    """Copies edited before the passage comes back: the first hits by end have the later starts."""
+    r = random.Random(9)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    for trial in range(40):
+        head = letters(60)
+        item = head + letters(140) + head + letters(140)
+        known = D.Items([(1, item)])
+        most = known.items[0][2]
+        copy = list(item)
+        for at in sorted(r.sample(range(200), r.randrange(9, most + 3))):
+            copy[at] = "~" if trial % 2 else r.choice("xyz")
+        text = letters(70) + "".join(copy).replace("~", "q") + letters(250)
+        want = edits(item, f" {text} ")
+        assert [d for _, d, _ in known.matches(text)] == ([want] if want <= most else [])
+    # The case of the review: eleven edits in the pieces before the passage's return.
+    head = letters(60)
+    item = head + letters(140) + head + letters(140)
+    copy = "".join("é" if i < 200 and i % 19 == 9 else c for i, c in enumerate(item))
+    assert [d for _, d, _ in D.Items([(1, item)]).matches(letters(69) + copy + letters(250))] == [11]
+
+
 def test_components_against_brute_force(spark):
     r = random.Random(3)
     texts = []

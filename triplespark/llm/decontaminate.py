@@ -93,23 +93,26 @@ class Items:
         if not self.items or not (words := plain(text)):
             return []
         words = f" {words} "
-        spans: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[int]] = {}
         for end, (length, places) in self.find.iter(words):
             for n, a in places:
-                start = end + 1 - length - a
-                seen = spans.setdefault(n, [])
-                most = self.items[n][2]
+                starts.setdefault(n, set()).add(end + 1 - length - a)
+        # Hits come by their end, so starts are in order only once all are known.
+        spans: dict[int, list[list[int]]] = {}
+        for n, all_starts in starts.items():
+            most, seen = self.items[n][2], spans.setdefault(n, [])
+            for start in sorted(all_starts):
                 if seen and start - seen[-1][1] <= most:
-                    seen[-1][1] = max(start, seen[-1][1])
+                    seen[-1][1] = start
                 else:
                     seen.append([start, start])
         found = []
-        for n, starts in spans.items():
+        for n, merged in spans.items():
             key, item, most = self.items[n]
             best = None
-            for first, last in starts:
+            for first, last in merged:
                 low, high = max(0, first - most), last + len(item) + most
-                if words[first : first + len(item)] == item:
+                if first >= 0 and words[first : first + len(item)] == item:
                     place = (0, first + len(item))
                 else:
                     near = best_place(item, words[low:high], most)
