@@ -188,6 +188,25 @@ def test_outliers(spark):
     assert not any(out[1000 + i] for i in range(10)) and all(out[i] for i in range(150))
 
 
+@pytest.mark.parametrize("share", [0.3, 0.4])
+def test_outliers_are_many(spark, share):
+    """A group of which a large share is junk of one kind."""
+    n = 200
+    junk = int(n * share)
+    for worse in (lambda w: f"{w}###", str.upper):
+        rows = [(i, " ".join(map(worse, prose(i, 100).split())) if i < junk else prose(i, 100), "en", "a") for i in range(n)]
+        out = {r["doc_id"]: r["kept"] for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert [i for i in range(n) if out[i]] == list(range(junk, n))
+
+
+def test_determinant_matches_numpy(spark):
+    r = np.random.default_rng(3)
+    a = r.normal(size=(Q.D, Q.D))
+    a = a @ a.T + np.eye(Q.D)
+    got = spark.createDataFrame([(a.tolist(),)], "m array<array<double>>").select(Q._log_det(F.col("m"))).first()[0]
+    assert np.isclose(got, np.linalg.slogdet(a)[1])
+
+
 def test_inverse_matches_numpy(spark):
     r = np.random.default_rng(2)
     a = r.normal(size=(Q.D, Q.D))

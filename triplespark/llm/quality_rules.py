@@ -1,8 +1,9 @@
 """Quality rules: counted statistics and robust multivariate outliers.
 
 Every text gets a vector of transformed statistics. For each language and source the
-location and scatter of these vectors are estimated by minimum covariance determinant
-(concentration steps from medians and absolute deviations, then one reweighting), and texts
+location and scatter of these vectors are estimated by minimum covariance determinant over half
+of the texts (concentration steps from medians and absolute deviations until the determinant
+stops falling, then one reweighting), so nearly half of a group can be junk, and texts
 whose squared Mahalanobis distance lies beyond `cut` are rejected. Groups with fewer than
 `least` texts are judged by their language's estimate, or by the whole table's.
 
@@ -26,6 +27,9 @@ FLOORS = (0.08, 0.12, 0.30, 0.12, 0.20)
 #: degrees of freedom. The floors widen the scatter, so that clean texts stay far within it.
 CUT = 20.5
 MIN_WORDS = 50
+#: What makes the covariance of the nearer half consistent for normal features: a half over the
+#: chance that chi-square with seven degrees of freedom is under its median with five.
+HALF = 1.9121
 
 
 def _times(c: Column, characters: str) -> Column:
@@ -106,14 +110,26 @@ def _inverse(matrix: Column) -> Column:
     return F.transform(solved, lambda row: F.slice(row, D + 1, D))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """By group: m, the mean of f, and inv, the inverse of its covariance with the floors added."""
+def _log_det(matrix: Column) -> Column:
+    """The logarithm of a positive definite matrix's determinant: that of its pivots, summed."""
+
+    def step(acc: Column, j: Column) -> Column:
+        rows = acc["rows"]
+        rest = F.transform(rows, lambda row, i: F.when(i > j, F.transform(row, lambda x, k: x - row[j] / rows[j][j] * rows[j][k])).otherwise(row))
+        return F.struct(rest.alias("rows"), (acc["s"] + F.log(rows[j][j])).alias("s"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(D - 1)), F.struct(matrix.alias("rows"), F.lit(0.0).alias("s")), step, lambda acc: acc["s"])
+
+
+def _moments(rows: DataFrame, factor: float = 1.0) -> DataFrame:
+    """By group: m, the mean of f, inv, the inverse of its covariance times `factor` with the floors added, and that matrix's log_det."""
     f = F.col("f")
     aggs = [F.avg(f[i]).alias(f"m{i}") for i in range(D)]
     aggs += [F.covar_pop(f[i], f[j]).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)]
-    cell = lambda i, j: F.col(f"c{max(i, j)}{min(i, j)}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)
+    cell = lambda i, j: factor * F.col(f"c{max(i, j)}{min(i, j)}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)
     cov = F.array(*[F.array(*[cell(i, j) for j in range(D)]) for i in range(D)])
-    return rows.groupBy("grp").agg(*aggs).select("grp", F.array(*[F.col(f"m{i}") for i in range(D)]).alias("m"), _inverse(cov).alias("inv"))
+    out = rows.groupBy("grp").agg(*aggs).select("grp", F.array(*[F.col(f"m{i}") for i in range(D)]).alias("m"), cov.alias("cov"))
+    return out.select("grp", "m", _inverse(F.col("cov")).alias("inv"), _log_det(F.col("cov")).alias("log_det"))
 
 
 def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -134,22 +150,26 @@ def _start(rows: DataFrame) -> DataFrame:
     return spread.select("grp", "m", F.array(*[F.array(*[(1 / F.col(f"v{i}") if i == k else F.lit(0.0)) for k in range(D)]) for i in range(D)]).alias("inv"))
 
 
-def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 2) -> DataFrame:
+def minimum_covariance(rows: DataFrame) -> DataFrame:
     """Robust mean m and inverse scatter inv for each `grp` of `rows` (grp and the array f).
 
-    Each concentration step keeps the `share` of a group that lies nearest to its last
-    estimate; the last step keeps what lies within the 0.975 quantile of chi-square, on the
-    scale that the median distance sets.
+    Each concentration step keeps the half of a group that lies nearest to its last estimate,
+    and a group takes steps until its determinant stops falling; the last step keeps what lies
+    within the 0.975 quantile of chi-square, on the scale that the median distance sets.
     """
-    params = written(_start(rows), "mcd")
-    for step in range(steps + 1):
-        far = _with_distance(rows, params)
-        last = step == steps
-        # 4.35 is the median and 12.83 the 0.975 quantile of chi-square with five degrees of freedom.
-        edge = far.groupBy("grp").agg(F.percentile_approx("d2", 0.5 if last else share).alias("edge"))
-        near = far.join(edge, "grp").where(F.col("d2") <= (F.greatest(F.col("edge") / 4.35, F.lit(1.0)) * 12.83 if last else F.col("edge")))
-        params = written(_moments(near), "mcd")
-    return params
+    state = written(_start(rows).select("grp", "m", "inv", F.lit(float("inf")).alias("log_det"), F.lit(True).alias("falls")), "mcd")
+    while not state.where("falls").isEmpty():
+        far = _with_distance(rows, state.where("falls").select("grp", "m", "inv")).where("d2 is not null")
+        edge = far.groupBy("grp").agg(F.percentile_approx("d2", 0.5).alias("edge"))
+        new = _moments(far.join(edge, "grp").where("d2 <= edge"), HALF)
+        both = state.join(new.withColumnsRenamed({c: f"new_{c}" for c in ("m", "inv", "log_det")}), "grp", "left")
+        falls = F.coalesce(F.col("new_log_det") < F.col("log_det") - 1e-3, F.lit(False))
+        state = written(both.select("grp", *[F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("m", "inv", "log_det")], falls.alias("falls")), "mcd")
+    far = _with_distance(rows, state.select("grp", "m", "inv"))
+    # 4.35 is the median and 12.83 the 0.975 quantile of chi-square with five degrees of freedom.
+    edge = far.groupBy("grp").agg(F.percentile_approx("d2", 0.5).alias("edge"))
+    near = far.join(edge, "grp").where(F.col("d2") <= F.greatest(F.col("edge") / 4.35, F.lit(1.0)) * 12.83)
+    return written(_moments(near).drop("log_det"), "mcd")
 
 
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "base_failed", "d2", "kept")
