@@ -324,6 +324,23 @@ def test_html():
     assert H.main_text("<b>" * 5000 + "deep") == "deep"
 
 
+def test_html_keeps_long_articles_whole():
+    long = [f"{prose(i, 40)} One, two, three, four, {i}." for i in range(40)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in long)
+    whole = "\n".join([*long, "Closing words."])
+    for page in (
+        f"<article><div>{paragraphs}</div><div><p>Closing words.</p></div></article>",
+        f"<main><div><div>{paragraphs}</div></div><section><p>Closing words.</p></section></main>",
+        f"<body><div>{paragraphs}</div><div><p>Closing words.</p></div></body>",
+        f'<div class="content has-sidebar">{paragraphs}<p>Closing words.</p><div class="sidebar"><p>Other, things.</p></div></div>',
+        f'<div class="post with-comments">{paragraphs}<p>Closing words.</p></div><div id="comments"><p>Nice, I say.</p></div>',
+        f'<section class="share-enabled">{paragraphs}<p>Closing words.</p><nav>Home</nav></section>',
+    ):
+        assert H.main_text(page) == whole
+    links = "".join(f"<a href=x>Other article {i}</a> " for i in range(9))
+    assert H.main_text(f"<article>{paragraphs}<p>Closing words.</p></article><div>{links}</div>") == whole
+
+
 def test_classifier(spark):
     rows = [(i, prose(i, 60) if i % 2 else " ".join(f"{w.upper()}!!" for w in prose(i, 60).split())) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

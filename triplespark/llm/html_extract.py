@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 Blocks of text (paragraphs, headings, list items) pass points for length and commas to their
-ancestors, fewer the farther up, discounted by the share of text in links. The best container
-is kept with those of its siblings that score well or read like prose.
+ancestors, fewer the farther up, discounted by the share of text in links. The best container,
+or the whole article or main element around it, is kept with those of its siblings that aren't
+mostly links.
 """
 
 from __future__ import annotations
@@ -40,10 +41,10 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 
 
 class Page:
-    """Elements in page order (tag, parent, dropped) and blocks of text (element, text, share of links)."""
+    """Elements in page order (tag, parent, dropped, named like an aside) and blocks of text (element, text, share of links)."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.dropped = ["#root"], [0], [False]
+        self.tag, self.parent, self.dropped, self.named = ["#root"], [0], [False], [False]
         self.blocks: list[tuple[int, str, float]] = []
         self.links = [0]
         self._open, self._text, self._linked, self._in_link = [0], [], 0, 0
@@ -90,7 +91,10 @@ class Page:
         e = len(self.tag)
         self.tag.append(tag)
         self.parent.append(up)
-        self.dropped.append(self.dropped[up] or self._is_aside(tag, attributes, up))
+        aside, named = self._is_aside(tag, attributes, up)
+        # Whether a name tells the truth is only known with the whole page; text within a sentence goes at once.
+        self.dropped.append(self.dropped[up] or aside or named and tag in INLINE)
+        self.named.append(named)
         self.links.append(0)
         if tag == "a":
             for k in self._open:
@@ -99,22 +103,35 @@ class Page:
             self._open.append(e)
             self._in_link += tag == "a"
 
-    def _is_aside(self, tag: str, attributes: str, up: int) -> bool:
+    def _is_aside(self, tag: str, attributes: str, up: int) -> tuple[bool, bool]:
+        """Whether an element is no text of the article, and whether its class or id says so."""
         if tag in DROPPED:
-            return True
+            return True, False
         if tag == "header":  # of the page; an article's own header holds its title
             while up:
                 if self.tag[up] in ("article", "main"):
-                    return False
+                    return False, False
                 up = self.parent[up]
-            return True
+            return True, False
         if not attributes.strip() or tag in ("html", "body", "article", "main"):
-            return False
+            return False, False
         given = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
         if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in ROLES or _HIDDEN.search(given.get("style", "")):
-            return True
+            return True, False
         names = f"{given.get('class', '')} {given.get('id', '')}"
-        return any(w.lower() in ASIDE for w in _WORD.findall(names))
+        return False, any(w.lower() in ASIDE for w in _WORD.findall(names))
+
+    def kept(self) -> list[tuple[int, str, float]]:
+        """The blocks without those of elements whose names are of asides, unless they hold most of the page's prose."""
+        prose = [0.0] * len(self.tag)
+        for owner, text, links in self.blocks:
+            prose[owner] += len(text) * (1 - links)
+        for e in range(len(self.tag) - 1, 0, -1):
+            prose[self.parent[e]] += prose[e]
+        out = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            out[e] = out[self.parent[e]] or self.named[e] and prose[e] <= prose[0] / 2
+        return [b for b in self.blocks if not out[b[0]]]
 
     def _read(self, html: str) -> None:
         at, end = 0, len(html)
@@ -149,11 +166,11 @@ class Page:
 
 
 def main_text(html: str | None) -> str:
-    """Blocks of the best container and its good siblings, joined by line feeds; empty if there is none."""
+    """Blocks of the best container and of its siblings that are prose, joined by line feeds; empty if there is none."""
     if not isinstance(html, str) or not html:
         return ""
     page = Page(html)
-    blocks = page.blocks
+    blocks = page.kept()
     if not blocks:
         return ""
     n = len(page.tag)
@@ -182,12 +199,17 @@ def main_text(html: str | None) -> str:
     best = max(range(n), key=lambda e: (score[e], -e))
     if page.tag[best] in ("ul", "ol", "dl", "tr", "tbody", "table"):  # a list or table belongs to what it stands in
         best = page.parent[best]
+    # Of an article everything belongs; the outermost one, as comments can be articles within it.
+    around, e = {}, best
+    while e:
+        if page.tag[e] in ("article", "main"):
+            around[page.tag[e]] = e
+        e = page.parent[e]
+    best = around.get("article", around.get("main", best))
     keep = {best}
     for e in range(1, n):
-        if best and page.parent[e] == page.parent[best]:
-            prose = page.tag[e] in HEADINGS or page.tag[e] == "p" and density[e] < 0.25
-            if prose or score[e] >= max(5.0, 0.2 * score[best]):
-                keep.add(e)
+        if best and page.parent[e] == page.parent[best] and (page.tag[e] in HEADINGS or chars[e] and density[e] < 0.25):
+            keep.add(e)
     inside = [False] * n
     for e in range(n):
         inside[e] = e in keep or (e > 0 and inside[page.parent[e]])
