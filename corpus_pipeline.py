@@ -48,7 +48,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document's pieces."""
-    return encode(docs.select("doc_id", "text"), public_model()).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
+    return encode(docs.select("doc_id", "text"), public_model(), keep_text=False).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
 STAGES = [
