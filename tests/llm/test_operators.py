@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -324,6 +325,13 @@ def test_html():
     assert H.main_text("<b>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("names", ["content has-sidebar", "entry-content comments-open", "main-content with-sidebar", "post social-share-enabled", "no-sidebar", "article-body share"])
+def test_html_names_around_an_article(names):
+    text = [f"{prose(i, 40)} One, two, {i}." for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in text)
+    assert H.main_text(f'<div><nav>Home</nav><div class="{names}">{body}</div><div class="sidebar"><p>Other, things.</p></div></div>') == "\n".join(text)
+
+
 def test_html_keeps_long_articles_whole():
     long = [f"{prose(i, 40)} One, two, three, four, {i}." for i in range(40)]
     paragraphs = "".join(f"<p>{x}</p>" for x in long)
@@ -341,6 +349,79 @@ def test_html_keeps_long_articles_whole():
     assert H.main_text(f"<article>{paragraphs}<p>Closing words.</p></article><div>{links}</div>") == whole
 
 
+HOSTILE = {
+    "open tags": ("<a", 0), "open quotes": ("<a x='", 0), "bold": ("<b>", "</i>"), "links": ("<a>", 0), "paragraphs in bold": ("<p><b>", 0), "mixed quotes": ("<a '\">", 0), "rows": ("<tr><td>", 0),
+    "headers": ("<div>", "<header></header>"), "items": ("<div>", "<li></li>"), "comments": ("<!--", 0), "raw": ("<script>", "</script"), "number": ("&#", "9"), "zeros": ("&#", "0"), "less than": ("<", 0),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_html_malformed_pages_take_linear_time(name):
+    first, second = HOSTILE[name]
+    build = lambda n: f"<p>Before, all.</p>{first * n}{second * n if second else ''}"
+    times = []
+    for size in (125_000, 1_000_000):
+        page = build(size // len(first + (second or "")))
+        began = time.process_time()
+        H.main_text(page)
+        times.append(time.process_time() - began)
+    assert times[1] < 8 and times[1] < 30 * max(times[0], 0.05)
+
+
+def test_html_malformed_pages():
+    assert H.main_text("<p>a < b <3 & c&lt;d &#0000065; &#99999999999; &#xFFFFFFFFFF;</p>") == "a < b <3 & c<d A \ufffd \ufffd"
+    assert H.main_text("<p>one</p><p>two</p></article></div><p>three<b") == "one\ntwo\nthree"
+    assert H.main_text("<p title=\"a>b\">one</p><p title='>two</p>") == "one\ntwo"
+    assert H.main_text("<p>one<!-- <p>two</p>") == "one"
+    assert H.main_text("<p>one</p><script>if (a</b) x</script ><p>two</p>") == "one\ntwo"
+    assert H.main_text("<ul><li>a, one<li>b, two<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>") == "a, one\nb, two\nc\nd\ne\nf\ng"
+
+
+def test_html_scores_against_brute_force():
+    """The points of every container in random trees, worked out block by block and ancestor by ancestor."""
+    r = random.Random(11)
+
+    def grow(depth: int) -> tuple:
+        if depth == 0 or r.random() < 0.2:
+            words = [r.choice(WORDS) + r.choice(["", "", ","]) for _ in range(r.randrange(3, 60))]
+            return "p", " ".join(words) + ".", r.choice([0, 0, 0, len(words) // 2])
+        return "div", [grow(depth - 1) for _ in range(r.randrange(1, 5))], 0
+
+    def html(node: tuple) -> str:
+        if node[0] == "div":
+            return f"<div>{''.join(map(html, node[1]))}</div>"
+        words = node[1].split()
+        return f"<p><a href=x>{' '.join(words[: node[2]])}</a> {' '.join(words[node[2] :])}</p>"
+
+    def blocks(node: tuple, path: tuple = ()) -> list[tuple]:
+        if node[0] == "p":
+            linked = len(" ".join(node[1].split()[: node[2]]))
+            return [(path, node[1], linked / len(node[1]))]
+        return [b for i, x in enumerate(node[1]) for b in blocks(x, (*path, i) if x[0] == "div" else path)]
+
+    for trial in range(80):
+        tree = ("div", [grow(3) for _ in range(3)], 0)
+        found = blocks(tree)
+        # Paths name the containers: () is the outermost div, and above it stands the page.
+        points: Counter = Counter()
+        for path, text, share in found:
+            worth = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - share)
+            chain = [path[:k] for k in range(len(path), -1, -1)] + ["page"]
+            for level, at in enumerate(chain):
+                points[at] += worth * (1 if level == 0 else 1 / 2 if level == 1 else 1 / (3 * level))
+        inside = lambda at: [b for b in found if at == "page" or b[0][: len(at)] == at]
+        density = lambda at: sum(len(t) * s for _, t, s in inside(at)) / max(1, sum(len(t) for _, t, _ in inside(at)))
+        best = max(points, key=lambda at: (points[at] * (1 - density(at)), at == "page", -len(at)))
+        page = H.Page(html(tree))
+        assert [(t, round(s, 6)) for _, t, s in page.blocks] == [(t, round(s, 6)) for _, t, s in found]
+        text = H.main_text(html(tree)).split("\n")
+        want = [t for _, t, _ in inside(best)]
+        assert [t for t in text if t in want] == want  # the best container whole and in order
+        for at in {b[0][: len(best) if best != "page" else 0] for b in found} if best not in ("page", ()) else ():
+            if at != best and at[:-1] == best[:-1]:  # its siblings by their share of links
+                assert all((t in text) == (density(at) < 0.25) for _, t, _ in inside(at))
+
+
 def test_classifier(spark):
     rows = [(i, prose(i, 60) if i % 2 else " ".join(f"{w.upper()}!!" for w in prose(i, 60).split())) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

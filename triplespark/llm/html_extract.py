@@ -29,9 +29,14 @@ ASIDE = frozenset(
     "modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar widget widgets".split()
 )
+#: Beside these a word of the above tells what stands around an element, as in has-sidebar or comments-open.
+QUALIFIERS = frozenset("has have with without no not is open closed enabled disabled on off".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_UNQUOTED = re.compile(r"[^'\">]*")
+_ZEROS = re.compile(r"&#0+(?=[0-9])")
+_TOO_LARGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{9,});?")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -40,86 +45,100 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
+def _decoded(text: str) -> str:
+    """The text with its character references decoded; numbers beyond all characters become replacement characters."""
+    if "&" not in text:
+        return text
+    return unescape(_TOO_LARGE.sub("\ufffd", _ZEROS.sub("&#", text)))
+
+
 class Page:
-    """Elements in page order (tag, parent, dropped, named like an aside) and blocks of text (element, text, share of links)."""
+    """Elements in page order (tag, parent, dropped, named like an aside) and blocks of text (element, text, share of links).
+
+    A page is read once from left to right, and each step takes a time that doesn't grow with how
+    deep the page is nested, so malformed pages take no longer than others of their length. A `<`
+    that begins no tag is text; a tag whose quotes never close ends at the next `>`, as then do all
+    tags after it, and a tag or comment without an end takes the rest of the page. Unknown end
+    tags are passed over, and elements that stay open end with the page.
+    """
 
     def __init__(self, html: str):
         self.tag, self.parent, self.dropped, self.named = ["#root"], [0], [False], [False]
         self.blocks: list[tuple[int, str, float]] = []
-        self.links = [0]
         self._open, self._text, self._linked, self._in_link = [0], [], 0, 0
+        self._depths: dict[str, list[int]] = {}  # by tag, where it stands among the open elements
+        self._outer = [0]  # where those that aren't inline stand
         self._read(html)
+        self.links = [0] * len(self.tag)
+        for e in range(len(self.tag) - 1, 0, -1):
+            self.links[self.parent[e]] += self.links[e] + (self.tag[e] == "a")
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join(unescape("".join(self._text)).split())
+            text = " ".join(_decoded("".join(self._text)).split())
             if text:
-                owner = next(e for e in reversed(self._open) if self.tag[e] not in INLINE)
-                self.blocks.append((owner, text, min(1.0, self._linked / len(text))))
+                self.blocks.append((self._open[self._outer[-1]], text, min(1.0, self._linked / len(text))))
         self._text, self._linked = [], 0
 
     def _close_to(self, depth: int) -> None:
-        closed = self._open[depth:]
-        if any(self.tag[e] not in INLINE for e in closed):
+        if self._outer[-1] >= depth:
             self._flush()
-        self._in_link -= sum(self.tag[e] == "a" for e in closed)
-        del self._open[depth:]
+        while len(self._open) > depth:
+            tag = self.tag[self._open.pop()]
+            self._depths[tag].pop()
+            self._in_link -= tag == "a"
+        while self._outer[-1] >= depth:
+            self._outer.pop()
+
+    def _last(self, *tags: str) -> int:
+        """Where the innermost open element of these stands; 0 if none is open."""
+        return max((self._depths[t][-1] for t in tags if self._depths.get(t)), default=0)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self._text.append(" ")
             return
         if tag not in INLINE:
-            for i in range(len(self._open) - 1, 0, -1):
-                own = self.tag[self._open[i]]
-                if own == "p" or own in HEADINGS and tag in HEADINGS:
-                    self._close_to(i)
-                    break
-                if own not in INLINE:
-                    break
-            kinds, until = _CLOSES.get(tag, ((), ()))
-            for i in range(len(self._open) - 1, 0, -1) if kinds else ():
-                own = self.tag[self._open[i]]
-                if own in until:
-                    break
-                if own in kinds:
-                    self._close_to(i)
-                    if tag != "tr" or own == "tr":
-                        break
+            own = self.tag[self._open[self._outer[-1]]]
+            if own == "p" or own in HEADINGS and tag in HEADINGS:
+                self._close_to(self._outer[-1])
+            if tag in _CLOSES:
+                kinds, until = _CLOSES[tag]
+                around = self._last(*until)
+                own = self._last("tr") if tag == "tr" else 0
+                depth = own if own > around else self._last(*kinds)
+                if depth > around:
+                    self._close_to(depth)
             self._flush()
         up = self._open[-1]
         e = len(self.tag)
         self.tag.append(tag)
         self.parent.append(up)
-        aside, named = self._is_aside(tag, attributes, up)
+        aside, named = self._is_aside(tag, attributes)
         # Whether a name tells the truth is only known with the whole page; text within a sentence goes at once.
         self.dropped.append(self.dropped[up] or aside or named and tag in INLINE)
         self.named.append(named)
-        self.links.append(0)
-        if tag == "a":
-            for k in self._open:
-                self.links[k] += 1
         if tag not in VOID:
+            self._depths.setdefault(tag, []).append(len(self._open))
+            if tag not in INLINE:
+                self._outer.append(len(self._open))
             self._open.append(e)
             self._in_link += tag == "a"
 
-    def _is_aside(self, tag: str, attributes: str, up: int) -> tuple[bool, bool]:
+    def _is_aside(self, tag: str, attributes: str) -> tuple[bool, bool]:
         """Whether an element is no text of the article, and whether its class or id says so."""
         if tag in DROPPED:
             return True, False
         if tag == "header":  # of the page; an article's own header holds its title
-            while up:
-                if self.tag[up] in ("article", "main"):
-                    return False, False
-                up = self.parent[up]
-            return True, False
+            return not self._last("article", "main"), False
         if not attributes.strip() or tag in ("html", "body", "article", "main"):
             return False, False
         given = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
         if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in ROLES or _HIDDEN.search(given.get("style", "")):
             return True, False
         names = f"{given.get('class', '')} {given.get('id', '')}"
-        return False, any(w.lower() in ASIDE for w in _WORD.findall(names))
+        words = [{w.lower() for w in _WORD.findall(name)} for name in names.split()]
+        return False, any(w & ASIDE and not w & QUALIFIERS for w in words)
 
     def kept(self) -> list[tuple[int, str, float]]:
         """The blocks without those of elements whose names are of asides, unless they hold most of the page's prose."""
@@ -134,36 +153,67 @@ class Page:
         return [b for b in self.blocks if not out[b[0]]]
 
     def _read(self, html: str) -> None:
-        at, end = 0, len(html)
+        at, until, end = 0, 0, len(html)  # text begins at `at`; the next tag is sought from `until`
+        quoted = True
         while at < end:
-            m = _TAG.search(html, at)
-            until = m.start() if m else end
-            if until > at and not self.dropped[self._open[-1]]:
-                piece = html[at:until]
-                self._text.append(piece)
-                if self._in_link:
-                    self._linked += len(" ".join(unescape(piece).split()))
-            if not m:
+            begin = html.find("<", until)
+            if begin < 0:
+                self._piece(html[at:])
                 break
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
+            closing = html.startswith("/", begin + 1)
+            name = _NAME.match(html, begin + 1 + closing)
+            if name is None and not html.startswith(("!", "?", "/"), begin + 1):
+                until = begin + 1
+                continue
+            self._piece(html[at:begin])
+            if name is None:
+                if html.startswith("<!--", begin):
+                    stop = html.find("-->", begin + 4)
+                    at = until = stop + 3 if stop >= 0 else end
+                else:
+                    at = until = html.find(">", begin) + 1 or end
+                continue
+            stop = self._tag_end(html, name.end()) if quoted else -1
+            if stop < 0:
+                quoted = False
+                stop = html.find(">", name.end())
+                if stop < 0:
+                    break
+            at = until = stop + 1
+            tag = name[0].lower()
+            if closing:
+                depth = self._last(tag)
+                if depth:
+                    self._close_to(depth)
                 continue
-            if m[1] or m[4]:
-                for i in range(len(self._open) - 1, 0, -1):
-                    if self.tag[self._open[i]] == tag:
-                        self._close_to(i)
-                        break
-            else:
-                attributes = m[3] if m[2] else m[6]
-                closed = attributes.endswith("/")
-                self._start(tag, attributes)
-                if tag in RAW and not closed:
-                    close = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
-                    at = close.end() if close else end
-                    self._close_to(len(self._open) - 1)
+            attributes = html[name.end() : stop]
+            self._start(tag, attributes)
+            if tag in RAW and not attributes.endswith("/"):
+                close = re.compile(f"</{re.escape(tag)}(?![^\\s/>])", re.I).search(html, at)
+                stop = html.find(">", close.end()) if close else -1
+                at = until = stop + 1 if stop >= 0 else end
+                self._close_to(len(self._open) - 1)
         self._flush()
 
+    def _piece(self, piece: str) -> None:
+        if piece and not self.dropped[self._open[-1]]:
+            self._text.append(piece)
+            if self._in_link:
+                self._linked += len(" ".join(_decoded(piece).split()))
+
+    @staticmethod
+    def _tag_end(html: str, at: int) -> int:
+        """Where the tag's `>` outside quotes stands; -1 if there is none."""
+        while True:
+            at = _UNQUOTED.match(html, at).end()
+            if at >= len(html):
+                return -1
+            if html[at] == ">":
+                return at
+            at = html.find(html[at], at + 1) + 1
+            if not at:
+                return -1
+
 
 def main_text(html: str | None) -> str:
     """Blocks of the best container and of its siblings that are prose, joined by line feeds; empty if there is none."""
