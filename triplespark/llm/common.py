@@ -60,6 +60,17 @@ def written(df: DataFrame, name: str, values: dict[str, str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, keys: list[str]) -> DataFrame:
+    """`df` as a table in the shared folder, dealt into buckets by `keys`, so that joins by them don't deal it again."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    with settings(spark, _WRITING):
+        df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # the catalog's entry alone; the files stay
+    return out
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that `written` gave; nothing may read it any more."""
     spark = df.sparkSession

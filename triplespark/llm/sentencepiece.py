@@ -8,7 +8,7 @@ best-scoring path (Viterbi), for BPE models by the merges in the order of their
 is what those models mean. Characters without a piece become pieces for their bytes.
 
 The most frequent units, at most `HEAD`, are broadcast with their ids. Each text travels as the
-numbers of its units; its rarer units come to it by joins.
+numbers of its units, dealt once into buckets, in which its rarer units come to it by joins.
 """
 
 from __future__ import annotations
@@ -28,22 +28,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import written
+from .common import bucketed, dropped, written
 
 SPACE = "\u2581"
 #: The most units that are broadcast.
 HEAD = 500_000
 #: Units of a partition while their edges are grouped, and the most partitions.
-UNITS_EACH = 20_000
+UNITS_EACH = 10_000
 MOST_PARTS = 100_000
+#: Units in the texts of a bucket, and the most buckets.
+UNITS_A_BUCKET = 4_000_000
+MOST_BUCKETS = 50_000
 #: Characters of the longest unit whose lattice is folded.
 LONG = 250
 #: Score of a character without a piece, below the model's least score.
 PENALTY = 10.0
 #: Bytes of texts and units that a task takes at a time, and counts of units that it holds.
-CHARS_EACH = 8_000_000
-UNITS_AT_ONCE = 1_000_000
-HELD = 1_000_000
+CHARS_EACH = 4_000_000
+UNITS_AT_ONCE = 500_000
+HELD = 500_000
 
 
 @dataclass
@@ -168,7 +171,8 @@ def _edges(units: DataFrame, model: Model) -> DataFrame:
     starts = units.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("_s")).withColumn("_x", F.expr(f"substring(unit, _s + 1, {longest})"))
     first = F.when(F.col("_s") == 0, F.lit(0)).otherwise(F.lit(1))
     spans = starts.select(*own, "_s", "_x", F.explode(F.sequence(first, F.length("_x"))).alias("_k"))
-    found = spans.withColumn("piece", F.expr("left(_x, _k)")).join(table, "piece")
+    # Never null, which is said so that it isn't asked of each span.
+    found = spans.withColumn("piece", F.coalesce(F.expr("left(_x, _k)"), F.lit(""))).join(table, "piece")
     place = F.when(F.col("_k") > 0, _key(F.col("_s"), F.col("_s") + F.col("_k"))).otherwise(F.lit(0)).cast("long")
     edges = found.groupBy(*own).agg(F.collect_list(F.shiftleft(place, 2 * BITS).bitwiseOR(F.col("v"))).alias("e"))
     values = F.transform("e", lambda x: x.bitwiseAND(F.lit((1 << 2 * BITS) - 1)))
@@ -430,10 +434,12 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids",
     docs = docs.drop(*[c for c in (ids, "_t", "_v", "_c", "_u") if c != text])
     passed = [c for c in docs.columns if keep_text or c != text]
     counted = written(_unit_counts(docs, model, text), "units")
+    distinct, total = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     # Small partitions, so that the edges of each are grouped in memory.
-    parts = max(1, min(MOST_PARTS, counted.count() // UNITS_EACH))
+    parts = max(1, min(MOST_PARTS, distinct // UNITS_EACH))
     lexicon = segment(counted.repartition(parts, "unit"), model)
     lexicon = written(lexicon, "lexicon", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(10 * UNITS_EACH)})
+    dropped(counted)
     often = F.col("c") >= _frequent(lexicon, head)
     # The commonest first, so that their numbers are small.
     known = lexicon.where(often).select("unit", "ids", "c").toArrow().sort_by([("c", "descending")])
@@ -442,34 +448,28 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids",
     units = spark.sparkContext.broadcast((model, known.column("unit").combine_chunks()))
     values = spark.sparkContext.broadcast(table)
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(*units.value)
-        for batch in batches:
-            owner, places, names = [], [], []
-            for i, row in enumerate(coder.coded(batch.column(text))):
-                if row and row[1]:
-                    owner.append(np.full(len(row[1]), i))
-                    places.append(np.arange(len(row[1])))
-                    names.extend(row[1])
-            if names:
-                at = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([batch.column("_t").take(at), batch.column("_v").take(at), pa.array(np.concatenate(places), pa.int32()), pa.array(names, pa.string())], ["_t", "_v", "j", "unit"])
-
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(*units.value)
         for batch in batches:
-            codes = [None if row is None else _packed(row[0]) for row in coder.coded(batch.column(text))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], batch.column("_t"), batch.column("_v"), pa.array(codes, pa.binary())], [*passed, "_t", "_v", "_c"])
+            codes, rare = [], []
+            for row in coder.coded(batch.column(text)):
+                codes.append(None if row is None else _packed(row[0]))
+                rare.append(row[1] if row else [])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*passed, "_t", "_v")], pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], [*passed, "_t", "_v", "_c", "_r"])
 
     # Rows are known by two hashes of all they hold; rows that are equal throughout share their lists.
     plain = [F.col(c) for c in docs.columns if c == text or not any(x in docs.schema[c].dataType.simpleString() for x in ("map<", "variant"))]
     keyed = docs.withColumns({"_t": F.xxhash64(*plain), "_v": F.xxhash64(F.lit(1), *plain)})
-    tail = keyed.select("_t", "_v", text).mapInArrow(rare, "_t long, _v long, j int, unit string")
+    fields = [docs.schema[c] for c in passed]
+    kinds = {"_t": T.LongType(), "_v": T.LongType(), "_c": T.BinaryType(), "_r": T.ArrayType(T.StringType())}
+    packed = keyed.select(*dict.fromkeys([*passed, text, "_t", "_v"])).mapInArrow(coded, T.StructType([*fields, *[T.StructField(c, k) for c, k in kinds.items()]]))
+    # Texts are dealt once, into buckets in which their rarer units find them.
+    buckets = max(1, min(MOST_BUCKETS, total // UNITS_A_BUCKET))
+    packed = bucketed(packed, "texts", buckets, ["_t", "_v"])
+    tail = packed.select("_t", "_v", F.posexplode("_r").alias("j", "unit"))
     tail = tail.join(lexicon.where(~often).select("unit", "ids"), "unit").select("_t", "_v", "j", "ids")
     # Dealt before they are gathered: a partial list for each row would be several times as large.
-    tail = tail.repartition("_t", "_v").groupBy("_t", "_v").agg(F.collect_set(F.struct("j", "ids")).alias("_u"))
-    fields = [docs.schema[c] for c in passed]
-    packed = keyed.select(*dict.fromkeys([*passed, text, "_t", "_v"])).mapInArrow(coded, T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("_t", "_v")], T.StructField("_c", T.BinaryType())]))
+    tail = tail.repartition(buckets, "_t", "_v").groupBy("_t", "_v").agg(F.collect_set(F.struct("j", "ids")).alias("_u"))
     out = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     kind = to_arrow_type(T.ArrayType(T.IntegerType()))
 
