@@ -200,6 +200,103 @@ def test_outliers_are_many(spark, share):
         assert [i for i in range(n) if out[i]] == list(range(junk, n))
 
 
+def least_determinant(x: np.ndarray, starts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Concentration steps from each start (mean, inverse): log-determinant, mean and covariance of the best half."""
+    floors = np.diag(np.square(Q.FLOORS))
+    best = (np.inf, None, None)
+    for m, inv in starts:
+        last = np.inf
+        while True:
+            z = x - m
+            d = np.einsum("ij,jk,ik->i", z, inv, z)
+            own = x[d <= np.sort(d)[(len(x) + 1) // 2 - 1]]
+            m, cov = own.mean(0), Q.HALF * np.cov(own.T, bias=True) + floors
+            inv, det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+            if det < best[0]:
+                best = (det, m, cov)
+            if det >= last - 1e-6:
+                break
+            last = det
+    return best
+
+
+def stated_starts(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Medians and deviations, all rows, and the half nearest to the median in each feature."""
+    middle = lambda v: np.sort(v)[(len(v) + 1) // 2 - 1]
+    floors = np.square(Q.FLOORS)
+    m = np.array([middle(c) for c in x.T])
+    mad = np.array([middle(c) for c in np.abs(x - m).T])
+    sets = [x] + [x[np.abs(x[:, i] - m[i]) <= mad[i]] for i in range(Q.D)]
+    return [(m, np.diag(1 / ((1.4826 * mad) ** 2 + floors)))] + [(s.mean(0), np.linalg.inv(np.cov(s.T, bias=True) + np.diag(floors))) for s in sets]
+
+
+def random_starts(x: np.ndarray, r: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    sets = [x[r.choice(len(x), Q.D + 1, replace=False)] for _ in range(100)]
+    return [(s.mean(0), np.linalg.inv(np.cov(s.T, bias=True) + np.diag(np.square(Q.FLOORS)))) for s in sets]
+
+
+def reweighted(x: np.ndarray, m: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+    near = x[d <= max(np.sort(d)[(len(x) + 1) // 2 - 1] / 4.35, 1.0) * 12.83]
+    return near.mean(0), np.linalg.inv(np.cov(near.T, bias=True) + np.diag(np.square(Q.FLOORS)))
+
+
+@pytest.mark.parametrize("groups", [20_000, 0])
+def test_estimates_match_numpy(spark, monkeypatch, groups):
+    """The estimates from all starts; with params broadcast, and with salted groups. Random starts find no half that is much better."""
+    monkeypatch.setattr(Q, "GROUPS", groups)
+    monkeypatch.setattr(Q, "BEST", 7)
+    r = np.random.default_rng(4)
+    want, rows = {}, []
+    for name, share in (("a", 0.0), ("b", 0.25), ("c", 0.42)):
+        mix = r.normal(size=(Q.D, Q.D)) * 0.4
+        x = r.normal(size=(300, Q.D)) @ mix
+        x[: int(300 * share)] += 6
+        det, m, cov = least_determinant(x, stated_starts(x))
+        assert det < least_determinant(x, random_starts(x, r))[0] + 0.15
+        want[name] = reweighted(x, m, cov)
+        assert share == 0 or abs(want[name][0]).max() < 0.3
+        rows += [(name, v.tolist()) for v in x]
+    got = Q.minimum_covariance(spark.createDataFrame(rows, "grp string, f array<double>")).collect()
+    assert sorted(g["grp"] for g in got) == ["a", "b", "c"]
+    for g in got:
+        assert np.allclose(g["m"], want[g["grp"]][0], atol=1e-6) and np.allclose(g["inv"], want[g["grp"]][1], rtol=1e-4, atol=1e-6)
+
+
+def test_verdict_against_brute_force(spark, monkeypatch):
+    """Every row's distance and verdict, by the estimate of its source, its language or the whole table."""
+    rows = []
+    for i in range(260):
+        x = prose(i, 60 + i % 50)
+        x = " ".join(f"{w}##" for w in x.split()) if i % 23 == 0 else x.upper() if i % 31 == 0 else x
+        lang, source = ("en", "a") if i < 120 else ("en", "b") if i < 150 else ("de", None) if i < 240 else (None, "c")
+        rows.append((i, x, lang, source))
+    rows += [(900, None, "en", "a"), (901, "", None, None), (902, "one two " * 40, "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    x = {q["doc_id"]: (np.array(q["v"]), q["bad"]) for q in Q.text_statistics(docs).select("doc_id", Q.features().alias("v"), Q.base_failed().alias("bad")).collect()}
+    good = [k for k, (_, bad) in x.items() if not bad]
+    place = {k: (lang, source) for k, _, lang, source in rows}
+    monkeypatch.setattr(Q, "BEST", 7)
+    estimates: dict = {}
+
+    def estimate(level: tuple) -> tuple[np.ndarray, np.ndarray]:
+        if level not in estimates:
+            own = np.array([x[k][0] for k in good if place[k][: len(level)] == level])
+            estimates[level] = reweighted(own, *least_determinant(own, stated_starts(own))[1:])
+        return estimates[level]
+
+    size = lambda level: sum(place[k][: len(level)] == level for k in good)
+    out = {q["doc_id"]: q for q in Q.quality_rules(docs).collect()}
+    assert len(out) == len(rows) and any(not out[k]["kept"] for k in good) and sum(out[k]["kept"] for k in good) > 200
+    for k, (v, bad) in x.items():
+        level = next(n for n in (place[k], place[k][:1], ()) if n == () or size(n) >= 60)
+        m, inv = estimate(level)
+        d2 = float((v - m) @ inv @ (v - m))
+        assert out[k]["base_failed"] == bad and out[k]["kept"] == (not bad and d2 <= Q.CUT)
+        if not bad:
+            assert abs(out[k]["d2"] - d2) < 1e-4 * max(1.0, d2)
+
+
 def test_determinant_matches_numpy(spark):
     r = np.random.default_rng(3)
     a = r.normal(size=(Q.D, Q.D))
