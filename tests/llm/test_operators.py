@@ -171,6 +171,42 @@ def test_signatures_and_sketches_lose_no_pair():
             assert apart <= len(a) + len(b) - 2 * both
 
 
+def test_subsets_of_partitions_are_enumerated():
+    bands = J.Bands(85)
+    shapes = [bands.partitions(b) for b in range(bands.band(3000))]
+    assert all(n1 * (k2 + 1) > k and n2 > k2 for k, n1, n2, k2 in shapes) and any(k2 for _, _, _, k2 in shapes)
+    r = np.random.default_rng(8)
+    for size in (7, 9, 13, 20, 23, 48):
+        a = r.integers(0, 1 << 62, size).astype(np.uint64)
+        k, n1, n2, k2 = bands.partitions(bands.band(size))
+        assert len(J.signatures(a, bands)) >= min(n1 * math.comb(n2, k2), size) / 2
+
+
+def test_unrelated_sets_share_no_bucket():
+    """Also those whose features fall into few partitions."""
+    r = np.random.default_rng(2)
+    bands = J.Bands(85)
+    for size in (1, 2, 5, 6, 7, 8, 10, 13, 20, 60, 200):
+        n = 4000 if size < 60 else 800
+        held = Counter()
+        for _ in range(n):
+            held.update(J.signatures(np.unique(r.integers(0, 1 << 62, size).astype(np.uint64)), bands).tolist())
+        assert max(held.values()) == 1
+
+
+def test_unevenly_dealt_sets_are_dealt_again():
+    """Pairs of which both have all features in few partitions of the first function, and differ in each of these."""
+    r = np.random.default_rng(3)
+    bands = J.Bands(85)
+    k, n1, n2, k2 = bands.partitions(bands.band(7))
+    place = lambda x: int(J._mix(np.array([x], np.uint64) ^ J._P[1])[0] % np.uint64(n1 * n2))
+    pool = [x for x in r.integers(0, 1 << 62, 4000).astype(np.uint64) if place(x) == 0]
+    for i in range(0, 700, 7):
+        a = np.sort(np.array(pool[i : i + 7], np.uint64))
+        b = a[1:]  # 6 of 7
+        assert set(J.signatures(a, bands)) & set(J.signatures(b, bands))
+
+
 def test_statistics_against_brute_force(spark, awkward):
     for r in Q.text_statistics(awkward.select("doc_id", "text")).collect():
         text = r["text"] or ""
@@ -563,5 +599,21 @@ def test_pieces_match_the_library(spark):
 
     library, model = sentencepiece.SentencePieceProcessor(model_file=path), E.read_model(path)
     texts = [*AWKWARD[:10], " a  b\n c ", "日本語\U0001f600x", prose(4, 500), "www.example.com/x?y=1&z=é"]
-    for r in E.decode(E.encode(spark.createDataFrame([(t,) for t in texts], "text string"), model), model).collect():
-        assert (r["ids"], r["decoded"]) == ((None, None) if r["text"] is None else (library.encode(r["text"]), r["text"]))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    # All units broadcast, some, and none, so that they come by joins; and texts read as the ids are made.
+    for found in (E.decode(E.encode(docs, model), model), E.decode(E.encode(docs, model, head=40), model), E.encode(docs, model, head=0, decoded="decoded")):
+        rows = found.collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            assert (r["ids"], r["decoded"]) == ((None, None) if r["text"] is None else (library.encode(r["text"]), r["text"]))
+
+
+def test_pieces_of_a_unigram_model(spark, model):
+    """Whole texts through the Viterbi fold: no other segmentation scores better, and the pieces give the text back."""
+    scores = dict(zip(model.pieces[1:], model.scores[1:]))
+    model = E.Model(model.pieces, model.scores, {}, {0}, 0, False, True)
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("ab") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 8))) for _ in range(40)]
+    for row in E.decode(E.encode(spark.createDataFrame([(t,) for t in texts], "text string"), model, head=10), model).collect():
+        assert row["decoded"] == row["text"]
+        assert abs(sum(model.scores[i] for i in row["ids"]) - best_segment("▁" + row["text"].replace(" ", "▁"), scores, -100.0)) < 1e-9

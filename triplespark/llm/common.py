@@ -34,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Shuffle files of a table that has been written are of no more use.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Shuffle files of a table that has been written are of no more use; long texts come in small batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 @contextmanager

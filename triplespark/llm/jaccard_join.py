@@ -4,10 +4,15 @@ A document's features are its distinct shingles. Sizes are cut into bands whose
 the factor of the threshold, so that two similar sets lie in the same or in neighbouring bands;
 each set takes part in the instance of its band and in the next one. In an instance whose
 largest size is u, similar sets differ in at most k = 2u(1-t)/(1+t) features. The feature
-domain is hashed into more than k partitions, so similar sets agree on a whole partition, and a
-set's signatures are the contents of its partitions (the enumerated subsets at the second level
-are single partitions). Partitions that are empty carry nothing, as long as more than k are
-filled; a set with fewer also emits its empty ones.
+domain is hashed into n1 groups of n2 partitions. Some group differs in at most
+k2 = ceil((k+1) / n1) - 1 of its partitions, so a set's signatures are the contents of all
+subsets of n2 - k2 partitions of a group. Each instance takes the n1, n2 and k2 with the fewest
+signatures that hold `FEATURES` features or more.
+
+Subsets without a feature carry nothing, as long as enough groups have more than k2 filled
+partitions: then a similar set shares a subset with a feature. A set in which that fails is
+dealt again by the next hash function, as is any similar set that it shares nothing with,
+because that fails for both. So no bucket gathers sets that have nothing in common.
 
 Exact copies are one class from the start, and each class is one vertex. A bucket of classes
 with the same signature is a star around one of its classes, in each of several rounds around
@@ -20,8 +25,10 @@ exact, so it drops no link.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,6 +41,10 @@ from .common import map_batches, written
 
 PERCENT = 85
 WIDTH = 4
+#: Features that a signature should hold on average.
+FEATURES = 5
+#: Hash functions that a set is dealt by until enough partitions are filled.
+AGAIN = 16
 #: Words of 64 bits in a set's sketch.
 SKETCH = 16
 #: Rounds of stars before what is left is compared pair by pair.
@@ -72,24 +83,33 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 class Bands:
-    """Instances of bands for a threshold in percent: the largest size u, the differences k, the partitions n."""
+    """Instances of bands for a threshold in percent: the largest size u of each, and how its signatures are made."""
 
     def __init__(self, percent: int):
         self.percent = percent
         self.upper = [1]
+        self.shapes: list[tuple[int, int, int, int]] = []
 
     def band(self, size: int) -> int:
         while self.upper[-1] < size:
             self.upper.append((self.upper[-1] + 1) * 100 // self.percent)
         return int(np.searchsorted(self.upper, size))
 
-    def partitions(self, band: int) -> tuple[int, int]:
-        self.band(1)
+    def partitions(self, band: int) -> tuple[int, int, int, int]:
+        """k, n1, n2 and k2 of an instance."""
         while len(self.upper) <= band:
             self.upper.append((self.upper[-1] + 1) * 100 // self.percent)
-        u = self.upper[band]
-        k = 2 * u * (100 - self.percent) // (100 + self.percent)
-        return k, k + 1 + k // 25
+        while len(self.shapes) <= band:
+            u, least = self.upper[len(self.shapes)], (self.upper[len(self.shapes) - 1] if self.shapes else 0) + 1
+            k = 2 * u * (100 - self.percent) // (100 + self.percent)
+            ways = []
+            for k2 in range(min(k, 3) + 1):
+                n1 = -(-(k + 1) // (k2 + 1))
+                for n2 in range(k2 + 1, k2 + 5):
+                    held = least * (n2 - k2) / (n1 * n2)
+                    ways.append((held < FEATURES, n1 * math.comb(n2, k2) if held >= FEATURES else -held, n1, n2, k2))
+            self.shapes.append((k, *min(ways)[2:]))
+        return self.shapes[band]
 
 
 def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
@@ -97,19 +117,24 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     if not len(features):
         return np.empty(0, np.int64)
     found, own = [], bands.band(len(features))
-    place, content = _mix(features ^ _P[1]), _mix(features ^ _P[2])
+    content = _mix(features ^ _P[2])
     for band in (own, own + 1):
-        k, n = bands.partitions(band)
-        part = (place % np.uint64(n)).astype(np.int64)
-        sums = np.zeros(n, np.uint64)
-        np.add.at(sums, part, content)
-        filled = np.flatnonzero(np.bincount(part, minlength=n))
-        tag = np.uint64((band + 1) * 0x9E3779B9)
-        found.append(_mix(sums[filled] + _mix(filled.astype(np.uint64) * _P[3] + tag)))
-        if len(filled) <= k:  # too few filled partitions: the empty ones count as well
-            empty = np.setdiff1d(np.arange(n), filled).astype(np.uint64)
-            found.append(_mix(_mix(empty * _P[4] + tag) + _P[5]))
-    return np.concatenate(found).view(np.int64)
+        k, n1, n2, k2 = bands.partitions(band)
+        for again in range(AGAIN):
+            place = (_mix(features * np.uint64(2 * again + 1) ^ _P[1]) % np.uint64(n1 * n2)).astype(np.int64)
+            filled = np.bincount(place, minlength=n1 * n2).reshape(n1, n2) > 0
+            enough = (filled.sum(1) > k2).sum() * (k2 + 1) > k
+            sums = np.zeros(n1 * n2, np.uint64)
+            np.add.at(sums, place, content)
+            parts = _mix(sums + _mix(np.arange(n1 * n2, dtype=np.uint64) * _P[3] + np.uint64((band + 1) * AGAIN + again))).reshape(n1, n2)
+            for n, subset in enumerate(combinations(range(n2), n2 - k2)):
+                own_parts = np.add.reduce(parts[:, subset], 1, dtype=np.uint64)
+                # After the last function sets that are still too unevenly dealt share their empty subsets.
+                emit = filled[:, subset].any(1) | (again + 1 == AGAIN and not enough)
+                found.append(_mix(own_parts[emit] + np.uint64(n << 32)))
+            if enough:
+                break
+    return np.unique(np.concatenate(found).view(np.int64))
 
 
 def sketch(features: np.ndarray) -> np.ndarray:

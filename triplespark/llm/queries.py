@@ -14,7 +14,7 @@ from .license_scan import license_scan
 from .lm_score import lm_score
 from .quality_classifier import quality_classifier, train_quality
 from .quality_rules import quality_rules
-from .sentencepiece import Model, decode, encode, read_model
+from .sentencepiece import Model, encode, read_model
 from .url_filters import GLOBS, RULES, url_filters
 
 
@@ -74,7 +74,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the whole text, their number, and whether they decode to the same text (by a 64-bit hash)."""
     model = public_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    out = decode(encode(docs, model, keep_text=False), model)
+    out = encode(docs, model, keep_text=False, decoded="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("decoded") == F.col("hash")).alias("same_text"))
 
 

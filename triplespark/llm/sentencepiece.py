@@ -34,7 +34,7 @@ SPACE = "\u2581"
 #: The most units that are broadcast.
 HEAD = 500_000
 #: Units of a partition while their edges are grouped, and the most partitions.
-UNITS_EACH = 10_000
+UNITS_EACH = 20_000
 MOST_PARTS = 100_000
 #: Units in the texts of a bucket, and the most buckets.
 UNITS_A_BUCKET = 4_000_000
@@ -44,9 +44,9 @@ LONG = 250
 #: Score of a character without a piece, below the model's least score.
 PENALTY = 10.0
 #: Bytes of texts and units that a task takes at a time, and counts of units that it holds.
-CHARS_EACH = 4_000_000
-UNITS_AT_ONCE = 500_000
-HELD = 500_000
+CHARS_EACH = 2_000_000
+UNITS_AT_ONCE = 300_000
+HELD = 400_000
 
 
 @dataclass
@@ -346,10 +346,11 @@ def _unit_counts(docs: DataFrame, model: Model, text: str) -> DataFrame:
                 for _, _, numbers, units, n in cutter.units(texts):
                     times = np.bincount(numbers, minlength=len(n))
                     held.append(pa.table({"unit": units, "c": np.repeat(times, n)}))
-            if sum(map(len, held)) > HELD:
-                held[:] = [summed()]
-                if len(held[0]) > HELD // 2:
-                    yield from held.pop().to_batches()
+                if sum(map(len, held)) > HELD:
+                    held[:] = [summed()]
+                    pa.default_memory_pool().release_unused()
+                    if len(held[0]) > HELD * 3 // 4:
+                        yield from held.pop().to_batches()
         if held:
             yield from summed().to_batches()
 
@@ -423,15 +424,16 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids", keep_text: bool = True, head: int = HEAD) -> DataFrame:
+def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids", keep_text: bool = True, head: int = HEAD, decoded: str | None = None) -> DataFrame:
     """`docs` with the ids of each whole text as an array of int; null for a null text, empty for an empty one.
 
     Rows are known by hashes of what they hold, so keys are not needed, and repeated rows and
     null keys do no harm. A column of `docs` named like `ids` is replaced; the text itself is
-    passed on only if `keep_text`. At most `head` units are broadcast.
+    passed on only if `keep_text`. At most `head` units are broadcast. With `decoded` the text
+    that the ids stand for is added under that name, as by `decode`.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in (ids, "_t", "_v", "_c", "_u") if c != text])
+    docs = docs.drop(*[c for c in (ids, decoded, "_t", "_v", "_c", "_r", "_u") if c and c != text])
     passed = [c for c in docs.columns if keep_text or c != text]
     counted = written(_unit_counts(docs, model, text), "units")
     distinct, total = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
@@ -470,7 +472,8 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids",
     tail = tail.join(lexicon.where(~often).select("unit", "ids"), "unit").select("_t", "_v", "j", "ids")
     # Dealt before they are gathered: a partial list for each row would be several times as large.
     tail = tail.repartition(buckets, "_t", "_v").groupBy("_t", "_v").agg(F.collect_set(F.struct("j", "ids")).alias("_u"))
-    out = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    out = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
+    texts = spark.sparkContext.broadcast(Texts(model)) if decoded else None
     kind = to_arrow_type(T.ArrayType(T.IntegerType()))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,7 +485,9 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids",
                 total += 0 if c is None else len(codes[-1])
                 if total >= UNITS_AT_ONCE or i + 1 == batch.num_rows:
                     part = batch.slice(done, len(codes))
-                    yield pa.RecordBatch.from_arrays([*[part.column(p) for p in passed], _lists(codes, part.column("_u"), *values.value, kind)], out.fieldNames())
+                    lists = _lists(codes, part.column("_u"), *values.value, kind)
+                    more = [pa.array(texts.value.read(lists), pa.string())] if texts else []
+                    yield pa.RecordBatch.from_arrays([*[part.column(p) for p in passed], lists, *more], out.fieldNames())
                     done, codes, total = i + 1, [], 0
 
     joined = packed.join(tail, ["_t", "_v"], "left").select(*passed, "_c", "_u")
@@ -509,40 +514,48 @@ def _lists(codes: list[np.ndarray | None], rare: pa.Array, flat: np.ndarray, off
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()), type=kind, mask=pa.array([c is None for c in codes], pa.bool_()))
 
 
-def decode(docs: DataFrame, model: Model, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """`docs` with the text that each array of ids stands for; null for a null array, empty for an empty one.
-
-    Control pieces and ids outside the model stand for nothing, as do nulls; bytes that are not
-    UTF-8 become replacement characters. A column named like `text` is replaced.
-    """
-    passed = [c for c in docs.columns if c != text]
-    raw = [b"" if i in model.hidden else p.replace(SPACE, " ").encode() for i, p in enumerate(model.pieces)]
-    for byte, i in model.bytes.items():
-        raw[i] = bytes([byte])
-    raw.append(b"")  # what ids outside the model stand for
-    shared = docs.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
-    schema = T.StructType([*[docs.schema[c] for c in passed], T.StructField(text, T.StringType())])
+class Texts:
+    """The bytes that each id stands for, and nothing for ids outside the model."""
 
-    def read(lists: pa.Array) -> list[str | None]:
-        data, offsets = shared.value
+    def __init__(self, model: Model):
+        raw = [b"" if i in model.hidden else p.replace(SPACE, " ").encode() for i, p in enumerate(model.pieces)]
+        for byte, i in model.bytes.items():
+            raw[i] = bytes([byte])
+        raw.append(b"")
+        self.data, self.offsets, self.prefix = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), model.prefix
+
+    def read(self, lists: pa.Array) -> list[str | None]:
+        """The text of each list of ids."""
         out: list[str | None] = []
+        outside = len(self.offsets) - 2
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         parts = np.flatnonzero(np.diff(np.cumsum(sizes) // UNITS_AT_ONCE, prepend=-1)).tolist()
         for a, b in zip(parts, [*parts[1:], len(lists)]):
             part = lists.slice(a, b - a)
             i = pc.fill_null(part.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            i = np.where((i >= 0) & (i < len(offsets) - 2), i, len(offsets) - 2)
-            n = offsets[i + 1] - offsets[i]
-            found = _spans(data, offsets[i], n).tobytes()
+            i = np.where((i >= 0) & (i < outside), i, outside)
+            n = self.offsets[i + 1] - self.offsets[i]
+            found = _spans(self.data, self.offsets[i], n).tobytes()
             ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(sizes[a:b]))].tolist()
             for missing, x, y in zip(part.is_null().to_pylist(), ends, ends[1:]):
-                if model.prefix and found[x : x + 1] == b" ":
+                if self.prefix and found[x : x + 1] == b" ":
                     x += 1
                 out.append(None if missing else found[x:y].decode("utf-8", "replace"))
         return out
 
+
+def decode(docs: DataFrame, model: Model, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """`docs` with the text that each array of ids stands for; null for a null array, empty for an empty one.
+
+    Control pieces and ids outside the model stand for nothing, as do nulls; bytes that are not
+    UTF-8 become replacement characters. A column named like `text` is replaced.
+    """
+    passed = [c for c in docs.columns if c != text]
+    shared = docs.sparkSession.sparkContext.broadcast(Texts(model))
+    schema = T.StructType([*[docs.schema[c] for c in passed], T.StructField(text, T.StringType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], pa.array(read(batch.column(ids)), pa.string())], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], pa.array(shared.value.read(batch.column(ids)), pa.string())], schema.fieldNames())
 
     return docs.select(*dict.fromkeys([*passed, ids])).mapInArrow(run, schema)
