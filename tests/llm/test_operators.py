@@ -608,6 +608,15 @@ def test_pieces_match_the_library(spark):
             assert (r["ids"], r["decoded"]) == ((None, None) if r["text"] is None else (library.encode(r["text"]), r["text"]))
 
 
+def test_numbers_of_units_packed():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 7, 1000):
+        codes = np.concatenate([r.integers(0, 1 << k, n) for k in (3, 7, 8, 14, 15, 21, 22, 28)]) if n else np.empty(0, np.int64)
+        assert np.array_equal(E._unpacked(E._packed(codes)), codes)
+    edge = np.array([0, 127, 128, (1 << 14) - 1, 1 << 14, (1 << 21) - 1, 1 << 21, (1 << 28) - 1])
+    assert np.array_equal(E._unpacked(E._packed(edge)), edge)
+
+
 def test_pieces_of_a_unigram_model(spark, model):
     """Whole texts through the Viterbi fold: no other segmentation scores better, and the pieces give the text back."""
     scores = dict(zip(model.pieces[1:], model.scores[1:]))

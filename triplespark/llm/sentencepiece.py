@@ -44,7 +44,7 @@ LONG = 250
 #: Score of a character without a piece, below the model's least score.
 PENALTY = 10.0
 #: Bytes of texts and units that a task takes at a time, and counts of units that it holds.
-CHARS_EACH = 2_000_000
+CHARS_EACH = 6_000_000
 UNITS_AT_ONCE = 300_000
 HELD = 400_000
 
@@ -286,8 +286,8 @@ def _usable(model: Model) -> list[tuple[str, int, float]]:
     return [(p, i, float(s)) for i, (p, s) in enumerate(zip(model.pieces, model.scores)) if i not in skipped]
 
 
-def segment(units: DataFrame, model: Model) -> DataFrame:
-    """`units` with the ids of each distinct non-empty `unit`; other columns stay.
+def segment(units: DataFrame, model: Model, longest: int | None = None) -> DataFrame:
+    """`units` with the ids of each distinct non-empty `unit`; other columns stay. `longest` is the length of the longest one, if that is known.
 
     The fold's work grows with the square of a unit's length, so units of over `LONG` characters
     (runs in which every two neighbours stand together in a piece) are cut one by one in tasks,
@@ -302,6 +302,8 @@ def segment(units: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.assign(ids=[_long_ids(u, own, known, longest) for u in batch["unit"]])
 
+    if longest is not None and longest <= LONG:
+        return _folded(units, model)
     short, long = units.where(F.length("unit") <= LONG), units.where(F.length("unit") > LONG)
     schema = T.StructType([*units.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return _folded(short, model).unionByName(long.mapInPandas(cut, schema))
@@ -413,15 +415,24 @@ def _spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def _packed(codes: np.ndarray) -> bytes:
-    """Numbers below 2**32, their bytes by place, compressed."""
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(codes).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+    """Numbers below 2**28, seven bits to a byte and one for whether more follow, compressed."""
+    codes = codes.astype(np.uint32)
+    parts = np.stack([codes >> np.uint32(7 * k) & np.uint32(127) for k in range(4)], 1).astype(np.uint8)
+    more = np.stack([codes >= 1 << 7 * k for k in range(1, 4)], 1)
+    parts[:, :3] |= more.astype(np.uint8) << 7
+    data = parts[np.concatenate([np.ones((len(codes), 1), bool), more], 1)].tobytes()
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    planes = pa.Codec("zstd").decompress(data[4:], 4 * n, asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True), np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    size = np.diff(ends, prepend=-1)
+    out = raw[ends].astype(np.int64)
+    for k in range(1, 4):
+        own = size > k
+        out[own] = out[own] << 7 | raw[ends[own] - k] & 127
+    return out
 
 
 def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids", keep_text: bool = True, head: int = HEAD, decoded: str | None = None) -> DataFrame:
@@ -436,10 +447,10 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids",
     docs = docs.drop(*[c for c in (ids, decoded, "_t", "_v", "_c", "_r", "_u") if c and c != text])
     passed = [c for c in docs.columns if keep_text or c != text]
     counted = written(_unit_counts(docs, model, text), "units")
-    distinct, total = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    distinct, total, longest = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max(F.length("unit")), F.lit(0))).first()
     # Small partitions, so that the edges of each are grouped in memory.
     parts = max(1, min(MOST_PARTS, distinct // UNITS_EACH))
-    lexicon = segment(counted.repartition(parts, "unit"), model)
+    lexicon = segment(counted.repartition(parts, "unit"), model, longest)
     lexicon = written(lexicon, "lexicon", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(10 * UNITS_EACH)})
     dropped(counted)
     often = F.col("c") >= _frequent(lexicon, head)
@@ -456,19 +467,19 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids",
             codes, rare = [], []
             for row in coder.coded(batch.column(text)):
                 codes.append(None if row is None else _packed(row[0]))
-                rare.append(row[1] if row else [])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*passed, "_t", "_v")], pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], [*passed, "_t", "_v", "_c", "_r"])
+                rare.append(" ".join(row[1]) if row and row[1] else None)  # no unit holds a space
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*passed, "_t", "_v")], pa.array(codes, pa.binary()), pa.array(rare, pa.string())], [*passed, "_t", "_v", "_c", "_r"])
 
     # Rows are known by two hashes of all they hold; rows that are equal throughout share their lists.
     plain = [F.col(c) for c in docs.columns if c == text or not any(x in docs.schema[c].dataType.simpleString() for x in ("map<", "variant"))]
     keyed = docs.withColumns({"_t": F.xxhash64(*plain), "_v": F.xxhash64(F.lit(1), *plain)})
     fields = [docs.schema[c] for c in passed]
-    kinds = {"_t": T.LongType(), "_v": T.LongType(), "_c": T.BinaryType(), "_r": T.ArrayType(T.StringType())}
+    kinds = {"_t": T.LongType(), "_v": T.LongType(), "_c": T.BinaryType(), "_r": T.StringType()}
     packed = keyed.select(*dict.fromkeys([*passed, text, "_t", "_v"])).mapInArrow(coded, T.StructType([*fields, *[T.StructField(c, k) for c, k in kinds.items()]]))
     # Texts are dealt once, into buckets in which their rarer units find them.
     buckets = max(1, min(MOST_BUCKETS, total // UNITS_A_BUCKET))
     packed = bucketed(packed, "texts", buckets, ["_t", "_v"])
-    tail = packed.select("_t", "_v", F.posexplode("_r").alias("j", "unit"))
+    tail = packed.select("_t", "_v", F.posexplode(F.split("_r", " ")).alias("j", "unit"))
     tail = tail.join(lexicon.where(~often).select("unit", "ids"), "unit").select("_t", "_v", "j", "ids")
     # Dealt before they are gathered: a partial list for each row would be several times as large.
     tail = tail.repartition(buckets, "_t", "_v").groupBy("_t", "_v").agg(F.collect_set(F.struct("j", "ids")).alias("_u"))
