@@ -359,6 +359,42 @@ def test_licences(spark):
     assert got[4]["n_base"] == got[5]["n_base"] == 0 and got[4]["score"] == got[5]["score"] == 0 and got[5]["first_word"] is None
 
 
+def test_licences_against_brute_force(spark):
+    """All base columns, with letters beyond A-Z that lower to ASCII left alone."""
+    r = random.Random(7)
+    pool = "gnu GPL general Public license Apache LICENSE cc by MIT the \u212aernel of".split()
+    texts = [" ".join(r.choice(pool) for _ in range(r.randrange(30))) + r.choice(["", "\n", " CC-BY! apache-license", "M\u0130T license"]) for _ in range(300)]
+    for q in C.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[q["doc_id"]])
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        found = [(i, label) for phrase, label in C.BASE.items() for p in [phrase.split()] for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+        places = [i for i, _ in found]
+        assert (q["n_words"], q["n_base"], q["first_word"], q["last_word"]) == (len(words), len(found), min(places, default=None), max(places, default=None))
+        assert q["base_labels"] == ",".join(sorted({x for _, x in found})) and {x for _, x in found} <= set(q["labels"].split(","))
+
+
+def test_network_probabilities_against_a_loop():
+    """The forward pass, window by window, position by position."""
+    network = L.ByteNetwork(["de", "en", "fr"], seed=3)
+    r = np.random.default_rng(4)
+    network.out, network.bias = r.normal(size=network.out.shape).astype(np.float32), r.normal(size=3).astype(np.float32)
+    x = r.integers(97, 123, (5, L.WINDOW)).astype(np.uint8)
+    for row, got in zip(x, network.prepare().probabilities(x)):
+        pooled = []
+        for w, table in zip(L.WIDTHS, network.filters):
+            responses = [sum(table[k][row[i + k]] for k in range(w)) for i in range(L.WINDOW - w + 1)]
+            pooled.append(np.max(responses, 0))
+        z = np.tanh(np.concatenate(pooled)) @ network.out + network.bias
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(got, want, atol=1e-3)
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 20, f"l{i % 230}") for i in range(460)]
+    network = L.train_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id"))
+    assert len(network.labels) == 230
+
+
 def test_languages(spark):
     rows = []
     for i in range(160):

@@ -24,18 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir, or a local one on a single machine where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-#: Shuffle files of a table that has been written are of no more use; long texts come in small batches.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: Shuffle files of a table that has been written are of no more use.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: For long texts whose tasks hold a lot besides.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 @contextmanager
@@ -60,11 +62,11 @@ def written(df: DataFrame, name: str, values: dict[str, str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, keys: list[str]) -> DataFrame:
+def bucketed(df: DataFrame, name: str, buckets: int, keys: list[str], values: dict[str, str] | None = None) -> DataFrame:
     """`df` as a table in the shared folder, dealt into buckets by `keys`, so that joins by them don't deal it again."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
-    with settings(spark, _WRITING):
+    with settings(spark, _WRITING | (values or {})):
         df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"drop table {name}")  # the catalog's entry alone; the files stay

@@ -21,9 +21,9 @@ from .common import map_batches
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Bounds of the training sample: texts of each language, and languages.
+#: Bounds of the training sample: texts of each language, and in all.
 PER_LANGUAGE = 500
-LANGUAGES = 200
+SAMPLE = 100_000
 WINDOWS_EACH = 4
 UNKNOWN = "und"
 
@@ -147,22 +147,22 @@ def _predict(network: ByteNetwork, texts: list[str | None]) -> tuple[list[str],
 def train_language_id(labelled: DataFrame, key: Column, text: str = "text", lang: str = "lang") -> ByteNetwork | None:
     """A network fitted to a bounded sample of `labelled`; None if no row has a language and a letter.
 
-    The sample takes about PER_LANGUAGE texts of each of the LANGUAGES most frequent languages,
-    by a hash of `key`, and of each text up to WINDOWS_EACH windows spread over its length.
+    The sample takes about PER_LANGUAGE texts of each language, fewer if that were over SAMPLE in
+    all, by a hash of `key`, and of each text up to WINDOWS_EACH windows spread over its length.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
-    counts = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    shares = {r["lang"]: min(1.0, PER_LANGUAGE / r["n"]) for r in counts.collect()}
-    if not shares:
+    counts = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").collect()
+    if not counts:
         return None
-    share = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))])
+    each = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in counts], "lang string, share double")
     chance = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
     size = 2 * WINDOW
     starts = [F.greatest(F.lit(1), ((F.length(text) - size) * i / max(1, WINDOWS_EACH - 1)).cast("int") + 1) for i in range(WINDOWS_EACH)]
     cut = F.array_distinct(F.array(*[F.substring(F.col(text), s, F.lit(size)) for s in starts]))
-    taken = rows.where(chance < share[F.col(lang)]).select(F.col(lang).alias("lang"), cut.alias("parts"), chance.alias("chance"))
-    sample = taken.orderBy("chance", "lang", "parts").limit(2 * PER_LANGUAGE * len(shares)).toPandas()
-    labels = sorted(shares)
+    taken = rows.select(F.col(lang).cast("string").alias("lang"), cut.alias("parts"), chance.alias("chance")).join(F.broadcast(shares), "lang").where("chance < share")
+    sample = taken.orderBy("chance", "lang", "parts").limit(2 * each * len(counts)).toPandas()
+    labels = [r["lang"] for r in counts]
     x, y = [], []
     for name, parts in zip(sample["lang"], sample["parts"]):
         for part in parts:

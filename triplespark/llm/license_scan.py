@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ascii_lower
+
 #: A word: digits, a-z after lower-casing A-Z, and everything beyond ASCII.
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Rare words indexed for each template, and the share of their weight that a place needs.
@@ -104,7 +106,7 @@ def license_scan(docs: DataFrame, text: str = "text", base: dict[str, str] = BAS
             out = F.when(hit["w"] == word, F.array(*[struct(p, hit["i"]) for p in own])).otherwise(out)
         return out
 
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NO_WORD, -1), "")
+    words = F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NO_WORD, -1), "")
     rare = lambda w: w.isin(*postings)
     hits = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: rare(h["w"]))
     none = F.array().cast("array<struct<w:string,i:int>>")

@@ -1,17 +1,19 @@
 """Quality by nearest neighbours among labelled texts in a latent-semantic space.
 
-A text is a vector of hashed shapes: its bytes are reduced to classes (letters by case, digits,
-spaces, each mark) and counted in runs of three, together with bins of how much its words and
-lines repeat and of its length. Counts are damped, weighted by inverse document frequency and projected onto the
-leading singular vectors of a bounded labelled sample. The sample's vectors are broadcast; every
+A text is a vector of hashed words (A-Z in lower case) and hashed shapes: its bytes are reduced
+to classes (letters by case, digits, spaces, each mark) and counted in runs of three, together
+with bins of how much its words and lines repeat and of its length. Counts are damped, weighted
+by inverse document frequency and projected onto the leading singular vectors of a bounded
+labelled sample. The sample's vectors are broadcast; every
 text gets exact cosine products with all of them, in blocks, and its nearest neighbours vote by
-their similarity.
+their similarity, with all that are as near as the last of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -45,11 +47,14 @@ def _kind(c: int) -> int:
 
 _KINDS = np.array([_kind(c) for c in range(256)])
 WIDTH = 2048
-SIZE = WIDTH + 4 * BINS
+WORDS = 2048
+#: Length of the part of a vector that its words make; its shapes' part has length 1.
+WORDING = 0.5
+SIZE = WIDTH + 4 * BINS + WORDS
 
 
 def counts(text: str | None) -> np.ndarray:
-    """Damped counts of the whole text's shapes, of length 1; zeros for a null or empty text."""
+    """Damped counts of the whole text's shapes and words, of length 1; zeros for a null or empty text."""
     out = np.zeros(SIZE, np.float32)
     if not text:
         return out
@@ -69,6 +74,10 @@ def counts(text: str | None) -> np.ndarray:
         low = min(int(at), BINS - 2)
         out[WIDTH + n * BINS + low] += 0.5 * (1 - (at - low))
         out[WIDTH + n * BINS + low + 1] += 0.5 * (at - low)
+    if words:
+        spoken = np.fromiter(map(crc32, data.lower().split()), np.int64, len(words)) % WORDS
+        own = np.log1p(np.bincount(spoken, minlength=WORDS) * (100 / len(words)))
+        out[-WORDS:] = own * (WORDING / np.linalg.norm(own))
     return out / np.linalg.norm(out)
 
 
@@ -92,21 +101,19 @@ class Neighbours:
         out = np.empty(len(x))
         for at in range(0, len(x), BLOCK):
             s = self.project(x[at : at + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(s, near, 1), 0) ** 8
-            total = weight.sum(1)
-            vote = (weight * self.labels[near]).sum(1)
+            least = np.partition(s, -k, axis=1)[:, -k, None]
+            weight = np.where(s >= least, np.maximum(s, 0) ** 8, 0)
+            total, vote = weight.sum(1), weight @ self.labels
             out[at : at + BLOCK] = np.where(total > 0, vote / np.where(total > 0, total, 1), prior)
         return np.clip(out, 0, 1)
 
 
-def _leading(square: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
-    """The leading eigenvectors of a symmetric matrix, by subspace iteration from a fixed start."""
-    basis = np.random.default_rng(3).normal(size=(len(square), rank + 8)).astype(np.float64)
+def _leading(x: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """The leading right singular vectors of a matrix, by subspace iteration from a fixed start."""
+    basis = np.random.default_rng(3).normal(size=(x.shape[1], min(rank + 8, x.shape[1])))
     for _ in range(rounds):
-        basis, _ = np.linalg.qr(square @ basis)
-    small = basis.T @ square @ basis
-    return (basis @ np.linalg.eigh(small)[1][:, ::-1][:, :rank]).astype(np.float32)
+        basis, _ = np.linalg.qr(x.T @ (x @ basis))
+    return (basis @ np.linalg.svd(x @ basis, full_matrices=False)[2].T[:, :rank]).astype(np.float32)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Neighbours | None:
@@ -134,8 +141,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     order = np.lexsort([*x[:, :8].T, rows["y"]])  # the sample's order doesn't depend on how it came
     x, y = x[order], rows["y"].to_numpy()[order]
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    weighted = x * idf
-    basis = _leading(weighted.T @ weighted, min(RANK, len(x)))
+    basis = _leading(x * idf, min(RANK, len(x)))
     out = Neighbours(idf, basis, np.empty(0), y)
     out.vectors = out.project(x)
     return out

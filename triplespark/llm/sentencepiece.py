@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bucketed, dropped, written
+from .common import SMALL_BATCHES, bucketed, dropped, written
 
 SPACE = "\u2581"
 #: The most units that are broadcast.
@@ -446,7 +446,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids",
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in (ids, decoded, "_t", "_v", "_c", "_r", "_u") if c and c != text])
     passed = [c for c in docs.columns if keep_text or c != text]
-    counted = written(_unit_counts(docs, model, text), "units")
+    counted = written(_unit_counts(docs, model, text), "units", SMALL_BATCHES)
     distinct, total, longest = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max(F.length("unit")), F.lit(0))).first()
     # Small partitions, so that the edges of each are grouped in memory.
     parts = max(1, min(MOST_PARTS, distinct // UNITS_EACH))
@@ -478,7 +478,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids",
     packed = keyed.select(*dict.fromkeys([*passed, text, "_t", "_v"])).mapInArrow(coded, T.StructType([*fields, *[T.StructField(c, k) for c, k in kinds.items()]]))
     # Texts are dealt once, into buckets in which their rarer units find them.
     buckets = max(1, min(MOST_BUCKETS, total // UNITS_A_BUCKET))
-    packed = bucketed(packed, "texts", buckets, ["_t", "_v"])
+    packed = bucketed(packed, "texts", buckets, ["_t", "_v"], SMALL_BATCHES)
     tail = packed.select("_t", "_v", F.posexplode(F.split("_r", " ")).alias("j", "unit"))
     tail = tail.join(lexicon.where(~often).select("unit", "ids"), "unit").select("_t", "_v", "j", "ids")
     # Dealt before they are gathered: a partial list for each row would be several times as large.
