@@ -258,6 +258,59 @@ def test_jsonld_document(spark, city, tmp_path):
     assert names(rdf.main_individual(t, P.individuals(t, city))) == ["p"]
 
 
+def test_jsonld_kinds(spark):
+    """Lists, mixed values, strings that look like something else, and what isn't understood."""
+    text = '''{"@context": {"ex": "http://e/", "age": {"@id": "ex:age", "@type": "http://www.w3.org/2001/XMLSchema#long"}, "knows": {"@id": "http://e/knows", "@type": "@id"}, "@vocab": "http://v/"},
+    "@graph": [{"@id": "ex:a", "@type": ["ex:T", "U"], "ex:p": ["a", "b", 1, 2.5, true, null, "42"], "ex:q": "[draft] x", "ex:r": "{y}", "ex:s": {"@value": "79111"}, "ex:t": {"@value": 7}, "ex:u": {"@value": "x", "@language": "EN"},
+    "age": 5, "knows": ["ex:b", "http://z/c"], "free": "f", "ex:n": {"@id": "ex:z", "ex:name": "in"}, "ex:l": {"@list": [1]}, "ex:m": {"@id": "_:b0"}}, {"ex:p": "no id"}]}'''
+    docs = spark.createDataFrame([(text,), ("{bad",), ('[{"@id": "http://e/x", "http://e/p": "y"}]',), ('{"@id": "http://e/y", "http://e/p": [3]}',), ("",), (None,)], "value string")
+    x, rdf_type = S.XSD, S.TYPE
+    want = {("a", rdf_type, "http://e/T", ""), ("a", rdf_type, "http://v/U", ""), ("a", "p", "a", x + "string"), ("a", "p", "b", x + "string"), ("a", "p", "1", x + "integer"), ("a", "p", "2.5", x + "double"), ("a", "p", "true", x + "boolean"), ("a", "p", "42", x + "string")}
+    want |= {("a", "q", "[draft] x", x + "string"), ("a", "r", "{y}", x + "string"), ("a", "s", "79111", x + "string"), ("a", "t", "7", x + "integer"), ("a", "u", "x", S.RDF + "langString"), ("a", "age", "5", x + "long"), ("a", "knows", "http://e/b", ""), ("a", "knows", "http://z/c", "")}
+    want |= {("a", "http://v/free", "f", x + "string"), ("a", "m", "_:b0", ""), ("x", "p", "y", x + "string"), ("y", "p", "3", x + "integer")}
+    got = {(r["s"].removeprefix("http://e/"), r["p"].removeprefix("http://e/"), r["o"], r["o_dt"]) for r in rdf.parse_jsonld(docs).collect()}
+    assert got == want
+    bad = {(r["id"], r["k"], r["x"]) for r in rdf.bad_jsonld(docs).collect()}
+    assert bad == {("ex:a", "ex:l", '{"@list":[1]}'), ("ex:a", "ex:n", '{"@id":"ex:z","ex:name":"in"}'), (None, "ex:p", '"no id"'), (None, None, "{bad"), (None, None, "")}
+    assert rdf.parse_jsonld(docs.limit(0)).collect() == []
+
+
+def test_ntriples_escapes(spark):
+    """One pass over escapes; numbers that are no characters make bad lines; long literals and many escapes."""
+    b = "\\"
+    lines = [
+        f'<http://e/a> <http://e/p> "C:{b}{b}u00e9x" .', f'<http://e/a> <http://e/q> "{b}U0001F600 {b}u00e9 {b}{b}{b}{b} {b}t{b}"" .', f'<http://e/{b}u00e9> <http://e/p> <http://e/o> .', '<http://e/a> <http://e/n> "' + f"{b}n" * 20_000 + '" .', '<http://e/a> <http://e/l> "' + "ab" * 200_000 + '"@en-GB .',
+    ]
+    wrong = [f'<http://e/a> <http://e/p> "{b}UFFFFFFFF" .', f'<http://e/a> <http://e/p> "{b}uD800" .', f'<http://e/a> <http://e/p> "{b}x" .', "<http://e/a> <http://e/p> <open ."]
+    made = spark.createDataFrame([(x,) for x in lines + wrong], "value string")
+    got = {(r["s"], r["p"].removeprefix("http://e/")): r["o"] for r in rdf.parse_ntriples(made).collect()}
+    assert got == {("http://e/a", "p"): f"C:{b}u00e9x", ("http://e/a", "q"): f'\U0001F600 é {b}{b} \t"', ("http://e/é", "p"): "http://e/o", ("http://e/a", "n"): "\n" * 20_000, ("http://e/a", "l"): "ab" * 200_000}
+    texts = [f"C:{b}u00e9x", f"{b}{b}n\n\r\t\"'", "\x00\x0b\x85\u2028 \U0001F600", f"end{b}", ""]
+    t = S.triples(spark, [(f"http://e/{i}", "http://e/p", x, S.XSD + "string") for i, x in enumerate(texts)])
+    assert {r["s"]: r["o"] for r in rdf.parse_ntriples(rdf.ntriples_lines(t)).collect()} == {f"http://e/{i}": x for i, x in enumerate(texts)}
+
+
+def test_entity_changes_of_replaced_subjects(spark):
+    """A subject of which all is removed is deleted, even if something else is added to it."""
+    base = S.triples(spark, [("http://e/a", "http://e/p", "1", S.XSD + "string"), ("http://e/b", "http://e/p", "1", S.XSD + "string"), ("http://e/b", "http://e/p", "2", S.XSD + "string")])
+    log = [("delete", "a", "1"), ("add", "a", "9"), ("delete", "b", "1"), ("add", "b", "9"), ("add", "c", "9")]
+    rows = [(n, op, f"http://e/{s}", "iri", "http://e/p", o, "literal", S.XSD + "string", "") for n, (op, s, o) in enumerate(log)]
+    changes = spark.createDataFrame(rows, "seq long, op string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string")
+    assert {(r["s"][-1], r["change"]) for r in A.entity_changes(base, changes).collect()} == {("a", "deleted"), ("b", "updated"), ("c", "added")}
+
+
+def test_closure_bounds(spark, monkeypatch):
+    """The driver's closure and the frontier loop give the same rows."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "node string")
+    want = {tuple(r) for r in T._closure(edges, nodes).collect()}
+    assert len(want) == 14
+    for limit in ("SMALL", "CLOSED"):
+        monkeypatch.setattr(T, limit, 3)
+        assert {tuple(r) for r in T._closure(edges, nodes).collect()} == want
+        monkeypatch.undo()
+
+
 def test_manifest(spark, tmp_path):
     import base64
 

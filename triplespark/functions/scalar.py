@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -94,10 +95,19 @@ def display_name(label: Column, suffix: Column, iri: Column, prefix: str = S.ENT
     return F.coalesce(label, short, suffix, iri)
 
 
-def result_types(df: DataFrame, **types: str) -> DataFrame:
-    """Pattern results with each named variable read as a Spark type; what can't be read is null."""
+def result_types(df: DataFrame, individuals: DataFrame | None = None, **types: str | Callable[[Column], Column]) -> DataFrame:
+    """Pattern results with each named variable read as a Spark type, put through a function of columns, or as an `individual`.
+
+    What can't be read is null, as is what `individuals` (s) doesn't hold.
+    """
     for name, kind in types.items():
-        df = df.withColumn(name, F.col(name).try_cast(kind))
+        if kind == "individual":
+            if individuals is None:
+                raise ValueError("individuals are needed")
+            known = individuals.select(F.col("s").alias(name), F.lit(True).alias("_known")).distinct()
+            df = df.join(known, name, "left").withColumn(name, F.when(F.col("_known"), F.col(name))).drop("_known")
+        else:
+            df = df.withColumn(name, kind(F.col(name)) if callable(kind) else F.col(name).try_cast(kind))
     return df.drop(*[f"{name}_dt" for name in types])
 
 
@@ -108,7 +118,7 @@ def encode_vector(values: pd.Series, shape: pd.Series) -> pd.Series:
     def one(v, s):
         if v is None or s is None:
             return None
-        name = b"float64"
+        name = b"<f8"  # the byte order is part of the type
         head = bytes([len(name)]) + name + bytes([len(s)]) + b"".join(int(n).to_bytes(3, "big") for n in s)
         return base64.b85encode(head + np.asarray(v, "<f8").tobytes()).decode()
 

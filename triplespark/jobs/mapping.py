@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators.loops import shared_folder
 from ..operators.tbox import TBox, load_tbox
 from ..sources.tables import individuals_from_table
 
@@ -74,12 +76,15 @@ _GRAPHS: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
-    """The triples of the named tables; each table's are made once for each application and kept, as a store would keep them."""
+    """The triples of the named tables; each table's are written once for each application as a store, in a folder for each predicate, so that queries read those they name."""
     parts = []
     for t in tables:
         key = (spark.sparkContext.applicationId, sf_dir, t)
         if key not in _GRAPHS:
-            _GRAPHS[key] = _of(spark, sf_dir, t).persist()
+            made = _of(spark, sf_dir, t)
+            path = f"{shared_folder(spark)}/graph-{t}-{uuid.uuid4().hex}"
+            made.write.partitionBy("p").parquet(path)
+            _GRAPHS[key] = spark.read.schema(made.schema).parquet(path).select(*S.COLUMNS)
         parts.append(_GRAPHS[key])
     return reduce(DataFrame.unionByName, parts)
 
@@ -111,7 +116,7 @@ def _of(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
         elif t == "documents":
             doc = iri("document", "doc_id")
             tagged = S.RDF + "langString"
-            title = S.literal(doc, F.when(F.col("doc_id") % 3 == 0, S.LABEL).otherwise(S.PREF_LABEL), F.substring("text", 1, 24), tagged, F.coalesce("lang", F.lit("")))
+            title = S.literal(doc, F.when(F.col("doc_id") % 3 == 0, S.LABEL).otherwise(S.PREF_LABEL), F.col("text"), tagged, F.coalesce("lang", F.lit("")))
             parts += [individuals_from_table(read(t), name("Document"), doc, {}), S.from_structs(read(t), title, S.literal(doc, S.LABEL, F.col("source")))]
         elif t == "events":
             user = iri("user", "user_id")

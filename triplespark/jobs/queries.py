@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..operators import search as R
 from ..operators import select as P
 from ..operators import tbox as T
 from ..operators import update as U
+from ..operators.loops import shared_folder
 from ..sources import rdf, tables
 from .mapping import EX, SEGMENTS, changelog, graph, iri, name, ontology
 
@@ -94,7 +96,7 @@ def s1(spark, d):
     return back.where(F.col("p").isin(name("name"), name("size"))).select("s", "o", "o_dt")
 
 
-@query("s1_s7_escapes", "select distinct '{E}document/' || doc_id as s, left(text, 24) as o, coalesce(lang, '') as o_lang from documents where text is not null")
+@query("s1_s7_escapes", "select distinct '{E}document/' || doc_id as s, text as o, coalesce(lang, '') as o_lang from documents where text is not null")
 def s1_escapes(spark, d):
     back = rdf.parse_ntriples(rdf.ntriples_lines(graph(spark, d, "documents")))
     return back.where(F.col("o_dt") == S.RDF + "langString").select("s", "o", "o_lang")
@@ -116,9 +118,9 @@ def p1(spark, d):
     return P.match(graph(spark, d, "supplier"), p=name("name")).select("s", "o")
 
 
-@query("p2_classify_entities", "select s, 'individual' as kind from (" + PLACES + ")")
+@query("p2_classify_entities", "select s, 'individual' as kind from (" + PLACES + " union all " + PARTIES + ")")
 def p2(spark, d):
-    return P.classify_entities(graph(spark, d, "region", "nation"), ontology(spark))
+    return P.classify_entities(graph(spark, d, "region", "nation", "customer", "supplier"), ontology(spark))
 
 
 @query("p3_individuals", PLACES + " union all " + PARTIES)
@@ -161,12 +163,12 @@ def p8(spark, d):
     return P.namespace_of(P.in_namespace(t, EX), [("customers", EX + "customer/"), ("kg", EX)])
 
 
-@query("p9_labels", "select '{E}document/' || doc_id as s, left(text, 24) as label, coalesce(lang, '') as lang from documents where lang = 'de' and text is not null")
+@query("p9_labels", "select '{E}document/' || doc_id as s, text as label, coalesce(lang, '') as lang from documents where lang = 'de' and text is not null")
 def p9(spark, d):
     return P.labels(graph(spark, d, "documents"), "de").select("s", "label", "lang")
 
 
-@query("p10_from_label", "select '{E}document/' || doc_id as s from documents where lower(source) = 'src3' or lower(left(text, 24)) = 'src3'")
+@query("p10_from_label", "select '{E}document/' || doc_id as s from documents where lower(source) = 'src3' or lower(text) = 'src3'")
 def p10(spark, d):
     return P.from_label(graph(spark, d, "documents"), "SRC3")
 
@@ -192,18 +194,18 @@ def p15(spark, d):
 
 
 def remarked(spark, d):
-    """Nations remark on their region, on a name, on their class, and on a page of no graph."""
-    own = lambda o: S.link(iri("nation", "n_nationkey"), name("remark"), o)
-    made = S.from_structs(table(spark, d, "nation"), own(iri("region", "n_regionkey")), own(F.lit(name("Nation"))), own(iri("page", "n_nationkey")), S.literal(iri("nation", "n_nationkey"), name("remark"), F.col("n_name")))
-    return graph(spark, d, "region", "nation").unionByName(made)
+    """Suppliers remark on their nation, on a name, on their class, and on a page of no graph."""
+    own = lambda o: S.link(iri("supplier", "s_suppkey"), name("remark"), o)
+    made = S.from_structs(table(spark, d, "supplier"), own(iri("nation", "s_nationkey")), own(F.lit(name("Supplier"))), own(iri("page", "s_suppkey")), S.literal(iri("supplier", "s_suppkey"), name("remark"), F.col("s_name")))
+    return graph(spark, d, "nation", "supplier").unionByName(made)
 
 
-@query("p16_annotation_values", "select '{E}nation/' || n_nationkey as s, '{E}region/' || n_regionkey as value, 'graph' as source from nation union all select '{E}nation/' || n_nationkey, '{E}Nation', 'ontology' from nation union all select '{E}nation/' || n_nationkey, '{E}page/' || n_nationkey, 'iri' from nation union all select '{E}nation/' || n_nationkey, n_name, 'literal' from nation")
+@query("p16_annotation_values", "select '{E}supplier/' || s_suppkey as s, '{E}nation/' || s_nationkey as value, 'graph' as source from supplier union all select '{E}supplier/' || s_suppkey, '{E}Supplier', 'ontology' from supplier union all select '{E}supplier/' || s_suppkey, '{E}page/' || s_suppkey, 'iri' from supplier union all select '{E}supplier/' || s_suppkey, s_name, 'literal' from supplier")
 def p16(spark, d):
     return P.annotation_values(remarked(spark, d), ontology(spark), name("remark"))
 
 
-@query("p17_annotation_edges", "select '{E}nation/' || n_nationkey as s, '{E}region/' || n_regionkey as o from nation union all select '{E}nation/' || n_nationkey, '{E}Nation' from nation")
+@query("p17_annotation_edges", "select '{E}supplier/' || s_suppkey as s, '{E}nation/' || s_nationkey as o from supplier union all select '{E}supplier/' || s_suppkey, '{E}Supplier' from supplier")
 def p17(spark, d):
     return P.annotation_edges(remarked(spark, d), ontology(spark), name("remark")).select("s", "o")
 
@@ -418,7 +420,7 @@ def even_users(spark, d):
     return S.from_structs(table(spark, d, "events").where("user_id % 2 = 0"), S.literal(iri("user", "user_id"), name("status"), F.col("event_type"))).distinct()
 
 
-@query("a5_entity_changes", CHANGES + ", b as (select s, count(*) as n from base group by 1), t as (select l.s, count(*) filter (op = 'add') as added, count(*) filter (op = 'delete' and base.s is not null) as removed from last l left join base on base.s = l.s and base.o = l.o group by 1) select * from (select t.s, case when b.n is null and added > 0 then 'added' when b.n > 0 and added = 0 and removed >= b.n then 'deleted' when b.n > 0 then 'updated' end as change from t left join b on b.s = t.s) where change is not null")
+@query("a5_entity_changes", CHANGES + ", b as (select s, count(*) as n from base group by 1), t as (select l.s, count(*) filter (op = 'add') as added, count(*) filter (op = 'delete' and base.s is not null) as removed from last l left join base on base.s = l.s and base.o = l.o group by 1) select * from (select t.s, case when b.n is null and added > 0 then 'added' when b.n > 0 and removed >= b.n then 'deleted' when b.n > 0 then 'updated' end as change from t left join b on b.s = t.s) where change is not null")
 def a5(spark, d):
     return A.entity_changes(even_users(spark, d), changelog(spark, d))
 
@@ -430,7 +432,7 @@ def a6(spark, d):
     return r.select("s", F.size("types").alias("n_types"), F.size("superclasses").alias("n_super"), F.coalesce(F.size("neighbors"), F.lit(0)).cast("long").alias("n_neighbors"))
 
 
-@query("w1_preferred_label", "select '{E}document/' || doc_id as s, case when doc_id % 3 <> 0 then left(text, 24) when coalesce(lang, '') = 'de' then left(text, 24) when coalesce(lang, '') = 'en' then left(text, 24) when length(source) < length(left(text, 24)) or lang is not null then source else source end as label from documents where text is not null")
+@query("w1_preferred_label", "select '{E}document/' || doc_id as s, case when doc_id % 3 <> 0 then text when coalesce(lang, '') = 'de' then text when coalesce(lang, '') = 'en' then text when length(source) < length(text) or lang is not null then source else source end as label from documents where text is not null")
 def w1(spark, d):
     return P.preferred_label(graph(spark, d, "documents"), languages=("de",)).select("s", "label")
 
@@ -441,9 +443,9 @@ def g1(spark, d):
     return U.add(graph(spark, d, "nation", "supplier"), new, ontology(spark)).where((F.col("p") == name("name")) & F.col("s").contains("supplier/")).select("s", "o")
 
 
-@query("g2_delete", "select '{E}nation/' || n_nationkey as s, '{E}name' as p from nation where n_nationkey % 5 <> 0 union all select '{E}nation/' || n_nationkey, '{TYPE}' from nation where n_nationkey % 5 <> 0 union all select '{E}region/' || n_regionkey, '{E}hasNation' from nation where n_nationkey % 5 <> 0")
+@query("g2_delete", "with kept as (select * from supplier where s_suppkey % 5 <> 0) select '{E}supplier/' || s_suppkey as s, '{E}' || a as p from kept, (values ('name'), ('balance'), ('number')) v(a) union all select '{E}supplier/' || s_suppkey, '{TYPE}' from kept union all select '{E}nation/' || s_nationkey, '{E}hasSupplier' from kept")
 def g2(spark, d):
-    return U.delete(graph(spark, d, "nation"), table(spark, d, "nation").where("n_nationkey % 5 = 0").select(iri("nation", "n_nationkey").alias("s"))).select("s", "p")
+    return U.delete(graph(spark, d, "supplier"), table(spark, d, "supplier").where("s_suppkey % 5 = 0").select(iri("supplier", "s_suppkey").alias("s"))).select("s", "p")
 
 
 def halves(spark, d):
@@ -517,9 +519,9 @@ def g9(spark, d):
     return out.where(F.col("p") == name("hasSupplier")).select("s", "o")
 
 
-@query("g10_annotations_assign", "select '{E}nation/' || n_nationkey as s, case when n_nationkey % 2 = 0 then 'even' else n_name end as o from nation")
+@query("g10_annotations_assign", "select '{E}supplier/' || s_suppkey as s, case when s_suppkey % 2 = 0 then 'even' else s_name end as o from supplier")
 def g10(spark, d):
-    new = S.from_structs(table(spark, d, "nation").where("n_nationkey % 2 = 0"), S.literal(iri("nation", "n_nationkey"), name("remark"), F.lit("even")))
+    new = S.from_structs(table(spark, d, "supplier").where("s_suppkey % 2 = 0"), S.literal(iri("supplier", "s_suppkey"), name("remark"), F.lit("even")))
     return U.annotations_assign(remarked(spark, d), name("remark"), new).where((F.col("p") == name("remark")) & (F.col("o_kind") == "literal")).select("s", "o")
 
 
@@ -581,6 +583,239 @@ def u3(spark, d):
     return N.apply_by_class(t, tb, [(name("Nation"), "hubs", lambda x: x), (name("Party"), "parties", lambda x: x)]).select("operation", "s")
 
 
+def listed(spark, d):
+    """Customers as JSON-LD documents with lists, mixed values, and strings that look like numbers, objects and lists."""
+    c = lambda x: F.to_json(F.struct(x.alias("x")), {"ignoreNullFields": "false"})
+    value = lambda x: F.regexp_extract(c(x), r'^\{"x":(.*)\}$', 1)
+    key = F.col("c_custkey")
+    parts = [
+        F.lit('{"@context":{"kg":"' + EX + '","phone":"kg:phone","since":{"@id":"kg:since","@type":"' + S.XSD + 'long"},"near":{"@id":"kg:near","@type":"@id"}},"@graph":[{"@id":"kg:customer/'), key.cast("string"), F.lit('","@type":["kg:Customer","kg:Party"],"kg:tags":['), value(F.col("c_mktsegment")), F.lit(',"b"],"kg:mixed":["'), key.cast("string"), F.lit('",'), key.cast("string"),
+        F.lit(',2.5,true,null],"kg:draft":"[draft] '), key.cast("string"), F.lit('","kg:braces":"{'), key.cast("string"), F.lit('}","phone":'), value(F.col("c_name")), F.lit(',"since":'), key.cast("string"), F.lit(',"near":"kg:nation/'), F.col("c_nationkey").cast("string"), F.lit('","kg:said":{"@value":"'), key.cast("string"), F.lit('"},"kg:called":{"@value":'), value(F.col("c_name")), F.lit(',"@language":"EN"}}]}'),
+    ]
+    return table(spark, d, "customer").select(F.concat(*parts).alias("value"))
+
+
+@query("s2_jsonld_document", "with c as (select '{E}customer/' || c_custkey as s, * from customer) select s, '{TYPE}' as p, t.o, '' as o_dt, '' as o_lang from c, (values ('{E}Customer'), ('{E}Party')) t(o) union all " + " union all ".join(
+    f"select s, '{{E}}{p}', {o}, '{dt}', '{lang}' from c" for p, o, dt, lang in (
+        ("tags", "c_mktsegment", "{XSD}string", ""), ("tags", "'b'", "{XSD}string", ""), ("mixed", "cast(c_custkey as varchar)", "{XSD}string", ""), ("mixed", "cast(c_custkey as varchar)", "{XSD}integer", ""), ("mixed", "'2.5'", "{XSD}double", ""), ("mixed", "'true'", "{XSD}boolean", ""),
+        ("draft", "'[draft] ' || c_custkey", "{XSD}string", ""), ("braces", "'{{' || c_custkey || '}}'".replace("{{", "{").replace("}}", "}"), "{XSD}string", ""), ("phone", "c_name", "{XSD}string", ""), ("since", "cast(c_custkey as varchar)", "{XSD}long", ""), ("near", "'{E}nation/' || c_nationkey", "", ""),
+        ("said", "cast(c_custkey as varchar)", "{XSD}string", ""), ("called", "c_name", S.RDF + "langString", "en"))))
+def s2_document(spark, d):
+    return rdf.parse_jsonld(listed(spark, d)).select("s", "p", "o", "o_dt", "o_lang")
+
+
+@query("s1_s7_backslashes", "select '{E}part/' || p_partkey as s, 'C:' || chr(92) || 'u00e9' || chr(92) || chr(92) || 'n' || chr(10) || p_name || chr(9) || '\"' as o from part")
+def s1_backslashes(spark, d):
+    """Text with backslashes before letters, line feeds, tabs and quotes, through lines and back."""
+    text = F.concat(F.lit("C:\\u00e9\\\\n\n"), F.col("p_name"), F.lit('\t"'))
+    t = S.from_structs(table(spark, d, "part"), S.literal(iri("part", "p_partkey"), name("name"), text))
+    return rdf.parse_ntriples(rdf.ntriples_lines(t)).select("s", "o")
+
+
+@query("s8_store", "select s, p, o, o_dt from (select '{E}part/' || p_partkey as s, '{E}name' as p, p_name as o, '{XSD}string' as o_dt from part union all select '{E}part/' || p_partkey, '{E}number', cast(p_partkey as varchar), '{XSD}integer' from part union all select '{E}part/' || p_partkey, '{E}size', cast(p_size as varchar), '{XSD}integer' from part union all select '{E}order/' || o_orderkey, '{E}status', o_orderstatus, '{XSD}string' from orders) where p <> '{E}status' or s is not null")
+def s8(spark, d):
+    """The attributes of parts and orders but dates, read from their own partition of a store."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    rdf.write_store(graph(spark, d, "part", "orders"), ontology(spark), path)
+    return rdf.read_store(spark, path, "attribute").where(F.col("p") != name("date")).select("s", "p", "o", "o_dt")
+
+
+@query("s11_load_tbox", UP + " select '{E}supplier/' || s_suppkey as s, super as class from supplier join thing on sub = '{E}Supplier'")
+def s11(spark, d):
+    """Classes of suppliers by an ontology that is loaded from two graphs."""
+    triples, here = ontology(spark).triples, F.pmod(F.xxhash64("s", "o"), F.lit(2)) == 0
+    tb, _ = T.load_tbox(triples.where(here), triples.where(~here), namespaces={"KG": EX[:-1]})
+    return P.superclasses_of(graph(spark, d, "supplier"), tb)
+
+
+@query("p11_resolve_name", "select s, '{E}Supplier' as found, cast(1 as bigint) as n from (select '{E}supplier/' || s_suppkey as s from supplier)")
+def p11(spark, d):
+    tb = ontology(spark)
+    types = P.types_of(graph(spark, d, "supplier"), tb)
+    return types.join(P.resolve_name(tb, EX, "Supplier").withColumnRenamed("s", "found"), F.col("class") == F.col("found")).select("s", "found", "n")
+
+
+@query("t1_direct_super", "select '{E}customer/' || c_custkey as s, '{E}Customer' as super from customer union all select '{E}supplier/' || s_suppkey, '{E}Party' from supplier")
+def t1(spark, d):
+    tb = ontology(spark)
+    return P.types_of(graph(spark, d, "customer", "supplier"), tb).join(T.direct_super(tb).withColumnRenamed("sub", "class"), "class").select("s", "super")
+
+
+@query("t1_direct_sub", "select s, '{E}' || t.sub as sub from (select '{E}region/' || r_regionkey as s from region), (values ('Region'), ('Nation')) t(sub) union all select '{E}nation/' || n_nationkey, '{E}' || t.sub from nation, (values ('Region'), ('Nation')) t(sub)")
+def t1_sub(spark, d):
+    """Of each region and nation the classes beside its own: what lies directly below what lies directly above it."""
+    tb = ontology(spark)
+    up = P.types_of(graph(spark, d, "region", "nation"), tb).join(T.direct_super(tb).withColumnRenamed("sub", "class"), "class")
+    return up.join(T.direct_sub(tb), "super").select("s", "sub")
+
+
+@query("t2_class_closure", UP + ", own as (select '{E}customer/' || c_custkey as s, " + SEGMENT + " as c from customer) select s, super from own join thing on sub = c")
+def t2(spark, d):
+    tb = ontology(spark)
+    return P.types_of(graph(spark, d, "customer"), tb).join(T.class_closure(tb).withColumnRenamed("sub", "class"), "class").select("s", "super")
+
+
+@query("t3_class_sub_closure", "select '{E}order/' || o_orderkey as s, super from orders, (values ('{E}Order'), ('{E}Transaction'), ('" + S.THING + "')) t(super)")
+def t3(spark, d):
+    tb = ontology(spark)
+    return P.types_of(graph(spark, d, "orders"), tb).join(T.class_sub_closure(tb).withColumnRenamed("sub", "class"), "class").select("s", "super")
+
+
+@query("t4_property_closure", "select '{E}part/' || p_partkey as s, p, super from part, (values ('{E}name', '{E}name'), ('{E}name', '" + S.TOP_ATTRIBUTE + "'), ('{E}number', '{E}number'), ('{E}number', '" + S.TOP_ATTRIBUTE + "'), ('{E}size', '{E}size'), ('{E}size', '{E}number'), ('{E}size', '" + S.TOP_ATTRIBUTE + "')) t(p, super)")
+def t4(spark, d):
+    closure = T.property_closure(ontology(spark), "attribute").withColumnRenamed("sub", "p")
+    return graph(spark, d, "part").where("o_kind = 'literal'").join(closure, "p").select("s", "p", "super")
+
+
+@query("t5_is_sub", "select s, true as is_party, false as is_place, true as above from (" + PARTIES + ")")
+def t5(spark, d):
+    tb = ontology(spark)
+    sub, other, above = T.is_sub(tb.classes, name("Customer"), name("Party")), T.is_sub(tb.classes, name("Customer"), name("Place")), T.is_super(tb.classes, name("Party"), name("Supplier"))
+    return P.individuals(graph(spark, d, "customer", "supplier"), tb).select("s", F.lit(sub).alias("is_party"), F.lit(other).alias("is_place"), F.lit(above).alias("above"))
+
+
+@query("t6_inverses", "select '{E}order/' || o_orderkey as s, '{E}placedBy' as p, '{E}customer/' || o_custkey as o from orders")
+def t6(spark, d):
+    t = S.links(graph(spark, d, "orders"))
+    return t.join(T.inverses(ontology(spark)), "p").select(F.col("o").alias("s"), F.col("inverse").alias("p"), F.col("s").alias("o"))
+
+
+def renamed(spark, d):
+    """Suppliers of even numbers with other names and no balance."""
+    rows = table(spark, d, "supplier").where("s_suppkey % 2 = 0")
+    return tables.individuals_from_table(rows, name("Supplier"), iri("supplier", "s_suppkey"), {name("name"): (F.concat(F.lit("new "), "s_name"), S.XSD + "string")})
+
+
+OLD = "select '{E}supplier/' || s_suppkey as s, '{E}name' as p, s_name as o from supplier union all select '{E}supplier/' || s_suppkey, '{E}number', cast(s_suppkey as varchar) from supplier union all select '{E}supplier/' || s_suppkey, '{TYPE}', '{E}Supplier' from supplier union all select '{E}nation/' || s_nationkey, '{E}hasSupplier', '{E}supplier/' || s_suppkey from supplier"
+NEW = "select '{E}supplier/' || s_suppkey as s, '{E}name' as p, 'new ' || s_name as o from supplier where s_suppkey % 2 = 0 union all select '{E}supplier/' || s_suppkey, '{TYPE}', '{E}Supplier' from supplier where s_suppkey % 2 = 0"
+
+
+def suppliers(spark, d):
+    return graph(spark, d, "supplier").where(F.col("p") != name("balance"))
+
+
+@query("g3_upsert_replace", "select s, p, o from (" + OLD + ") where s not in (select s from (" + NEW + ")) union all " + NEW)
+def g3_replace(spark, d):
+    return U.upsert(suppliers(spark, d), renamed(spark, d)).select("s", "p", "o")
+
+
+@query("g3_upsert_merge", "select s, p, o from (" + OLD + ") union select * from (" + NEW + ")")
+def g3_merge(spark, d):
+    return U.upsert(suppliers(spark, d), renamed(spark, d), "merge").select("s", "p", "o")
+
+
+@query("g14_clear", "select s, p, o from (" + OLD + ") where false")
+def g14(spark, d):
+    return U.clear(suppliers(spark, d)).select("s", "p", "o")
+
+
+@query("g15_graph_equal", "select '{E}supplier/' || s_suppkey as s, true as same, false as other from supplier")
+def g15(spark, d):
+    t = suppliers(spark, d)
+    same, other = U.graph_equal(t, t.repartition(3, "o")), U.graph_equal(t, t.where(F.col("o") != EX + "supplier/1"))
+    return P.individuals(t, ontology(spark)).where(F.col("s").contains("supplier/")).select("s", F.lit(same).alias("same"), F.lit(other).alias("other"))
+
+
+def changed(spark, d, f):
+    """What `f` makes of the numbers of suppliers, with every third's own number and every fifth's next one."""
+    rows = table(spark, d, "supplier")
+    key, number = iri("supplier", "s_suppkey").alias("s"), lambda c: c.cast("string").alias("value")
+    changes = rows.where("s_suppkey % 3 = 0").select(key, number(F.col("s_suppkey"))).union(rows.where("s_suppkey % 5 = 0").select(key, number(F.col("s_suppkey") + 1)))
+    return f(suppliers(spark, d), ontology(spark), name("number"), changes).select("s", "p", "o")
+
+
+REST = "select s, p, o from (" + OLD + ") where p <> '{E}number' union all select '{E}supplier/' || k, '{E}number', cast(v as varchar) from "
+HAVE, WANT = "(select s_suppkey as k, s_suppkey as v from supplier)", "(select s_suppkey as k, s_suppkey as v from supplier where s_suppkey % 3 = 0 union select s_suppkey, s_suppkey + 1 from supplier where s_suppkey % 5 = 0)"
+
+
+@query("g6_attributes_add", REST + "(" + HAVE + " union " + WANT + ")")
+def g6_add(spark, d):
+    return changed(spark, d, U.attributes_add)
+
+
+@query("g6_attributes_remove", REST + "(" + HAVE + " except " + WANT + ")")
+def g6_remove(spark, d):
+    return changed(spark, d, U.attributes_remove)
+
+
+@query("g6_attributes_intersect", REST + "(select * from " + HAVE + " h where k not in (select k from " + WANT + ") or (k, v) in (select k, v from " + WANT + "))")
+def g6_intersect(spark, d):
+    return changed(spark, d, U.attributes_intersect)
+
+
+@query("g6_attributes_xor", REST + "((" + HAVE + " except " + WANT + ") union all (" + WANT + " except " + HAVE + "))")
+def g6_xor(spark, d):
+    return changed(spark, d, U.attributes_xor)
+
+
+def relinked(spark, d, f):
+    """What `f` makes of the suppliers of nations, with every third supplier's nation and every fifth's next one."""
+    rows = table(spark, d, "supplier")
+    pair = lambda n: [iri("nation", n).alias("s"), iri("supplier", "s_suppkey").alias("o")]
+    wanted = rows.where("s_suppkey % 3 = 0").select(*pair("s_nationkey")).union(rows.where("s_suppkey % 5 = 0").select(*pair((F.col("s_nationkey") + 1) % 25)))
+    out = f(graph(spark, d, "nation", "supplier"), ontology(spark), name("hasSupplier"), wanted)
+    return out.where(F.col("p") == name("hasSupplier")).select("s", "p", "o")
+
+
+LINKED, WISHED = "(select s_nationkey as n, s_suppkey as k from supplier)", "(select s_nationkey as n, s_suppkey as k from supplier where s_suppkey % 3 = 0 union select (s_nationkey + 1) % 25, s_suppkey from supplier where s_suppkey % 5 = 0)"
+PAIR = "select '{E}nation/' || n as s, '{E}hasSupplier' as p, '{E}supplier/' || k as o from "
+
+
+@query("g9_intersect_links", PAIR + "(select * from " + LINKED + " l where n not in (select n from " + WISHED + ") or (n, k) in (select n, k from " + WISHED + "))")
+def g9_intersect(spark, d):
+    return relinked(spark, d, U.intersect_links)
+
+
+@query("g9_xor_links", PAIR + "((" + LINKED + " except " + WISHED + ") union all (" + WISHED + " except " + LINKED + "))")
+def g9_xor(spark, d):
+    return relinked(spark, d, U.xor_links)
+
+
+@query("g11_set_label", "select '{E}document/' || doc_id as s, case when doc_id % 2 = 0 then 'new ' || doc_id else source end as o, case when doc_id % 2 = 0 then 'en' else '' end as o_lang from documents")
+def g11_label(spark, d):
+    """Documents with their source as label, of which those of even numbers get a new one in its place."""
+    t = graph(spark, d, "documents").where((F.col("p") == S.TYPE) | (F.col("o_dt") == S.XSD + "string"))
+    new = table(spark, d, "documents").where("doc_id % 2 = 0").select(iri("document", "doc_id").alias("s"), F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("label"), F.lit("en").alias("lang"))
+    return U.set_label(t, new).where(F.col("p") == S.LABEL).select("s", "o", "o_lang")
+
+
+@query("g12_container_disconnect", "select '{E}box/' || c_nationkey as container, '{E}customer/' || c_custkey as reference from customer where c_custkey % 2 <> 0 union all select '{E}box/' || n_nationkey, '{E}lost/' || n_nationkey from nation")
+def g12_disconnect(spark, d):
+    pairs = table(spark, d, "customer").where("c_custkey % 2 = 0").select(iri("box", "c_nationkey").alias("container"), iri("customer", "c_custkey").alias("reference"))
+    return N.container_references(U.container_disconnect(contained(spark, d), pairs))
+
+
+@query("f3_result_types", "select '{E}nation/' || c_nationkey as nation, upper(c_name) as customer_name, cast(c_acctbal as decimal(18,2)) as balance, cast(null as varchar) as page from customer")
+def f3(spark, d):
+    """Results read as a type, through a function, and as individuals, of which the pages are none."""
+    pages = S.from_structs(table(spark, d, "customer"), S.link(iri("customer", "c_custkey"), name("remark"), iri("page", "c_custkey")))
+    t, tb = graph(spark, d, "nation", "customer").unionByName(pages), ontology(spark)
+    rows = N.bgp(t, [("?c", name("inNation"), "?nation"), ("?c", name("name"), "?customer_name"), ("?c", name("balance"), "?balance"), ("?c", name("remark"), "?page")])
+    known = P.individuals(t, tb)
+    return X.result_types(rows, known, nation="individual", page="individual", balance="decimal(18,2)", customer_name=F.upper).select("nation", "customer_name", "balance", "page")
+
+
+@query("j16_plot_nodes", "select '{E}supplier/' || s_suppkey as s, 'individual' as kind, '{E}Supplier' as class, '{E}name=' || s_name as first_name from supplier union all select '{E}nation/' || n_nationkey, 'individual', '{E}Nation', '{E}name=' || n_name from nation")
+def j16_nodes(spark, d):
+    """What is drawn for nations, grown by their parties."""
+    t, tb = graph(spark, d, "nation", "supplier"), ontology(spark)
+    drawn = A.drawn(t, tb, P.get_by_class(t, tb, name("Nation")), [name("hasParty")])
+    rows = A.plot_nodes(t, tb, drawn)
+    return rows.select("s", "kind", F.col("classes")[0].alias("class"), F.filter("attributes", lambda x: x.contains("#name="))[0].alias("first_name"))
+
+
+@query("j16_plot_is_a", "select '{E}customer/' || c_custkey as s, " + SEGMENT + " as src, '{E}Customer' as dst from customer union all select '{E}supplier/' || s_suppkey, '{E}Supplier', '{E}Party' from supplier")
+def j16_is_a(spark, d):
+    tb = ontology(spark)
+    return P.types_of(graph(spark, d, "customer", "supplier"), tb).join(A.plot_is_a(tb).withColumnRenamed("src", "class"), "class").select("s", F.col("class").alias("src"), "dst")
+
+
+@query("a4_any_of", "select '{E}customer/' || c_custkey as s, min('{E}order/' || o_orderkey) as any from customer left join orders on o_custkey = c_custkey group by 1")
+def a4_any(spark, d):
+    t, tb = graph(spark, d, "customer", "orders"), ontology(spark)
+    return A.any_of(P.get_by_class(t, tb, name("Customer")).join(N.neighbors(t, tb, name("places")), "s", "left"), element="neighbor")
+
+
 @query("hub_degrees", "select '{E}part/' || l_partkey as part, count(distinct l_orderkey) as n from lineitem group by 1")
 def hub_degrees(spark, d):
     """Orders of each part: hubs are summed before they are dealt."""

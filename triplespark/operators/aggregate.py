@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from .navigate import container_counts, edges, neighbors_with_rel
+from .search import find
 from .select import attribute_values, individuals, preferred_label, superclasses_of, types_of
 from .tbox import TBox, direct_super
 
@@ -47,15 +50,15 @@ def any_of(sets: DataFrame, key: str = "s", element: str = "element") -> DataFra
 def entity_changes(base: DataFrame, log: DataFrame) -> DataFrame:
     """(s, change): subjects that a change log (seq, op, triple) adds, deletes or updates; the last operation on a triple counts.
 
-    Added: no triple before. Deleted: as many removed as there were. Updated: any other touched
-    subject that existed, even if the additions change nothing.
+    Added: no triple before. Deleted: as many removed as there were, even if others are added.
+    Updated: any other touched subject that existed, even if the additions change nothing.
     """
     last = log.groupBy(*S.COLUMNS).agg(F.max_by("op", "seq").alias("op"))
     before = base.groupBy("s").agg(F.count("*").alias("before"))
     own = last.join(base.select(*S.COLUMNS, F.lit(1).alias("here")), list(S.COLUMNS), "left")
     touched = own.groupBy("s").agg(F.count_if(F.col("op") == "add").alias("added"), F.count_if((F.col("op") == "delete") & F.col("here").isNotNull()).alias("removed"), F.count("*").alias("n"))
     out = touched.join(before, "s", "left").withColumn("before", F.coalesce("before", F.lit(0)))
-    change = F.when((F.col("before") == 0) & (F.col("added") > 0), "added").when((F.col("before") > 0) & (F.col("added") == 0) & (F.col("removed") >= F.col("before")), "deleted").when(F.col("before") > 0, "updated")
+    change = F.when((F.col("before") == 0) & (F.col("added") > 0), "added").when((F.col("before") > 0) & (F.col("removed") >= F.col("before")), "deleted").when(F.col("before") > 0, "updated")
     return out.select("s", change.alias("change")).where("change is not null")
 
 
@@ -75,6 +78,13 @@ def entity_report(t: DataFrame, tb: TBox, relationship: str = S.TOP_RELATIONSHIP
     return out
 
 
+def drawn(t: DataFrame, tb: TBox, nodes: DataFrame, relationships: Iterable[str] | None = None) -> DataFrame:
+    """(s): the individuals `nodes` (s), and with `relationships` all that are reached from them by these."""
+    if relationships is None:
+        return nodes.select("s").distinct()
+    return find(t, tb, nodes, relationships=relationships, annotations=False).select(F.col("node").alias("s")).distinct()
+
+
 def plot_nodes(t: DataFrame, tb: TBox, nodes: DataFrame) -> DataFrame:
     """(s, kind, label, classes, attributes) of the drawn individuals `nodes` (s)."""
     report = entity_report(t, tb).join(nodes.select("s"), "s", "left_semi")

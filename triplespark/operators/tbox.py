@@ -17,6 +17,8 @@ from .. import schema as S
 from .loops import cut, reach
 
 SMALL = 50_000
+#: Rows of a closure that are made on the driver.
+CLOSED = 500_000
 CLASS_TYPES = (S.OWL + "Class", S.RDFS + "Class")
 ANNOTATION_TYPES = (S.OWL + "AnnotationProperty", S.RDF + "Property")
 
@@ -75,24 +77,36 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def _closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sub, super): reflexive and transitive, over edges (src, dst) and nodes (node)."""
-    rows = edges.limit(SMALL + 1).collect()
-    if len(rows) > SMALL:
+    """(sub, super): reflexive and transitive, over edges (src, dst) and nodes (node).
+
+    Small ontologies are closed on the driver; with over `SMALL` edges or nodes, or `CLOSED` rows of
+    the result, the frontier loop does it.
+    """
+    rows, all_nodes = edges.limit(SMALL + 1).collect(), nodes.distinct().limit(SMALL + 1).collect()
+    out = _closed(rows, all_nodes) if max(len(rows), len(all_nodes)) <= SMALL else None
+    if out is None:
         start = nodes.select(F.col("node").alias("root"), "node")
         return reach(start, edges).select(F.col("root").alias("sub"), F.col("node").alias("super"))
+    return S.local(edges.sparkSession, out, ("sub", "super"))
+
+
+def _closed(edges: list, nodes: list) -> list[tuple[str, str]] | None:
+    """The closure's rows, or None if they are too many."""
     up: dict[str, set[str]] = {}
-    for r in rows:
+    for r in edges:
         up.setdefault(r["src"], set()).add(r["dst"])
-    out = []
-    for (node,) in nodes.distinct().collect():
+    out: list[tuple[str, str]] = []
+    for (node,) in nodes:
         seen, open_ = {node}, [node]
         while open_:
             for x in up.get(open_.pop(), ()):
                 if x not in seen:
                     seen.add(x)
                     open_.append(x)
+            if len(out) + len(seen) > CLOSED:
+                return None
         out.extend((node, x) for x in sorted(seen))
-    return S.local(edges.sparkSession, out, ("sub", "super"))
+    return out
 
 
 class TBox:

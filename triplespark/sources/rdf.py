@@ -11,26 +11,21 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 
-#: One statement of a line: subject, predicate, and an entity, or a literal with language or datatype.
-_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:(<[^>]*>|_:[^\s.]+(?:\.[^\s.]+)*)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
+# Escapes of characters by number: neither surrogates nor numbers beyond all characters.
+_CODE = r"\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|\\U(?:0000(?![dD][89a-fA-F])|000[1-9a-fA-F]|0010)[0-9A-Fa-f]{4}"
+_IRI = rf"<(?:[^<>\\]|{_CODE})*+>"
+#: One statement of a line: subject, predicate, and an entity, or a literal with language or datatype. Possessive, so that long literals need no stack.
+_LINE = rf"""^\s*+({_IRI}|_:\S+)\s++({_IRI})\s*+(?:({_IRI}|_:[^\s.]+(?:\.[^\s.]+)*)|"((?:[^"\\]++|\\[tbnrf"'\\]|{_CODE})*+)"(?:@([A-Za-z0-9-]+)|\^\^({_IRI}))?)\s*+\.\s*+(?:#.*+)?$"""
 
-
-@F.pandas_udf(T.StringType())
-def _unicode(text: pd.Series) -> pd.Series:
-    """Replaces \\uXXXX and \\UXXXXXXXX."""
-    found = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})")
-    return text.map(lambda x: x and found.sub(lambda m: chr(int(m[1] or m[2], 16)), x))
-
-
-#: Escapes and what they stand for (fixed values); a doubled backslash is set aside first.
-_ESCAPES = (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'"))
+#: Escapes and what they stand for (fixed values).
+_ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
-def _plain(c: Column) -> Column:
-    c = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-    for escaped, character in _ESCAPES:
-        c = F.replace(c, F.lit(escaped), F.lit(character))
-    return F.replace(c, F.lit("\x00"), F.lit("\\"))
+@F.pandas_udf(T.StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    """All escapes in one pass from left to right."""
+    found = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.S)
+    return text.map(lambda x: x and found.sub(lambda m: _ESCAPES[m[3]] if m[3] else chr(int(m[1] or m[2], 16)), x))
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
@@ -40,15 +35,15 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_ntriples(lines: DataFrame) -> DataFrame:
     """The triples of N-Triples lines (value); empty lines, comments and what isn't a statement (see `bad_lines`) are left out."""
-    part = lambda n: F.regexp_extract("value", _LINE, n)
-    rows = lines.where(F.col("value").rlike(_LINE)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("e"), part(4).alias("v"), part(5).alias("lang"), part(6).alias("dt"))
-    coded = F.col("v").contains("\\u") | F.col("v").contains("\\U")
-    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
+    names = ("s", "p", "e", "v", "lang", "dt")
+    rows = lines.where(F.col("value").rlike(_LINE)).select("value", *[F.regexp_extract("value", _LINE, n + 1).alias(c) for n, c in enumerate(names)])
+    coded = F.col("value").contains("\\")
+    clean = rows.where(~coded).unionByName(rows.where(coded).withColumns({c: _unescaped(c) for c in names if c != "lang"})).drop("value")
+    bare = lambda c: F.when(F.col(c).startswith("<"), F.expr(f"substring({c}, 2, length({c}) - 2)")).otherwise(F.col(c))
     entity = F.col("e") != ""
-    clean = rows.where(~coded).unionByName(rows.where(coded).withColumn("v", _unicode("v")))
-    s, o = bare(F.col("s")), F.when(entity, bare(F.col("e"))).otherwise(_plain(F.col("v")))
-    datatype = F.when(entity, "").when(F.col("lang") != "", S.RDF + "langString").when(F.col("dt") != "", F.col("dt")).otherwise(S.XSD + "string")
-    return clean.select(s.alias("s"), S.kind_of(s).alias("s_kind"), "p", o.alias("o"), F.when(entity, S.kind_of(o)).otherwise("literal").alias("o_kind"), datatype.alias("o_dt"), F.lower("lang").alias("o_lang")).distinct()
+    s, o = bare("s"), F.when(entity, bare("e")).otherwise(F.col("v"))
+    datatype = F.when(entity, "").when(F.col("lang") != "", S.RDF + "langString").when(F.col("dt") != "", bare("dt")).otherwise(S.XSD + "string")
+    return clean.select(s.alias("s"), S.kind_of(s).alias("s_kind"), bare("p").alias("p"), o.alias("o"), F.when(entity, S.kind_of(o)).otherwise("literal").alias("o_kind"), datatype.alias("o_dt"), F.lower("lang").alias("o_lang")).distinct()
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -72,42 +67,95 @@ def write_ntriples(t: DataFrame, path: str, mode: str = "error") -> None:
     ntriples_lines(t).write.mode(mode).text(path)
 
 
-_NODES = "array<map<string,string>>"
 _VALUES = "array<map<string,string>>"
 
 
 def read_jsonld(spark: SparkSession, path: str) -> DataFrame:
-    """The triples of JSON-LD files: a list of node objects, one node, or a context of prefixes with a graph."""
-    files = spark.read.text(path, wholetext=True)
-    top = files.select(F.when(F.ltrim("value").startswith("["), F.concat(F.lit('{"@graph":'), "value", F.lit("}"))).when(F.get_json_object("value", "$.@graph").isNotNull(), F.col("value")).otherwise(F.concat(F.lit('{"@graph":['), "value", F.lit("]}"))).alias("value"))
-    top = top.select(F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"))
-    context = F.from_json(F.coalesce(F.col("m")["@context"], F.lit("{}")), T.MapType(T.StringType(), T.StringType()))
-    nodes = top.select(context.alias("c"), F.explode(F.from_json(F.col("m")["@graph"], _NODES)).alias("n"))
-
-    def full(c: Column) -> Column:
-        prefix = F.substring_index(c, ":", 1)
-        return F.when(c.contains(":") & F.col("c")[prefix].isNotNull(), F.concat(F.col("c")[prefix], F.substring(c, F.length(prefix) + 2, F.lit(1 << 20)))).otherwise(F.coalesce(F.col("c")[c], c))
-
-    rows = nodes.select("c", F.col("n")["@id"].alias("id"), F.explode("n").alias("k", "v")).where("k <> '@id' and id is not null")
-    listed = F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.concat(F.lit("["), F.when(F.col("v").startswith("{"), F.col("v")).otherwise(F.to_json(F.struct(F.col("v").alias("@value")))), F.lit("]")))
-    types = rows.where("k = '@type'").select("c", "id", F.explode(F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).otherwise(F.array("v"))).alias("type"))
-    values = rows.where("k <> '@type'").select("c", "id", "k", F.explode(F.from_json(listed, _VALUES)).alias("x"))
-    text = F.col("x")["@value"]
-    kind = F.when(F.col("x")["@type"].isNotNull(), full(F.col("x")["@type"])).when(F.col("x")["@language"].isNotNull(), S.RDF + "langString").when(text.isin("true", "false"), S.XSD + "boolean").when(text.rlike(r"^-?\d+$"), S.XSD + "integer").otherwise(S.XSD + "string")
-    s, p = full(F.col("id")), full(F.col("k"))
-    entity = F.col("x")["@id"].isNotNull()
-    made = F.when(entity, S.link(s, p, full(F.col("x")["@id"]))).otherwise(S.literal(s, p, text, kind, F.lower(F.coalesce(F.col("x")["@language"], F.lit("")))))
-    return S.union(S.from_structs(values, made), S.from_structs(types, S.link(s, S.TYPE, full(F.col("type")))))
+    """The triples of JSON-LD files: a list of node objects, one node, or a context with a graph."""
+    return parse_jsonld(spark.read.text(path, wholetext=True))
+
+
+def _jsonld_values(documents: DataFrame) -> DataFrame:
+    """(terms, coerced, id, k, x): what the context makes of names, subject, key and each value, as a variant, of the node objects in documents (value)."""
+    part = lambda v, name: F.try_variant_get(v, f'$["{name}"]', "variant")
+    kind = lambda v: F.schema_of_variant(v)
+    listed = lambda v: F.when(kind(v).startswith("ARRAY"), v.cast("array<variant>")).otherwise(F.array(v))
+    top = documents.select(F.try_parse_json("value").alias("v")).where("v is not null").withColumn("whole", kind(F.col("v")).startswith("OBJECT"))
+    top = top.select(F.when(F.col("whole"), part(F.col("v"), "@context")).alias("c"), F.coalesce(F.when(F.col("whole"), part(F.col("v"), "@graph")), F.col("v")).alias("v"))
+    top = top.withColumn("c", F.when(kind(F.col("c")).startswith("OBJECT"), F.col("c").cast("map<string,variant>")).otherwise(F.create_map().cast("map<string,variant>")))
+    # A name's IRI is given alone, or in an object, which can also say what its values are.
+    terms = F.transform_values("c", lambda _, v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string")).otherwise(F.try_variant_get(v, '$["@id"]', "string")))
+    # Terms may be in prefix form themselves.
+    whole = F.transform_values("terms", lambda _, v: F.coalesce(F.concat(F.col("terms")[F.substring_index(v, ":", 1)], F.substring(v, F.length(F.substring_index(v, ":", 1)) + 2, F.length(v))), v))
+    coerced = F.transform_values("c", lambda _, v: F.when(F.schema_of_variant(v) != "STRING", F.try_variant_get(v, '$["@type"]', "string")))
+    top = top.select(terms.alias("terms"), coerced.alias("coerced"), "v").select(whole.alias("terms"), "coerced", "v")
+    nodes = top.select("terms", "coerced", F.explode_outer(listed(F.col("v"))).alias("n")).where(kind(F.col("n")).startswith("OBJECT"))
+    nodes = nodes.withColumn("n", F.col("n").cast("map<string,variant>"))
+    rows = nodes.select("terms", "coerced", F.col("n")["@id"].cast("string").alias("id"), F.explode_outer("n").alias("k", "v")).where("k not in ('@id', '@context', '@graph')")
+    return rows.select("terms", "coerced", "id", "k", F.explode_outer(listed(F.col("v"))).alias("x"))
+
+
+def _full(c: str) -> Column:
+    """The IRI that a prefix form, a term or a name in the vocabulary stands for."""
+    own, terms = F.col(c), F.col("terms")
+    prefix = F.substring_index(own, ":", 1)
+    rest = F.substring(own, F.length(prefix) + 2, F.length(own))
+    joined = F.when(own.contains(":") & ~rest.startswith("//"), F.concat(terms[prefix], rest))
+    return F.when(own.startswith("_:"), own).otherwise(F.coalesce(joined, F.when(~own.startswith("@"), terms[own]), F.when(~own.contains(":"), F.concat(terms["@vocab"], own)), own))
+
+
+def _jsonld_made(values: DataFrame) -> DataFrame:
+    """`values` with t, the triple of each value; null where the value isn't understood, and no row for a JSON null."""
+    x, k, kind = F.col("x"), F.col("k"), F.col("kind")
+    field = lambda name, t: F.when(F.col("object"), F.try_variant_get(x, f'$["{name}"]', t))
+    rows = values.withColumn("shape", F.schema_of_variant("x")).withColumn("object", F.col("shape").startswith("OBJECT"))
+    rows = rows.withColumns({"given": field("@type", "string"), "lang": F.lower(F.coalesce(field("@language", "string"), F.lit(""))), "link": field("@id", "string"), "alone": F.when(F.col("object"), F.size(x.cast("map<string,variant>"))) == 1, "as": F.col("coerced")[k]})
+    rows = rows.withColumn("v", F.when(F.col("object"), field("@value", "variant")).otherwise(x)).withColumn("kind", F.schema_of_variant("v"))
+    text = F.when(kind == "STRING", F.col("v").cast("string")).when(kind.isin("BIGINT", "BOOLEAN", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.to_json("v"))
+    named = F.when(k == "@type", F.when(F.col("shape") == "STRING", x.cast("string"))).when(F.col("alone"), F.col("link")).when((F.col("as") == "@id") & (F.col("shape") == "STRING"), x.cast("string"))
+    own = F.coalesce("given", F.when((F.col("as") != "@id") & ~F.col("object"), F.col("as")))
+    plain = F.when(F.col("lang") != "", S.RDF + "langString").when(kind == "BIGINT", S.XSD + "integer").when(kind == "BOOLEAN", S.XSD + "boolean").when(kind == "STRING", S.XSD + "string").otherwise(S.XSD + "double")
+    rows = rows.withColumns({"text": text, "named": named, "own": own, "plain": plain})
+    known = F.col("id").isNotNull() & (~k.startswith("@") | (k == "@type"))
+    rows = rows.withColumns({"s": _full("id"), "p": F.when(k == "@type", F.lit(S.TYPE)).otherwise(_full("k")), "o": _full("named"), "dt": F.coalesce(_full("own"), "plain"), "known": known})
+    literal = F.when((k != "@type") & F.col("link").isNull() & F.col("text").isNotNull(), S.literal(F.col("s"), F.col("p"), F.col("text"), F.col("dt"), F.col("lang")))
+    made = F.when(F.col("known"), F.when(F.col("o").isNotNull(), S.link(F.col("s"), F.col("p"), F.col("o"))).otherwise(literal))
+    # A generator without filters inferred below it, so that the steps above are worked out once.
+    kept = F.explode_outer(F.array(F.struct(made.alias("t"), "id", "k", "x", (F.col("shape") != "VOID").alias("there"))))
+    return rows.select(kept.alias("r")).select("r.*").where("there")
+
+
+def parse_jsonld(documents: DataFrame) -> DataFrame:
+    """The triples of JSON-LD documents (value), each a whole document.
+
+    JSON strings are strings whatever they look like, whole numbers are integers, other numbers
+    doubles in the form in which Spark writes them, true and false booleans; a context's prefixes,
+    terms, @vocab and @type of a term apply, and JSON nulls stand for nothing. Remote contexts,
+    lists in order, sets, and node objects within values are not understood (see `bad_jsonld`).
+    """
+    return _jsonld_made(_jsonld_values(documents)).where("t is not null").select("t.*").select(*S.COLUMNS).distinct()
+
+
+def bad_jsonld(documents: DataFrame) -> DataFrame:
+    """(id, k, x): subject, key and JSON text of what isn't understood; a document that is no JSON has a null key and its text."""
+    bad = _jsonld_made(_jsonld_values(documents)).where("t is null").select("id", "k", F.to_json("x").alias("x"))
+    null = F.lit(None).cast("string")
+    return bad.unionByName(documents.where(F.col("value").isNotNull() & F.try_parse_json("value").isNull()).select(null.alias("id"), null.alias("k"), F.col("value").alias("x")))
+
+
+#: Node objects that a subject's values may be spread over, so that a hub's are not in one.
+NODE_PARTS = 64
 
 
 def jsonld_nodes(t: DataFrame) -> DataFrame:
-    """(value): a node object for each subject; each value keeps its datatype or language."""
+    """(value): node objects of each subject, links by hash in up to `NODE_PARTS` with the same @id; each value keeps its datatype or language."""
     value = F.when(F.col("o_kind") != "literal", F.struct(F.col("o").alias("@id"), F.lit(None).cast("string").alias("@value"), F.lit(None).cast("string").alias("@type"), F.lit(None).cast("string").alias("@language")))
     value = value.otherwise(F.struct(F.lit(None).cast("string").alias("@id"), F.col("o").alias("@value"), F.when(F.col("o_lang") == "", F.col("o_dt")).alias("@type"), F.when(F.col("o_lang") != "", F.col("o_lang")).alias("@language")))
-    sets = t.where("s_kind <> 'literal'").groupBy("s", "p").agg(F.sort_array(F.collect_list(F.to_json(value))).alias("v"))
+    spread = F.when(F.col("o_kind") == "literal", F.lit(0)).otherwise(F.pmod(F.xxhash64("o"), F.lit(NODE_PARTS)).cast("int"))
+    sets = t.where("s_kind <> 'literal'").groupBy("s", spread.alias("_n"), "p").agg(F.sort_array(F.collect_list(F.to_json(value))).alias("v"))
     line = F.concat(F.to_json(F.array("p")), F.lit(":["), F.concat_ws(",", "v"), F.lit("]"))
     line = F.regexp_replace(line, r"^\[(.*?)\]:\[", "$1:[")
-    nodes = sets.groupBy("s").agg(F.sort_array(F.collect_list(line)).alias("parts"))
+    nodes = sets.groupBy("s", "_n").agg(F.sort_array(F.collect_list(line)).alias("parts"))
     return nodes.select(F.concat(F.lit('{"@id":'), F.regexp_replace(F.to_json(F.array("s")), r"^\[|\]$", ""), F.lit(","), F.concat_ws(",", "parts"), F.lit("}")).alias("value"))
 
 
@@ -157,6 +205,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str = "triples", **options:
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*S.COLUMNS)
 
 
+def write_jdbc(t: DataFrame, url: str, table: str = "triples", mode: str = "error", **options: str) -> None:
+    """Writes the graph as a database table, in parallel."""
+    t.select(*S.COLUMNS).write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
 def file_manifest(spark: SparkSession, path: str, t: DataFrame) -> DataFrame:
     """(s, storage_key, size, sha256) of each file individual; content is found under the base-64 form of its IRI, null where it is missing."""
     stored = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("storage_key"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
