@@ -7,7 +7,7 @@ largest size is u, similar sets differ in at most k = 2u(1-t)/(1+t) features. Th
 domain is hashed into n1 groups of n2 partitions. Some group differs in at most
 k2 = ceil((k+1) / n1) - 1 of its partitions, so a set's signatures are the contents of all
 subsets of n2 - k2 partitions of a group. Each instance takes the n1, n2 and k2 with the fewest
-signatures that hold `FEATURES` features or more.
+signatures that hold `FEATURES` features or more, and a few groups to spare.
 
 Subsets without a feature carry nothing, as long as enough groups have more than k2 filled
 partitions: then a similar set shares a subset with a feature. A set in which that fails is
@@ -37,12 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, written
+from .common import dropped, map_batches, written
 
 PERCENT = 85
 WIDTH = 4
 #: Features that a signature should hold on average.
-FEATURES = 5
+FEATURES = 4.5
 #: Hash functions that a set is dealt by until enough partitions are filled.
 AGAIN = 16
 #: Words of 64 bits in a set's sketch.
@@ -104,11 +104,13 @@ class Bands:
             k = 2 * u * (100 - self.percent) // (100 + self.percent)
             ways = []
             for k2 in range(min(k, 3) + 1):
-                n1 = -(-(k + 1) // (k2 + 1))
-                for n2 in range(k2 + 1, k2 + 5):
+                # Some groups to spare, so that a few without enough filled partitions do no harm.
+                n1 = -(-(k + 1) // (k2 + 1)) + k // 25
+                for n2 in range(k2 + 2, k2 + 5) if k2 else (1,):
                     held = least * (n2 - k2) / (n1 * n2)
-                    ways.append((held < FEATURES, n1 * math.comb(n2, k2) if held >= FEATURES else -held, n1, n2, k2))
-            self.shapes.append((k, *min(ways)[2:]))
+                    ways.append((held < FEATURES, n1 * math.comb(n2, k2) if held >= FEATURES else -held, k2, n1, n2))
+            k2, n1, n2 = min(ways)[2:]
+            self.shapes.append((k, n1, n2, k2))
         return self.shapes[band]
 
 
@@ -167,8 +169,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         jump = labels.select(F.col("x").alias("c"), F.col("c").alias("cc"))
         new = labels.join(near, "x").join(jump, "c").select("x", F.least("c", "n", "cc").alias("c"), (F.least("c", "n", "cc") < F.col("c")).alias("moved"))
         new = written(new, "labels")
+        dropped(labels)
         labels = new.select("x", "c")
         if new.where("moved").isEmpty():
+            dropped(both)
             return labels.select(F.col("x").alias("node"), F.col("c").alias("component"))
 
 
@@ -273,8 +277,11 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             apart = F.col("component_a") < F.col("component_b")
         pairs = left.join(right, (left["sig"] == right["sig"]) & apart & _near(percent))
         pairs = pairs.select(F.least("class_id_a", "class_id_b").alias("a"), F.greatest("class_id_a", "class_id_b").alias("b")).distinct()
-        found = _verified(written(pairs, "pairs"), texts, width, percent)
+        pairs = written(pairs, "pairs")
+        found = _verified(pairs, texts, width, percent)
         linked = written(found if linked is None else linked.unionByName(found), "links")
+        dropped(pairs)
+        dropped(rest)
         components = connected_components(linked)
         owner = known.join(components.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
         placed = mixed.join(owner.select("h1", "component"), "h1")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, without, written
+from .common import SPACES, dropped, without, written
 
 SYMBOLS = "#*$%&|<>"
 #: Least standard deviations, in units of the features: below them a difference says nothing
@@ -183,6 +183,7 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     state = written(_starts(rows).select("*", F.lit(float("inf")).alias("log_det"), F.lit(True).alias("falls")), "mcd")
     step = 0
     while not state.where("falls").isEmpty():
+        before = state
         now = written(state.where("falls").select("grp", "k", "m", "inv"), "mcd")
         far = _with(rows, now).select("grp", "k", "f", _distance().alias("d2"))
         edge = written(far.groupBy("grp", "k").agg(F.percentile_approx("d2", 0.5).alias("edge")), "mcd")
@@ -194,12 +195,16 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
         if step == TRIED:
             state = state.withColumn("_n", F.row_number().over(Window.partitionBy("grp").orderBy("log_det", "k"))).where(F.col("_n") <= BEST).drop("_n")
         state = written(state, "mcd")
+        for table in (before, now, edge):
+            dropped(table)
     best = state.groupBy("grp").agg(F.min_by(F.struct("m", "inv"), F.struct("log_det", "k")).alias("b")).select("grp", "b.m", "b.inv")
     far = _with(rows, written(best, "mcd")).select("grp", F.lit(0).alias("k"), "f", _distance().alias("d2"))
     # 4.35 is the median and 12.83 the 0.975 quantile of chi-square with five degrees of freedom.
     edge = written(far.groupBy("grp").agg(F.percentile_approx("d2", 0.5).alias("edge")), "mcd")
     near = _with(far, edge).where(F.col("d2") <= F.greatest(F.col("edge") / 4.35, F.lit(1.0)) * 12.83)
-    return written(_moments(near).drop("log_det", "k"), "mcd")
+    out = written(_moments(near).drop("log_det", "k"), "mcd")
+    dropped(rows)
+    return out
 
 
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "base_failed", "d2", "kept")
