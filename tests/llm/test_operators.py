@@ -483,6 +483,16 @@ def test_url_filters(spark):
     assert got[4][:2] == ("a.example.com", "/en/7") and got[0][:2] == ("", "")
 
 
+def test_url_globs_of_hosts_and_paths(spark):
+    """The list as it stands, each pattern alone against every host and path."""
+    hosts = ["m.casino-win.example.com", "free-bets.example.com", "bets.example.com", "alphabets.example.com", "cheap-pills.example.com", "spills.example.com", "x.ads.y", "ads.x.com", "roads.x.com", "a.xxx", "xxx.a.com", ""]
+    paths = ["", "/", "/ads/1", "/roads/1", "/x/banner1/y", "/x/banners/y", "/x/banner/y", "/login?x", "/a/login.html", "/f.exe", "/f.exe.html", "/cart", "/cart/1"]
+    like = lambda g, x: re.fullmatch(re.escape(g).replace(r"\*", ".*").replace(r"\?", "."), x) is not None
+    rows = [(f"http://{h}{p}",) for h in hosts for p in paths]
+    for r in U.url_filters(spark.createDataFrame(rows, "url string"), rules=()).collect():
+        assert r["verdict"] == ("block" if any(like(g.host, f".{r['host']}") and like(g.path, r["path"]) for g in U.GLOBS) else "allow")
+
+
 def test_html():
     page = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li><a href=a>Home</a></ul></nav><div class="cookie-notice">We use, cookies, a lot.</div>
     <div id=wrap><div class="content"><h1>T &amp; t</h1><p>One, two, three and a&nbsp;long
