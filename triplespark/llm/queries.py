@@ -12,9 +12,12 @@ from .jaccard_join import jaccard_join
 from .language_id import language_id, train_language_id
 from .license_scan import license_scan
 from .lm_score import lm_score
+from .phrases import collocations
 from .quality_classifier import quality_classifier, train_quality
 from .quality_rules import quality_rules
 from .sentencepiece import Model, encode, read_model
+from .simhash_dedup import simhash_dedup
+from .token_alignment import byte_level, piece_level, token_alignment
 from .url_filters import GLOBS, RULES, url_filters
 
 
@@ -78,6 +81,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("decoded") == F.col("hash")).alias("same_text"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of the public byte-level and piece tokenizers; their files' places are parameters of the operator."""
+    import public_tokenizers
+
+    a, b = byte_level(public_tokenizers.path("byte_bpe_50k.json")), piece_level(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment(table(spark, sf_dir, "documents"), a, b)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and the components that three differing bits or fewer make."""
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -90,6 +111,9 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_collocations": op12_collocations,
+        "op13_simhash": op13_simhash,
     }
 
 
@@ -107,6 +131,23 @@ r as (select *, case """
 )
 
 
+#: All phrases counted by places, for each language.
+PHRASE_SQL = """with t as (select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) as piece from t),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') as w from p),
+n as (select lang, sum(len(w))::bigint as n from w group by 1),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from w, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k),
+f as (select lang, k, phrase, count(*)::hugeint as a from g group by all having count(*) >= 30),
+c as (select lang, k, phrase, a, string_split(phrase, ' ') as w, unnest(range(1, k)) as cut from f where k > 1),
+s as (select c.lang, c.k, c.phrase, c.a, c.cut, x.a as l, y.a as r, (2000000::hugeint * c.a) // (x.a + y.a) as score from c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.cut], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+z as (select lang, a, string_split(phrase, ' ') as w, k, unnest(range(2, k)) as m from f where k > 2),
+i as (select lang, a, array_to_string(w[i:i + m - 1], ' ') as phrase from (select *, unnest(range(1, k - m + 2)) as i from z)),
+o as (select lang, phrase, max(a) as around from i group by all),
+r as (select b.lang, row_number() over (partition by b.lang order by b.score desc, b.a desc, encode(b.phrase)) as rank, b.phrase, b.a, b.l, b.r, b.score from b left join o on o.lang = b.lang and o.phrase = b.phrase where o.around is null or 100 * o.around < 80 * b.a)
+select r.lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from r join n on n.lang = r.lang where rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Only op7's rows can be said in SQL; the others learn models or search within texts."""
-    return {"op7_url_filters": URL_SQL}
+    """op7's and op12's rows can be said in SQL; the others learn models, search within texts or use hashes and files that SQL lacks."""
+    return {"op7_url_filters": URL_SQL, "op12_collocations": PHRASE_SQL}
