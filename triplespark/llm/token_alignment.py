@@ -40,20 +40,20 @@ from .common import dropped, written
 #: Parts that records are dealt to by B's id.
 RADIX = 16
 #: Bytes of texts in a block, and in the blocks whose runs make a group.
-BLOCK = 6 << 20
-GROUP = 512 << 20
+BLOCK = 2 << 20
+GROUP = 128 << 20
 #: Bits of a document's number within its block, and of an id.
 _DOC, _ID = 20, 20
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "200"}
 #: Words of other categories, numbers and white space as the byte-level pre-tokenizer cuts them (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @dataclass
 class Encoder:
-    """A tokenizer in a task: `encode` gives the ids of whole texts, `pieces` each id's bytes."""
+    """A tokenizer in a task: `encode` gives the ids of a whole text, `pieces` each id's bytes."""
 
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[str], np.ndarray]
     pieces: list[bytes]
 
 
@@ -76,12 +76,12 @@ def byte_level(path: str) -> Callable[[], Encoder]:
         usual = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         if file["normalizer"] is None and file["pre_tokenizer"] == usual and [model["vocab"][m] for m in merged] == list(range(256, 256 + len(merged))) and not model.get("ignore_merges"):
             ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={t: i for i, t in own.items()}, special_tokens={})
-            return Encoder(lambda texts: [ranks.encode_ordinary(" " + x) for x in texts], pieces)
+            return Encoder(lambda text: ranks.encode_to_numpy(" " + text, disallowed_special=()), pieces)
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True
-        return Encoder(lambda texts: [x.ids for x in whole.encode_batch([" " + x for x in texts], add_special_tokens=False)], pieces)
+        return Encoder(lambda text: np.array(whole.encode(" " + text, add_special_tokens=False).ids, np.int32), pieces)
 
     return start
 
@@ -95,7 +95,7 @@ def piece_level(path: str) -> Callable[[], Encoder]:
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             pieces.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-        return Encoder(lambda texts: model.encode(texts, num_threads=1), pieces)
+        return Encoder(lambda text: np.array(model.encode(text), np.int32), pieces)
 
     return start
 
@@ -119,13 +119,12 @@ class Aligned:
         return np.searchsorted(self.a_end, cut), np.searchsorted(self.b_end, cut), np.searchsorted(self.doc_end, cut)
 
 
-def align(a: list[list[int]], b: list[list[int]], size_a: np.ndarray, size_b: np.ndarray) -> Aligned:
+def align(a: list[np.ndarray], b: list[np.ndarray], size_a: np.ndarray, size_b: np.ndarray) -> Aligned:
     """Documents that both tokenizers cover alike, one after another as one text."""
-    ids_a, ids_b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (a, b))
+    ids_a, ids_b = (np.concatenate(ids).astype(np.int64) for ids in (a, b))
     a_end, b_end = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
     n = np.cumsum([len(x) for x in a], dtype=np.int64)
-    doc_end = a_end[n - 1] if len(n) else n
-    return Aligned(ids_a, ids_b, a_end, b_end, doc_end, np.intersect1d(a_end, b_end, assume_unique=True))
+    return Aligned(ids_a, ids_b, a_end, b_end, a_end[n - 1], np.intersect1d(a_end, b_end, assume_unique=True))
 
 
 def group_texts(x: Aligned, words_a: list[bytes], words_b: list[bytes]) -> list[bytes]:
@@ -169,7 +168,7 @@ def unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for t, w in zip(_RECORDS, widths):
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n).T).view(t).ravel())
         at += n * w
-    return np.cumsum(out[0], dtype=np.uint64).astype(np.int64), out[1].astype(np.int64), out[2].astype(np.int64)
+    return np.cumsum(out[0], dtype=np.uint64).view(np.int64), out[1], out[2]
 
 
 def merged(runs: list[bytes]) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]]:
@@ -183,7 +182,7 @@ def merged(runs: list[bytes]) -> Iterator[tuple[int, list[tuple[int, np.ndarray,
         pairs, docs, times = unpacked(run)
         b = pairs >> _ID
         first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.empty(0, np.int64)
-        opened.append((pairs & ((1 << _ID) - 1), docs, times, b[first].tolist(), [*first.tolist(), len(b)]))
+        opened.append(((pairs & ((1 << _ID) - 1)).astype(np.int32), docs, times, b[first].tolist(), [*first.tolist(), len(b)]))
         if len(b):
             heap.append((opened[-1][3][0], n, 0))
     heapq.heapify(heap)
@@ -221,13 +220,13 @@ def _encoded(docs: DataFrame, start_a: Callable[[], Encoder], start_b: Callable[
             nonlocal blocks
             number = (TaskContext.get().partitionId() << 32) + blocks
             blocks += 1
-            whole = [(n, x.decode("utf-8", "replace")) for n, x in enumerate(texts) if x]
-            ids_a, ids_b = a.encode([x for _, x in whole]), b.encode([x for _, x in whole])
             good = []
-            for (n, _), i, j in zip(whole, ids_a, ids_b):
-                target = b" " + texts[n]
-                if b"".join(map(a.pieces.__getitem__, i)) == target and b"".join(map(b.pieces.__getitem__, j)) == target:
-                    good.append((n, i, j))
+            for n, raw in enumerate(texts):
+                if raw:
+                    text = raw.decode("utf-8", "replace")
+                    i, j = a.encode(text), b.encode(text)
+                    if all(b"".join(map(e.pieces.__getitem__, ids.tolist())) == b" " + raw for e, ids in ((a, i), (b, j))):
+                        good.append((n, i, j))
             numbers = np.zeros((5, len(keys)), np.int64)
             sha = [""] * len(keys)
             if good:
@@ -296,11 +295,11 @@ def _gathered(group: pa.Table, counts: pa.Table) -> pa.Table:
     for b, found in merged(group.column("run").to_pylist()):
         low, high = np.searchsorted(pair, [b << _ID, (b + 1) << _ID])
         for n, a, docs, times in found:
-            at = low + np.searchsorted(pair[low:high], (b << _ID) | a)
+            at = low + np.searchsorted(pair[low:high], (b << _ID) | a.astype(np.int64))
             if docs.max() >= sums[n].shape[1]:
                 sums[n] = np.pad(sums[n], ((0, 0), (0, 2 * int(docs.max()) + 1 - sums[n].shape[1])))
-            np.add.at(sums[n][0], docs, times * best[at])
-            np.add.at(sums[n][1], docs, times * total[at])
+            np.add.at(sums[n][0], docs, times.astype(np.int64) * best[at])
+            np.add.at(sums[n][1], docs, times.astype(np.int64) * total[at])
     out = []
     for block, s in zip(blocks, sums):
         n = np.flatnonzero(s[1])
