@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.loops import shared_folder
+from ..operators.patterns import predicate_statistics
 from ..operators.tbox import TBox, load_tbox
 from ..sources.tables import individuals_from_table
 
@@ -89,6 +90,20 @@ def graph(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+_STATISTICS: dict[tuple, DataFrame] = {}
+
+
+def statistics(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
+    """The statistics of the predicates of these tables' graph, worked out once for each application and kept beside the store."""
+    key = (spark.sparkContext.applicationId, sf_dir, tables)
+    if key not in _STATISTICS:
+        path = f"{shared_folder(spark)}/statistics-{uuid.uuid4().hex}"
+        made = predicate_statistics(graph(spark, sf_dir, *tables))
+        made.coalesce(1).write.parquet(path)
+        _STATISTICS[key] = spark.read.schema(made.schema).parquet(path)
+    return _STATISTICS[key]
+
+
 def _of(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     """The triples of the named tables; each subject's come from one row."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")

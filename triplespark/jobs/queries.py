@@ -12,13 +12,14 @@ from .. import schema as S
 from ..functions import scalar as X
 from ..operators import aggregate as A
 from ..operators import navigate as N
+from ..operators import patterns as G
 from ..operators import search as R
 from ..operators import select as P
 from ..operators import tbox as T
 from ..operators import update as U
 from ..operators.loops import shared_folder
-from ..sources import rdf, tables
-from .mapping import EX, SEGMENTS, changelog, graph, iri, name, ontology
+from ..sources import rdf, tables, turtle
+from .mapping import EX, SEGMENTS, changelog, graph, iri, name, ontology, statistics
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -108,6 +109,63 @@ def s2(spark, d):
     return back.where(F.col("p").isin(name("name"), name("hasSupplier"))).select("s", "p", "o", "o_dt")
 
 
+def files(spark, what):
+    """A new folder for files that a query writes and reads back."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@query("s1_s7_turtle", "select '{E}customer/' || c_custkey as s, '{TYPE}' as p, " + SEGMENT + """ as o, '' as o_dt from customer
+union all select '{E}customer/' || c_custkey, '{E}name', c_name, '{XSD}string' from customer
+union all select '{E}customer/' || c_custkey, '{E}balance', cast(cast(c_acctbal as decimal(18,2)) as varchar), '{XSD}decimal' from customer
+union all select '{E}customer/' || c_custkey, '{E}inNation', '{E}nation/' || c_nationkey, '' from customer""")
+def s1_turtle(spark, d):
+    path = files(spark, "turtle")
+    turtle.write_turtle(graph(spark, d, "customer"), path, {"ex": EX, "xsd": S.XSD})
+    return turtle.read_turtle(spark, path).select("s", "p", "o", "o_dt")
+
+
+@query("s1_s7_turtle_texts", "select distinct '{E}document/' || doc_id as s, text as o, coalesce(lang, '') as o_lang from documents where text is not null")
+def s1_turtle_texts(spark, d):
+    path = files(spark, "turtle")
+    turtle.write_turtle(graph(spark, d, "documents"), path, {"ex": EX})
+    return turtle.read_turtle(spark, path).where(F.col("o_dt") == S.RDF + "langString").select("s", "o", "o_lang")
+
+
+@query("s1_turtle_nodes", """select '{E}part/' || p_partkey as s, '{E}list' as p, cast(p_size as varchar) as first, p_name as second, '{XSD}integer' as first_dt from part""")
+def s1_turtle_nodes(spark, d):
+    # Statements over several lines, with lists, nodes without a name and long strings, made of a table.
+    path = files(spark, "turtle")
+    text = F.concat(F.lit("@prefix ex: <" + EX + "> . # names\n<" + EX + "part/"), F.col("p_partkey"), F.lit("> ex:list ( "), F.col("p_size"), F.lit(' [ ex:says \"\"\"'), F.col("p_name"), F.lit('\"\"\" ] ) ;\n  a ex:Part .'))
+    table(spark, d, "part").select(text).write.text(path)
+    t = turtle.read_turtle(spark, path)
+    first, rest = S.RDF + "first", S.RDF + "rest"
+    rows = N.bgp(t, [("?s", name("list"), "?l"), ("?l", first, "?first"), ("?l", rest, "?m"), ("?m", first, "?n"), ("?m", rest, S.RDF + "nil"), ("?n", name("says"), "?second")])
+    return rows.select("s", F.lit(name("list")).alias("p"), "first", "second", "first_dt")
+
+
+def strange(spark, d):
+    """Identifiers with characters that IRIs can't hold as they are."""
+    odd = F.concat(F.lit(EX + "odd>/"), F.col("p_name"), F.lit("\\|<{}^`"), F.col("p_partkey"))
+    return S.from_structs(table(spark, d, "part"), S.link(odd, name("of"), iri("part", "p_partkey")), S.literal(odd, name("name"), F.col("p_name")))
+
+
+STRANGE = "select '{E}odd>/' || p_name || '\\|<{}^`' || p_partkey as s, '{E}of' as p, '{E}part/' || p_partkey as o from part union all select '{E}odd>/' || p_name || '\\|<{}^`' || p_partkey, '{E}name', p_name from part"
+
+
+@query("s7_ntriples_strange", STRANGE)
+def s7_strange(spark, d):
+    path = files(spark, "ntriples")
+    rdf.write_ntriples(strange(spark, d), path)
+    return rdf.read_ntriples(spark, path).select("s", "p", "o")
+
+
+@query("s7_turtle_strange", STRANGE)
+def s7_turtle_strange(spark, d):
+    path = files(spark, "turtle")
+    turtle.write_turtle(strange(spark, d), path, {"ex": EX})
+    return turtle.read_turtle(spark, path).select("s", "p", "o")
+
+
 @query("s10_mint_iri", "select distinct user_id, '" + S.ENTITY + "' || left(h, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) as iri from (select user_id, format('{:032x}', user_id) as h from events)")
 def s10(spark, d):
     return table(spark, d, "events").select("user_id", X.mint_iri(F.col("user_id"), "int").alias("iri")).distinct()
@@ -291,6 +349,67 @@ def j6(spark, d):
     return rows.select("customer_name", "nation_name", "o", "balance")
 
 
+def placed(spark, d):
+    """The graph of nations, customers, suppliers and orders, with the statistics of its predicates."""
+    tables_ = ("nation", "customer", "supplier", "orders")
+    return graph(spark, d, *tables_), statistics(spark, d, *tables_)
+
+
+@query("j6_bgp_star", "select c_name as customer, n_name as nation, cast(cast(c_acctbal as decimal(18,2)) as varchar) as balance, '{E}order/' || o_orderkey as o, o_orderstatus as status from customer join nation on n_nationkey = c_nationkey join orders on o_custkey = c_custkey")
+def j6_star(spark, d):
+    t, stats = placed(spark, d)
+    patterns = [("?c", name("inNation"), "?n"), ("?c", name("name"), "?customer"), ("?n", name("name"), "?nation"), ("?c", name("places"), "?o"), ("?o", name("status"), "?status"), ("?c", name("balance"), "?balance")]
+    return N.bgp(t, patterns, statistics=stats).select("customer", "nation", "balance", "o", "status")
+
+
+@query("j6_bgp_optional", "select c_name as customer, n_name as nation, '{E}order/' || o_orderkey as o from customer join nation on n_nationkey = c_nationkey left join orders on o_custkey = c_custkey and o_orderstatus = 'P'")
+def j6_optional(spark, d):
+    t, stats = placed(spark, d)
+    own = [("?c", name("inNation"), "?n"), ("?c", name("name"), "?customer"), ("?n", name("name"), "?nation")]
+    pending = G.Join("optional", [("?c", name("places"), "?o"), ("?o", name("status"), G.Literal("P"))])
+    return N.bgp(t, own, how=(pending,), statistics=stats).select("customer", "nation", "o")
+
+
+@query("j6_bgp_minus", "select c_name as customer from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'O')")
+def j6_minus(spark, d):
+    t, stats = placed(spark, d)
+    open_ = G.Join("minus", [("?c", name("places"), "?o"), ("?o", name("status"), G.Literal("O"))])
+    return N.bgp(t, [("?c", name("inNation"), "?n"), ("?c", name("name"), "?customer")], how=(open_,), statistics=stats).select("customer")
+
+
+@query("j6_bgp_union", "select n_name as nation, c_name as party, cast(cast(c_acctbal as decimal(18,2)) as varchar) as balance from customer join nation on n_nationkey = c_nationkey union all select n_name, s_name, cast(cast(s_acctbal as decimal(18,2)) as varchar) from supplier join nation on n_nationkey = s_nationkey")
+def j6_union(spark, d):
+    t, stats = placed(spark, d)
+    own = [("?x", name("name"), "?party"), ("?x", name("balance"), "?balance")]
+    either = G.Join("union", [("?x", name("inNation"), "?n")], ([("?n", name("hasSupplier"), "?x")],))
+    nation = G.Join("optional", [("?n", name("name"), "?nation")])
+    return N.bgp(t, own, how=(either, nation), statistics=stats).select("nation", "party", "balance")
+
+
+def alike(spark, d):
+    """Of each supplier, its name as a string, with a language and as an entity's identifier, said and listed."""
+    own = lambda kind, p, o: S.link(iri(kind, "s_suppkey"), name(p), o)
+    text = lambda kind, p, dt, lang: S.literal(iri(kind, "s_suppkey"), name(p), F.col("s_name"), dt, lang)
+    made = [(kind, p) for p in ("says", "lists") for kind in (f"{p}/plain", f"{p}/tagged", f"{p}/entity")]
+    rows = [own(k, p, F.col("s_name")) if "entity" in k else text(k, p, *((S.RDF + "langString", "en") if "tagged" in k else (S.XSD + "string", ""))) for k, p in made]
+    return S.from_structs(table(spark, d, "supplier"), *rows, S.literal(F.col("s_name"), name("number"), F.col("s_suppkey"), S.XSD + "integer"))
+
+
+@query("j6_bgp_terms", "".join(f" union all select '{{E}}says/{k}/' || s_suppkey as a, '{{E}}lists/{k}/' || s_suppkey as b, s_name as v, '{kind}' as v_kind, '{dt}' as v_dt, '{lang}' as v_lang from supplier" for k, kind, dt, lang in (("plain", "literal", "{XSD}string", ""), ("tagged", "literal", S.RDF + "langString", "en"), ("entity", "iri", "", ""))).removeprefix(" union all "))
+def j6_terms(spark, d):
+    return N.bgp(alike(spark, d), [("?a", name("says"), "?v"), ("?b", name("lists"), "?v")]).select("a", "b", "v", "v_kind", "v_dt", "v_lang")
+
+
+@query("j6_bgp_terms_entity", "select '{E}says/entity/' || s_suppkey as a, s_name as v, cast(s_suppkey as varchar) as n from supplier")
+def j6_terms_entity(spark, d):
+    return N.bgp(alike(spark, d), [("?a", name("says"), "?v"), ("?v", name("number"), "?n")]).select("a", "v", "n")
+
+
+@query("j6_predicate_statistics", "select '{E}name' as p, (select count(*) from nation) + (select count(*) from customer) + (select count(*) from supplier) as n union all select '{E}places', count(*) from orders union all select '{E}status', count(*) from orders")
+def j6_statistics(spark, d):
+    return placed(spark, d)[1].where(F.col("p").isin(name("name"), name("places"), name("status"))).select("p", "n")
+
+
 @query("j7_path_star", UP + " select '{E}supplier/' || s_suppkey as s, super as o from supplier join thing on sub = '{E}Supplier'")
 def j7(spark, d):
     return N.path_star(graph(spark, d, "supplier"), ontology(spark).classes, S.TYPE)
@@ -301,6 +420,14 @@ def j8(spark, d):
     return N.construct(graph(spark, d, "orders"), [("?c", name("places"), "?o")], [("?o", name("placedBy"), "?c")]).select("s", "p", "o")
 
 
+@query("j8_construct_terms", "select '{E}customer/' || c_custkey as s, '{E}title' as p, c_name as o, 'literal' as o_kind, '{XSD}string' as o_dt from customer union all select '{E}customer/' || c_custkey, '{E}worth', cast(cast(c_acctbal as decimal(18,2)) as varchar), 'literal', '{XSD}decimal' from customer union all select '{E}nation/' || c_nationkey, '{E}home', '{E}customer/' || c_custkey, 'iri', '' from customer")
+def j8_terms(spark, d):
+    t, stats = placed(spark, d)
+    patterns = [("?c", name("name"), "?n"), ("?c", name("balance"), "?b"), ("?c", name("inNation"), "?h")]
+    made = N.construct(t, patterns, [("?c", name("title"), "?n"), ("?c", name("worth"), "?b"), ("?h", name("home"), "?c"), ("?n", name("of"), "?c")], statistics=stats)
+    return made.select("s", "p", "o", "o_kind", "o_dt")
+
+
 @query("j8_describe", "select '{E}customer/' || c_custkey as s, c_name as o from customer where c_mktsegment = 'MACHINERY'")
 def j8_describe(spark, d):
     t, tb = graph(spark, d, "customer"), ontology(spark)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from . import patterns as patterns_
 from .select import get_by_class, individuals
 from .tbox import TBox, below, inverses
 
@@ -64,38 +65,13 @@ def relationships_between(t: DataFrame, tb: TBox, pairs: DataFrame) -> DataFrame
     return pairs.select("s", "o").distinct().join(found, ["s", "o"], "left").groupBy("s", "o").agg(F.sort_array(F.collect_set("p")).alias("relationships"))
 
 
-def bgp(t: DataFrame, patterns: list[tuple[str, str, str]], filters: list[Column] = (), distinct: bool = True) -> DataFrame:
-    """Rows for which all patterns hold, a column for each variable (?name).
+def bgp(t: DataFrame, patterns: list[patterns_.Pattern], filters: list[Column] = (), distinct: bool = True, how: tuple[patterns_.Join, ...] = (), statistics: DataFrame | None = None) -> DataFrame:
+    """Rows for which all patterns hold, with the columns x, x_kind, x_dt and x_lang of each variable ?x.
 
-    Each pattern filters the graph by its constants; patterns are joined on shared variables,
-    those with more constants first, each with one that shares a variable if there is one. A
-    variable's datatype is in the column name_dt if it stands in an object's place.
+    Terms are compared as wholes; `how` joins optional, alternative and excluded patterns, and
+    `statistics` of the predicates order the joins (see `patterns.select`).
     """
-    waiting = sorted(patterns, key=lambda p: sum(x.startswith("?") for x in p))
-    out, bound = None, set()
-    while waiting:
-        pattern = next((p for p in waiting if bound & set(p)), waiting[0])
-        waiting.remove(pattern)
-        rows, names = t, {}
-        for column, term in zip("spo", pattern):
-            if not term.startswith("?"):
-                rows = rows.where(F.col(column) == term)
-            elif term in names:
-                rows = rows.where(F.col(column) == F.col(names[term]))
-            else:
-                names[term] = column
-        columns = [F.col(c).alias(v[1:]) for v, c in names.items()] + [F.col("o_dt").alias(f"{v[1:]}_dt") for v, c in names.items() if c == "o" and v not in bound]
-        rows = rows.select(*columns)
-        shared = [v[1:] for v in names if v in bound]
-        if out is None:
-            out = rows
-        elif shared:
-            out = out.join(rows, shared)
-        else:
-            raise ValueError(f"{pattern} shares no variable with the other patterns")
-        bound |= set(names)
-    out = reduce(lambda df, f: df.where(f), filters, out)
-    return out.distinct() if distinct else out
+    return patterns_.select(t, patterns, tuple(how), tuple(filters), distinct, statistics)
 
 
 def path_star(t: DataFrame, closure: DataFrame, p: str) -> DataFrame:
@@ -108,16 +84,14 @@ def match_p(t: DataFrame, p: str) -> DataFrame:
     return t.where(F.col("p") == p)
 
 
-def ask(t: DataFrame, patterns: list[tuple[str, str, str]]) -> bool:
+def ask(t: DataFrame, patterns: list[patterns_.Pattern], **options) -> bool:
     """Whether the patterns hold anywhere."""
-    return not bgp(t, patterns).isEmpty()
+    return patterns_.ask(t, patterns, **options)
 
 
-def construct(t: DataFrame, patterns: list[tuple[str, str, str]], template: list[tuple[str, str, str]]) -> DataFrame:
-    """The triples that the template makes of each row of the patterns; objects are entities."""
-    rows = bgp(t, patterns)
-    term = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)
-    return S.from_structs(rows, *[S.link(term(s), term(p), term(o)) for s, p, o in template]).distinct()
+def construct(t: DataFrame, patterns: list[patterns_.Pattern], template: list[patterns_.Pattern], **options) -> DataFrame:
+    """The triples that the template makes of each row of the patterns; variables keep their whole terms."""
+    return patterns_.construct(t, patterns, template, **options)
 
 
 def describe(t: DataFrame, entities: DataFrame) -> DataFrame:

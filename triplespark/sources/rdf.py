@@ -51,15 +51,23 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
 
 
+def _escaped_iri(c: str) -> Column:
+    """An IRI in angle brackets, with what can't stand there as \\u escapes."""
+    own = F.replace(F.col(c), F.lit("\\"), F.lit("\\u005C"))
+    for x in [*map(chr, range(33)), *'<>"{}|^`']:
+        own = F.replace(own, F.lit(x), F.lit(f"\\u{ord(x):04X}"))
+    return F.concat(F.lit("<"), F.when(F.col(c).rlike(r"""[\x00-\x20<>"{}|^`\\]"""), own).otherwise(F.col(c)), F.lit(">"))
+
+
 def ntriples_lines(t: DataFrame) -> DataFrame:
     """(value): a line for each triple with an entity as subject."""
-    term = lambda c, kind: F.when(F.col(kind) == "bnode", F.col(c)).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+    term = lambda c, kind: F.when(F.col(kind) == "bnode", F.col(c)).otherwise(_escaped_iri(c))
     escaped = F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\"))
     for code, character in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"')):
         escaped = F.replace(escaped, F.lit(character), F.lit(code))
-    end = F.when(F.col("o_lang") != "", F.concat(F.lit("@"), "o_lang")).when(F.col("o_dt").isin("", S.XSD + "string"), "").otherwise(F.concat(F.lit("^^<"), "o_dt", F.lit(">")))
+    end = F.when(F.col("o_lang") != "", F.concat(F.lit("@"), "o_lang")).when(F.col("o_dt").isin("", S.XSD + "string"), "").otherwise(F.concat(F.lit("^^"), _escaped_iri("o_dt")))
     o = F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), escaped, F.lit('"'), end)).otherwise(term("o", "o_kind"))
-    return t.where("s_kind <> 'literal'").select(F.concat(term("s", "s_kind"), F.lit(" <"), "p", F.lit("> "), o, F.lit(" .")).alias("value"))
+    return t.where("s_kind <> 'literal'").select(F.concat(term("s", "s_kind"), F.lit(" "), _escaped_iri("p"), F.lit(" "), o, F.lit(" .")).alias("value"))
 
 
 def write_ntriples(t: DataFrame, path: str, mode: str = "error") -> None:
