@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from .jsonld import bad_jsonld, parse_jsonld
 
 # Escapes of characters by number: neither surrogates nor numbers beyond all characters.
 _CODE = r"\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|\\U(?:0000(?![dD][89a-fA-F])|000[1-9a-fA-F]|0010)[0-9A-Fa-f]{4}"
@@ -83,74 +84,6 @@ def read_jsonld(spark: SparkSession, path: str) -> DataFrame:
     return parse_jsonld(spark.read.text(path, wholetext=True))
 
 
-def _jsonld_values(documents: DataFrame) -> DataFrame:
-    """(terms, coerced, id, k, x): what the context makes of names, subject, key and each value, as a variant, of the node objects in documents (value)."""
-    part = lambda v, name: F.try_variant_get(v, f'$["{name}"]', "variant")
-    kind = lambda v: F.schema_of_variant(v)
-    listed = lambda v: F.when(kind(v).startswith("ARRAY"), v.cast("array<variant>")).otherwise(F.array(v))
-    top = documents.select(F.try_parse_json("value").alias("v")).where("v is not null").withColumn("whole", kind(F.col("v")).startswith("OBJECT"))
-    top = top.select(F.when(F.col("whole"), part(F.col("v"), "@context")).alias("c"), F.coalesce(F.when(F.col("whole"), part(F.col("v"), "@graph")), F.col("v")).alias("v"))
-    top = top.withColumn("c", F.when(kind(F.col("c")).startswith("OBJECT"), F.col("c").cast("map<string,variant>")).otherwise(F.create_map().cast("map<string,variant>")))
-    # A name's IRI is given alone, or in an object, which can also say what its values are.
-    terms = F.transform_values("c", lambda _, v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string")).otherwise(F.try_variant_get(v, '$["@id"]', "string")))
-    # Terms may be in prefix form themselves.
-    whole = F.transform_values("terms", lambda _, v: F.coalesce(F.concat(F.col("terms")[F.substring_index(v, ":", 1)], F.substring(v, F.length(F.substring_index(v, ":", 1)) + 2, F.length(v))), v))
-    coerced = F.transform_values("c", lambda _, v: F.when(F.schema_of_variant(v) != "STRING", F.try_variant_get(v, '$["@type"]', "string")))
-    top = top.select(terms.alias("terms"), coerced.alias("coerced"), "v").select(whole.alias("terms"), "coerced", "v")
-    nodes = top.select("terms", "coerced", F.explode_outer(listed(F.col("v"))).alias("n")).where(kind(F.col("n")).startswith("OBJECT"))
-    nodes = nodes.withColumn("n", F.col("n").cast("map<string,variant>"))
-    rows = nodes.select("terms", "coerced", F.col("n")["@id"].cast("string").alias("id"), F.explode_outer("n").alias("k", "v")).where("k not in ('@id', '@context', '@graph')")
-    return rows.select("terms", "coerced", "id", "k", F.explode_outer(listed(F.col("v"))).alias("x"))
-
-
-def _full(c: str) -> Column:
-    """The IRI that a prefix form, a term or a name in the vocabulary stands for."""
-    own, terms = F.col(c), F.col("terms")
-    prefix = F.substring_index(own, ":", 1)
-    rest = F.substring(own, F.length(prefix) + 2, F.length(own))
-    joined = F.when(own.contains(":") & ~rest.startswith("//"), F.concat(terms[prefix], rest))
-    return F.when(own.startswith("_:"), own).otherwise(F.coalesce(joined, F.when(~own.startswith("@"), terms[own]), F.when(~own.contains(":"), F.concat(terms["@vocab"], own)), own))
-
-
-def _jsonld_made(values: DataFrame) -> DataFrame:
-    """`values` with t, the triple of each value; null where the value isn't understood, and no row for a JSON null."""
-    x, k, kind = F.col("x"), F.col("k"), F.col("kind")
-    field = lambda name, t: F.when(F.col("object"), F.try_variant_get(x, f'$["{name}"]', t))
-    rows = values.withColumn("shape", F.schema_of_variant("x")).withColumn("object", F.col("shape").startswith("OBJECT"))
-    rows = rows.withColumns({"given": field("@type", "string"), "lang": F.lower(F.coalesce(field("@language", "string"), F.lit(""))), "link": field("@id", "string"), "alone": F.when(F.col("object"), F.size(x.cast("map<string,variant>"))) == 1, "as": F.col("coerced")[k]})
-    rows = rows.withColumn("v", F.when(F.col("object"), field("@value", "variant")).otherwise(x)).withColumn("kind", F.schema_of_variant("v"))
-    text = F.when(kind == "STRING", F.col("v").cast("string")).when(kind.isin("BIGINT", "BOOLEAN", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.to_json("v"))
-    named = F.when(k == "@type", F.when(F.col("shape") == "STRING", x.cast("string"))).when(F.col("alone"), F.col("link")).when((F.col("as") == "@id") & (F.col("shape") == "STRING"), x.cast("string"))
-    own = F.coalesce("given", F.when((F.col("as") != "@id") & ~F.col("object"), F.col("as")))
-    plain = F.when(F.col("lang") != "", S.RDF + "langString").when(kind == "BIGINT", S.XSD + "integer").when(kind == "BOOLEAN", S.XSD + "boolean").when(kind == "STRING", S.XSD + "string").otherwise(S.XSD + "double")
-    rows = rows.withColumns({"text": text, "named": named, "own": own, "plain": plain})
-    known = F.col("id").isNotNull() & (~k.startswith("@") | (k == "@type"))
-    rows = rows.withColumns({"s": _full("id"), "p": F.when(k == "@type", F.lit(S.TYPE)).otherwise(_full("k")), "o": _full("named"), "dt": F.coalesce(_full("own"), "plain"), "known": known})
-    literal = F.when((k != "@type") & F.col("link").isNull() & F.col("text").isNotNull(), S.literal(F.col("s"), F.col("p"), F.col("text"), F.col("dt"), F.col("lang")))
-    made = F.when(F.col("known"), F.when(F.col("o").isNotNull(), S.link(F.col("s"), F.col("p"), F.col("o"))).otherwise(literal))
-    # A generator without filters inferred below it, so that the steps above are worked out once.
-    kept = F.explode_outer(F.array(F.struct(made.alias("t"), "id", "k", "x", (F.col("shape") != "VOID").alias("there"))))
-    return rows.select(kept.alias("r")).select("r.*").where("there")
-
-
-def parse_jsonld(documents: DataFrame) -> DataFrame:
-    """The triples of JSON-LD documents (value), each a whole document.
-
-    JSON strings are strings whatever they look like, whole numbers are integers, other numbers
-    doubles in the form in which Spark writes them, true and false booleans; a context's prefixes,
-    terms, @vocab and @type of a term apply, and JSON nulls stand for nothing. Remote contexts,
-    lists in order, sets, and node objects within values are not understood (see `bad_jsonld`).
-    """
-    return _jsonld_made(_jsonld_values(documents)).where("t is not null").select("t.*").select(*S.COLUMNS).distinct()
-
-
-def bad_jsonld(documents: DataFrame) -> DataFrame:
-    """(id, k, x): subject, key and JSON text of what isn't understood; a document that is no JSON has a null key and its text."""
-    bad = _jsonld_made(_jsonld_values(documents)).where("t is null").select("id", "k", F.to_json("x").alias("x"))
-    null = F.lit(None).cast("string")
-    return bad.unionByName(documents.where(F.col("value").isNotNull() & F.try_parse_json("value").isNull()).select(null.alias("id"), null.alias("k"), F.col("value").alias("x")))
-
-
 #: Node objects that a subject's values may be spread over, so that a hub's are not in one.
 NODE_PARTS = 64
 
