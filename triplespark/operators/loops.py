@@ -47,3 +47,21 @@ def reach(start: DataFrame, edges: DataFrame, max_depth: int | None = None, stop
             break
         visited = visited.unionByName(frontier)
     return visited
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): each of `nodes` (node) with the smallest node that `edges` (src, dst) join it to, in either direction.
+
+    Each round takes the smallest label around a node and then its label's label, so long chains take
+    few rounds.
+    """
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct().toDF("node", "near"))
+    labels = cut(nodes.select("node", F.col("node").alias("component")).distinct())
+    while True:
+        around = both.join(labels.toDF("near", "label"), "near").groupBy("node").agg(F.min("label").alias("label"))
+        jump = labels.toDF("component", "far")
+        new = labels.join(around, "node", "left").join(jump, "component", "left").select("node", F.least("component", "label", "far").alias("component"), (F.least("component", "label", "far") < F.col("component")).alias("moved"))
+        new = cut(new)
+        labels = new.select("node", "component")
+        if new.where("moved").isEmpty():
+            return labels

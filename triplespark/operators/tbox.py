@@ -292,22 +292,35 @@ def restrictions(tb: TBox) -> DataFrame:
     return out.select("id", "property", "rtype", F.get(word, F.col("q.n")).alias("quantifier"), F.col("q.target").alias("target"))
 
 
-def compositions(tb: TBox, most: int = 1000) -> DataFrame:
-    """(id, operator, operands in order) of unions, intersections and complements; lists longer than `most` raise."""
+def list_members(heads: DataFrame, first: DataFrame, rest: DataFrame) -> DataFrame:
+    """(head, at, member) of lists: `heads` (head), `first` (cell, member), `rest` (cell, next).
+
+    The steps double in each round, so a list takes as many rounds as the logarithm of its length.
+    A list that is a ring raises.
+    """
+    steps = cut(rest.where(F.col("next") != S.RDF + "nil").select("cell", "next"))
+    longest = first.select("cell").distinct().count()
+    cells, size = cut(heads.select("head", F.col("head").alias("cell"), F.lit(0).cast("long").alias("at"))), 1
+    while not steps.isEmpty():
+        if size > max(1, longest):
+            raise ValueError("a list is a ring")
+        cells = cut(cells.unionByName(cells.join(steps, "cell").select("head", F.col("next").alias("cell"), (F.col("at") + size).alias("at"))))
+        steps = cut(steps.join(steps.toDF("next", "far"), "next").select("cell", F.col("far").alias("next")))
+        size *= 2
+    return cells.join(first, "cell").select("head", "at", "member")
+
+
+def compositions(tb: TBox) -> DataFrame:
+    """(id, operator, operands in order) of unions, intersections and complements; a list that is a ring raises."""
     heads = None
     for name, operator in (("unionOf", "OR"), ("intersectionOf", "AND"), ("complementOf", "NOT")):
-        own = _of(tb, S.OWL + name, "node").withColumn("operator", F.lit(operator))
+        own = _of(tb, S.OWL + name, "head").withColumn("operator", F.lit(operator))
         heads = own if heads is None else heads.unionByName(own)
-    first, rest = _of(tb, S.RDF + "first", "operand").withColumnRenamed("id", "node"), _of(tb, S.RDF + "rest", "next").withColumnRenamed("id", "node")
-    out = heads.where("operator = 'NOT'").select("id", "operator", F.lit(0).alias("at"), F.col("node").alias("operand"))
-    at, here = 0, cut(heads.where("operator <> 'NOT'"))
-    while not here.isEmpty():
-        if at == most:
-            raise ValueError(f"a list has over {most} members or is a ring")
-        out = out.unionByName(here.join(first, "node").select("id", "operator", F.lit(at).alias("at"), "operand"))
-        here = cut(here.join(rest, "node").select("id", F.col("next").alias("node"), "operator").where(F.col("node") != S.RDF + "nil"))
-        at += 1
-    return out.groupBy("id", "operator").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "operand"))), lambda x: x["operand"]).alias("operands"))
+    first, rest = _of(tb, S.RDF + "first", "member").withColumnRenamed("id", "cell"), _of(tb, S.RDF + "rest", "next").withColumnRenamed("id", "cell")
+    members = list_members(heads.where("operator <> 'NOT'").select("head").distinct(), first, rest)
+    out = heads.where("operator = 'NOT'").select("id", "operator", F.lit(0).cast("long").alias("at"), F.col("head").alias("member"))
+    out = out.unionByName(heads.where("operator <> 'NOT'").join(members, "head").select("id", "operator", "at", "member"))
+    return out.groupBy("id", "operator").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "member"))), lambda x: x["member"]).alias("operands"))
 
 
 def attribute_datatypes(tb: TBox) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.scalar import canonical
+from .isomorphism import isomorphic
 from .navigate import edges
 from .select import attributes_in_use, get_by_class, individuals, preferred_label
 from .tbox import TBox, attribute_datatypes, below
@@ -279,9 +280,12 @@ def clear(t: DataFrame) -> DataFrame:
 
 
 def graph_equal(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two graphs without blank nodes have the same triples."""
+    """Whether two graphs have the same triples; blank nodes are the same if the triples around them are, whatever they are called."""
     a, b = a.select(*KEY), b.select(*KEY)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    if a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty():
+        return True
+    blank = "s_kind = 'bnode' or o_kind = 'bnode'"
+    return not a.where(blank).isEmpty() and isomorphic(a, b)
 
 
 def unused_attributes(t: DataFrame, tb: TBox) -> DataFrame:
