@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import scalar as X
 from ..operators import aggregate as A
+from ..operators import isomorphism as I
 from ..operators import navigate as N
 from ..operators import patterns as G
 from ..operators import search as R
@@ -18,7 +19,7 @@ from ..operators import select as P
 from ..operators import tbox as T
 from ..operators import update as U
 from ..operators.loops import shared_folder
-from ..sources import rdf, tables, turtle
+from ..sources import rdf, store, tables, turtle
 from .mapping import EX, SEGMENTS, changelog, graph, iri, name, ontology, statistics
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -559,6 +560,14 @@ def a6(spark, d):
     return r.select("s", F.size("types").alias("n_types"), F.size("superclasses").alias("n_super"), F.coalesce(F.size("neighbors"), F.lit(0)).cast("long").alias("n_neighbors"))
 
 
+@query("a6_report_rows", "select s, row_number() over (partition by s order by relationship_label, class_label, neighbor) as n, relationship, neighbor, class_label, relationship_label from (select '{E}nation/' || s_nationkey as s, '{E}hasSupplier' as relationship, '{E}supplier/' || s_suppkey as neighbor, 'Supplier' as class_label, 'hasSupplier' as relationship_label from supplier union all select '{E}nation/' || s_nationkey, '{E}hasParty', '{E}supplier/' || s_suppkey, 'Supplier', 'hasParty' from supplier union all select '{E}nation/' || c_nationkey, '{E}hasParty', '{E}customer/' || c_custkey, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)), 'hasParty' from customer union all select '{E}customer/' || c_custkey, '{E}inNation', '{E}nation/' || c_nationkey, 'Nation', 'inNation' from customer)")
+def a6_rows(spark, d):
+    party = lambda t, own, nation: S.from_structs(table(spark, d, t), S.link(iri("nation", nation), name("hasParty"), iri(t, own)))
+    t = graph(spark, d, "nation", "customer", "supplier").unionByName(party("customer", "c_custkey", "c_nationkey")).unionByName(party("supplier", "s_suppkey", "s_nationkey"))
+    rows = A.report_rows(t, ontology(spark))
+    return rows.where(~F.col("s").contains("region/")).select("s", "n", "relationship", "neighbor", "class_label", "relationship_label")
+
+
 @query("w1_preferred_label", "select '{E}document/' || doc_id as s, case when doc_id % 3 <> 0 then text when coalesce(lang, '') = 'de' then text when coalesce(lang, '') = 'en' then text when length(source) < length(text) or lang is not null then source else source end as label from documents where text is not null")
 def w1(spark, d):
     return P.preferred_label(graph(spark, d, "documents"), languages=("de",)).select("s", "label")
@@ -739,6 +748,73 @@ def s1_backslashes(spark, d):
     return rdf.parse_ntriples(rdf.ntriples_lines(t)).select("s", "o")
 
 
+BOTH = '{"@context": {"ex": "' + EX + '", "name": "ex:name", "seq": {"@id": "ex:seq", "@container": "@list"}, "by": {"@id": "ex:by", "@container": "@language"}, "@language": "en"}, "@id": "'
+
+
+def nested(spark, d):
+    """A JSON-LD document for each customer: nested nodes, one without an id, a list, a set, reverse links, a container by language, a context within."""
+    c = lambda x: F.col(x).cast("string")
+    text = F.concat(
+        F.lit(BOTH), iri("customer", "c_custkey"), F.lit('", "name": "'), c("c_name"), F.lit('", "ex:home": {"@id": "'), iri("nation", "c_nationkey"), F.lit('", "@context": {"name": "ex:title", "@language": null}, "name": "N'), c("c_nationkey"),
+        F.lit('", "ex:in": {"name": "deep"}}, "@reverse": {"ex:hasCustomer": [{"@id": "'), iri("nation", "c_nationkey"), F.lit('"}]}, "seq": ['), c("c_custkey"), F.lit(', "'), c("c_mktsegment"),
+        F.lit('"], "by": {"DE": "'), c("c_mktsegment"), F.lit('"}, "ex:big": 123456789012345678901234567890'), c("c_custkey"), F.lit(', "ex:all": {"@set": [true, null, [{"@value": "7", "@type": "ex:t"}]]}}'),
+    )
+    return table(spark, d, "customer").select(text.alias("value"))
+
+
+@query("s2_jsonld_forms", "with c as (select '{E}customer/' || c_custkey as s, '{E}nation/' || c_nationkey as nat, * from customer) select s, '{E}name' as p, c_name as o, '" + S.RDF + "langString' as o_dt, 'en' as o_lang from c union all select s, '{E}home', nat, '', '' from c union all select distinct nat, '{E}title', 'N' || c_nationkey, '{XSD}string', '' from c union all select nat, '{E}hasCustomer', s, '', '' from c union all select s, '{E}by', c_mktsegment, '" + S.RDF + "langString', 'de' from c union all select s, '{E}big', '123456789012345678901234567890' || c_custkey, '{XSD}integer', '' from c union all select s, '{E}all', 'true', '{XSD}boolean', '' from c union all select s, '{E}all', '7', '{E}t', '' from c")
+def s2_forms(spark, d):
+    return rdf.parse_jsonld(nested(spark, d)).where("s_kind = 'iri' and o_kind <> 'bnode'").select("s", "p", "o", "o_dt", "o_lang")
+
+
+@query("s2_jsonld_lists", "select '{E}customer/' || c_custkey as s, cast(c_custkey as varchar) as first, '{XSD}integer' as first_dt, c_mktsegment as second, 'en' as second_lang, '{E}nation/' || c_nationkey as home, 'deep' as inner from customer")
+def s2_lists(spark, d):
+    t = rdf.parse_jsonld(nested(spark, d))
+    first, rest = S.RDF + "first", S.RDF + "rest"
+    rows = N.bgp(t, [("?s", name("seq"), "?l"), ("?l", first, "?first"), ("?l", rest, "?m"), ("?m", first, "?second"), ("?m", rest, S.RDF + "nil"), ("?s", name("home"), "?home"), ("?home", name("in"), "?b"), ("?b", name("title"), "?inner")])
+    return rows.select("s", "first", "first_dt", "second", "second_lang", "home", "inner").distinct()
+
+
+STATES = "with log as (select event_id as seq, case when event_type = 'error' then 'delete' else 'add' end as op, '{E}user/' || user_id as s, case when event_type = 'error' then 'click' else event_type end as o from events where event_type in ('purchase', 'click', 'error')), last as (select s, o, arg_max(op, seq) as op from log group by all), base as (select distinct '{E}user/' || user_id as s, event_type as o from events where event_type <> 'purchase') select s, o from base where not exists (select 1 from last l where l.s = base.s and l.o = base.o) union all select s, o from last where op = 'add'"
+
+
+def committed(spark, d):
+    """A store of all users' statuses but purchases, with the change log in three commits."""
+    rows = S.from_structs(table(spark, d, "events").where("event_type <> 'purchase'"), S.literal(iri("user", "user_id"), name("status"), F.col("event_type"))).distinct()
+    made = store.Store.create(rows, files(spark, "store"), 16)
+    log = changelog(spark, d)
+    middle = log.agg(F.max("seq")).first()[0] or 0
+    for low, high in ((None, middle // 3), (middle // 3, middle // 2), (middle // 2, None)):
+        made.commit(log.where((F.lit(low is None) | (F.col("seq") > F.lit(low))) & (F.lit(high is None) | (F.col("seq") <= F.lit(high)))))
+    return made
+
+
+@query("s8_store_commits", STATES)
+def s8_commits(spark, d):
+    return committed(spark, d).read().select("s", "o")
+
+
+@query("s8_store_compacted", STATES)
+def s8_compacted(spark, d):
+    made = committed(spark, d)
+    made.compact()
+    return made.read().select("s", "o")
+
+
+def saved(spark, d):
+    """A folder with a file for each supplier, named by its IRI, and the file individuals of these and of as many without a file."""
+    path = files(spark, "files")
+    rows = table(spark, d, "supplier").select(F.regexp_replace(F.base64(iri("file", "s_suppkey").cast("binary")), r"\s", "").alias("key"), F.col("s_name").alias("text"))
+    rdf.write_files(rows, path)
+    return path, S.from_structs(table(spark, d, "supplier"), S.link(iri("file", "s_suppkey"), S.TYPE, F.lit(S.FILE)), S.link(iri("lost", "s_suppkey"), S.TYPE, F.lit(S.FILE)))
+
+
+@query("s12_file_manifest", "select '{E}file/' || s_suppkey as s, base64(encode('{E}file/' || s_suppkey)) as storage_key, strlen(s_name) as size, sha256(s_name) as sha256 from supplier union all select '{E}lost/' || s_suppkey, base64(encode('{E}lost/' || s_suppkey)), null, null from supplier")
+def s12(spark, d):
+    path, t = saved(spark, d)
+    return rdf.file_manifest(spark, path, t)
+
+
 @query("s8_store", "select s, p, o, o_dt from (select '{E}part/' || p_partkey as s, '{E}name' as p, p_name as o, '{XSD}string' as o_dt from part union all select '{E}part/' || p_partkey, '{E}number', cast(p_partkey as varchar), '{XSD}integer' from part union all select '{E}part/' || p_partkey, '{E}size', cast(p_size as varchar), '{XSD}integer' from part union all select '{E}order/' || o_orderkey, '{E}status', o_orderstatus, '{XSD}string' from orders) where p <> '{E}status' or s is not null")
 def s8(spark, d):
     """The attributes of parts and orders but dates, read from their own partition of a store."""
@@ -843,6 +919,19 @@ def g15(spark, d):
     return P.individuals(t, ontology(spark)).where(F.col("s").contains("supplier/")).select("s", F.lit(same).alias("same"), F.lit(other).alias("other"))
 
 
+def addresses(spark, d, prefix):
+    """Customers with an address each, a blank node that leads to another one with the nation and the segment."""
+    outer, inner = F.concat(F.lit(f"_:{prefix}o"), "c_custkey"), F.concat(F.lit(f"_:{prefix}i"), "c_custkey")
+    rows = table(spark, d, "customer")
+    return S.from_structs(rows, S.link(iri("customer", F.col("c_nationkey")), name("address"), outer), S.link(outer, name("in"), inner), S.link(inner, name("inNation"), iri("nation", "c_nationkey")), S.literal(inner, name("name"), F.col("c_mktsegment")))
+
+
+@query("g15_blank_forms", "select a.n, a.n = b.n as same from (select c_nationkey, c_mktsegment, count(*) as n from customer group by all) a join (select c_nationkey, c_mktsegment, count(*) as n from customer group by all) b using (c_nationkey, c_mktsegment)")
+def g15_forms(spark, d):
+    a, b = I.blank_forms(addresses(spark, d, "a")), I.blank_forms(addresses(spark, d, "b"))
+    return a.join(b.toDF("form", "m"), "form", "full").select("n", (F.col("n") == F.col("m")).alias("same"))
+
+
 def changed(spark, d, f):
     """What `f` makes of the numbers of suppliers, with every third's own number and every fifth's next one."""
     rows = table(spark, d, "supplier")

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schema as S
 from .navigate import container_counts, edges, neighbors_with_rel
@@ -62,6 +63,24 @@ def entity_changes(base: DataFrame, log: DataFrame) -> DataFrame:
     return out.select("s", change.alias("change")).where("change is not null")
 
 
+def report_rows(t: DataFrame, tb: TBox, relationship: str = S.TOP_RELATIONSHIP) -> DataFrame:
+    """(s, n, relationship, neighbor, class_label, relationship_label, label): the lines of a printed entity about its neighbours, a row each, n from 1 in their order.
+
+    Relationships come in the order of their names (label, else IRI); within one the neighbours by the
+    first of their classes' names, then by their own. Names that are labels come before those that
+    are IRIs. Rows are numbered as they stream out of a sort; no array of a hub's neighbours is made.
+    """
+    named = preferred_label(t).select("s", "label")
+    terms = preferred_label(tb.triples).select("s", "label")
+    first = lambda c, i: F.when(F.col(c).isNotNull(), F.concat(F.lit("\x00"), c)).otherwise(F.col(i))
+    near = neighbors_with_rel(t, tb, relationship)
+    near = near.join(individuals(t, tb).toDF("neighbor"), "neighbor", "left_semi").join(individuals(t, tb), "s", "left_semi")
+    classes = types_of(t, tb).join(terms.toDF("class", "class_label"), "class", "left").groupBy(F.col("s").alias("neighbor")).agg(F.min(F.coalesce("class_label", "class")).alias("class_label"))
+    rows = near.join(terms.toDF("relationship", "relationship_label"), "relationship", "left").join(named.toDF("neighbor", "label"), "neighbor", "left").join(classes, "neighbor", "left")
+    order = Window.partitionBy("s").orderBy(F.coalesce("relationship_label", "relationship"), "relationship", "class_label", first("label", "neighbor"), "neighbor")
+    return rows.withColumn("n", F.row_number().over(order)).select("s", "n", "relationship", "neighbor", "class_label", "relationship_label", "label")
+
+
 def entity_report(t: DataFrame, tb: TBox, relationship: str = S.TOP_RELATIONSHIP) -> DataFrame:
     """(s, label, types, superclasses, attributes, neighbors) of each individual, all sorted; the table form of a printed entity.
 
@@ -86,9 +105,13 @@ def drawn(t: DataFrame, tb: TBox, nodes: DataFrame, relationships: Iterable[str]
 
 
 def plot_nodes(t: DataFrame, tb: TBox, nodes: DataFrame) -> DataFrame:
-    """(s, kind, label, classes, attributes) of the drawn individuals `nodes` (s)."""
-    report = entity_report(t, tb).join(nodes.select("s"), "s", "left_semi")
-    return report.select("s", F.lit("individual").alias("kind"), "label", F.col("types").alias("classes"), "attributes")
+    """(s, kind, label, classes, attributes) of the drawn individuals `nodes` (s); only what belongs to them is worked out."""
+    chosen = nodes.select("s").distinct()
+    own = t.join(chosen, "s", "left_semi").select(*S.COLUMNS)
+    listed = lambda df, c, name: df.groupBy("s").agg(F.sort_array(F.collect_set(c)).alias(name))
+    values = own.where("o_kind = 'literal'").join(tb.names("attribute").toDF("p"), "p", "left_semi").select("s", F.concat("p", F.lit("="), "o").alias("v"))
+    out = individuals(own, tb).join(preferred_label(own).select("s", "label"), "s", "left").join(listed(types_of(own, tb), "class", "classes"), "s", "left").join(listed(values, "v", "attributes"), "s", "left")
+    return out.select("s", F.lit("individual").alias("kind"), "label", "classes", "attributes")
 
 
 def plot_edges(t: DataFrame, tb: TBox, nodes: DataFrame, inverse_of: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pfs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,9 +145,20 @@ def read_store(spark: SparkSession, path: str, group: str | None = None) -> Data
     return rows.select(*S.COLUMNS)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str = "triples", **options: str) -> DataFrame:
-    """The graph of a database table with the columns of a graph."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*S.COLUMNS)
+def read_jdbc(spark: SparkSession, url: str, table: str = "triples", parts: int = 1, part: str | None = None, **options: str) -> DataFrame:
+    """The graph of a database table with the columns of a graph.
+
+    With `parts` the table is read by so many tasks at once, each with its own condition: `part` is the
+    database's expression for a row's number from 0 to parts - 1, with {parts} for their number, such
+    as a hash of the subject. Rows for which it is null come with the first.
+    """
+    if parts == 1:
+        return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*S.COLUMNS)
+    if part is None:
+        raise ValueError("an expression is needed by which rows are dealt to parts")
+    number = part.format(parts=parts)
+    predicates = [f"{number} = {n}" + (f" or ({number}) is null" if n == 0 else "") for n in range(parts)]
+    return spark.read.jdbc(url, table, predicates=predicates, properties=options).select(*S.COLUMNS)
 
 
 def write_jdbc(t: DataFrame, url: str, table: str = "triples", mode: str = "error", **options: str) -> None:
@@ -151,12 +166,77 @@ def write_jdbc(t: DataFrame, url: str, table: str = "triples", mode: str = "erro
     t.select(*S.COLUMNS).write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """Stores a file for each row (key, text) below a folder that all tasks can open; a key's slashes are folders' ends.
+
+    Written anew, a file has the same content, so a task that runs twice does no harm.
+    """
+    folder = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    uri = folder.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).makeQualified(folder).toUri().toString()
+
+    def save(part: Iterator) -> None:
+        fs, own = pfs.FileSystem.from_uri(uri)
+        for row in part:
+            name = f"{own}/{row['key']}"
+            fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(name) as out:
+                out.write(row["text"].encode())
+
+    rows.select("key", "text").foreachPartition(save)
+
+
+#: Bytes that are read and hashed at a time.
+READ = 4 << 20
+
+
+def _streamable(path: str) -> bool:
+    """Whether tasks can open files of this place as streams themselves."""
+    try:
+        pfs.FileSystem.from_uri(path)
+    except Exception:  # noqa: BLE001 - whatever the library makes of a scheme it doesn't know
+        return False
+    return True
+
+
+def hashed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, sha256) of all files below a folder, whatever their size.
+
+    Files are hashed as streams, a few megabytes at a time; where only Spark can open the place,
+    each file is read as one value, which holds up to two gigabytes.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    first = found.select("path").first()
+    if first is not None and not _streamable(first["path"]):
+        return found.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
+                fs, own = pfs.FileSystem.from_uri(name)
+                digest = hashlib.sha256()
+                with fs.open_input_stream(own) as stream:
+                    while data := stream.read(READ):
+                        digest.update(data)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], ["path", "size", "sha256"])
+
+    # Lengths alone are read here; a task takes a file at a time.
+    return found.select("path", F.col("length").alias("size")).repartition(F.xxhash64("path")).mapInArrow(run, "path string, size long, sha256 string")
+
+
 def file_manifest(spark: SparkSession, path: str, t: DataFrame) -> DataFrame:
-    """(s, storage_key, size, sha256) of each file individual; content is found under the base-64 form of its IRI, null where it is missing."""
-    stored = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("storage_key"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(s, storage_key, size, sha256) of each file individual.
+
+    Its content is the file below `path` whose name is the base-64 form of its IRI, in which a slash is a
+    folder's end; size and sha256 are null where there is none.
+    """
     files = t.where((F.col("p") == S.TYPE) & (F.col("o") == S.FILE)).select("s").distinct()
-    key = F.regexp_replace(F.base64(F.encode("s", "UTF-8")), r"\s", "")
-    return files.withColumn("storage_key", F.translate(key, "/+", "_-")).join(stored, "storage_key", "left").select("s", "storage_key", "size", "sha256")
+    files = files.withColumn("storage_key", F.regexp_replace(F.base64(F.encode("s", "UTF-8")), r"\s", ""))
+    # A stored file's name is what follows the folder, as the file system itself writes that.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(folder).toUri().getPath().rstrip("/") + "/"
+    begin = F.locate(folder, "path")
+    stored = hashed_files(spark, path).select(F.substring("path", begin + len(folder), F.length("path")).alias("storage_key"), "size", "sha256")
+    return files.join(stored, "storage_key", "left").select("s", "storage_key", "size", "sha256")
 
 
 def main_individual(t: DataFrame, individuals: DataFrame) -> DataFrame:
