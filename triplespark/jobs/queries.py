@@ -19,6 +19,7 @@ from ..operators import select as P
 from ..operators import tbox as T
 from ..operators import update as U
 from ..operators.loops import shared_folder
+from ..operators.subsumption import Subsumption
 from ..sources import rdf, store, tables, turtle
 from .mapping import EX, SEGMENTS, changelog, graph, iri, name, ontology, statistics
 
@@ -864,6 +865,15 @@ def t3(spark, d):
     return P.types_of(graph(spark, d, "orders"), tb).join(T.class_sub_closure(tb).withColumnRenamed("sub", "class"), "class").select("s", "super")
 
 
+@query("t3_subsumption", "with recursive steps(src, dst) as (select p_partkey, p_partkey // 2 from part where p_partkey > 1 union select p_partkey, p_partkey - 7 from part where p_partkey % 50 = 0), below(k) as (select 5::bigint union select src from steps join below on dst = k) select '{E}part/' || k as p from below")
+def t3_subsumption(spark, d):
+    """What lies below one of as many classes as there are parts, some with two above them, by numbers of their trees."""
+    rows = table(spark, d, "part")
+    near = rows.where("p_partkey > 1").select(iri("part", "p_partkey").alias("src"), iri("part", F.expr("p_partkey div 2")).alias("dst"))
+    far = rows.where("p_partkey % 50 = 0").select(iri("part", "p_partkey").alias("src"), iri("part", F.col("p_partkey") - 7).alias("dst"))
+    return Subsumption(rows.select(iri("part", "p_partkey").alias("node")), near.union(far)).below(EX + "part/5")
+
+
 @query("t4_property_closure", "select '{E}part/' || p_partkey as s, p, super from part, (values ('{E}name', '{E}name'), ('{E}name', '" + S.TOP_ATTRIBUTE + "'), ('{E}number', '{E}number'), ('{E}number', '" + S.TOP_ATTRIBUTE + "'), ('{E}size', '{E}size'), ('{E}size', '{E}number'), ('{E}size', '" + S.TOP_ATTRIBUTE + "')) t(p, super)")
 def t4(spark, d):
     closure = T.property_closure(ontology(spark), "attribute").withColumnRenamed("sub", "p")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +28,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(start: DataFrame, edges: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
+#: Edges of one node that a task joins; the edges of nodes with more are spread.
+HEAVY = 100_000
+#: Nodes with many edges up to which their table is sent to all tasks.
+SENT = 100_000
+
+
+class Dealt(NamedTuple):
+    """Edges dealt for joins by their source: (src, salt, dst), and (src, salts) of the sources that are spread."""
+
+    edges: DataFrame
+    heavy: DataFrame
+
+    def spread(self, rows: DataFrame, node: str) -> DataFrame:
+        """`rows` with salt: one row for each part of the node's edges."""
+        heavy = self.heavy.withColumnRenamed("src", node)
+        return rows.join(heavy, node, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
+def deal(edges: DataFrame, most: int | None = None) -> Dealt:
+    """Edges (src, dst) dealt by source, those of a source with over `most` (HEAVY) of them over several tasks by target."""
+    most = most or HEAVY
+    edges = cut(edges.select("src", "dst"))
+    heavy = cut(edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > most).select("src", F.ceil(F.col("n") / most).cast("int").alias("salts")))
+    if heavy.limit(SENT + 1).count() <= SENT:
+        heavy = F.broadcast(heavy)
+    salt = F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")
+    return Dealt(cut(edges.join(heavy, "src", "left").select("src", salt.alias("salt"), "dst").repartition("src", "salt")), heavy)
+
+
+def reach(start: DataFrame, edges: DataFrame | Dealt, max_depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(root, node, depth) for each node that is reached from a root over `edges` (src, dst), each once at its least depth.
 
     `start` has (root, node). Each level joins the frontier with the edges and drops what has
     been visited, so cycles end; the loop stops when the frontier is empty, at `max_depth`, or,
-    with `stop` (node), for the roots that have reached one of its nodes.
+    with `stop` (node), for the roots that have reached one of its nodes. A hub's edges are spread
+    over tasks, and the frontier's row for it goes to each of them.
     """
+    dealt = edges if isinstance(edges, Dealt) else deal(edges)
     visited = cut(start.select("root", "node", F.lit(0).alias("depth")).distinct())
     frontier, depth = visited, 0
     while max_depth is None or depth < max_depth:
@@ -41,7 +73,8 @@ def reach(start: DataFrame, edges: DataFrame, max_depth: int | None = None, stop
         if stop is not None:
             done = frontier.join(stop, "node", "left_semi").select("root").distinct()
             frontier = frontier.join(done, "root", "left_anti")
-        found = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+        steps = dealt.spread(frontier.select("root", F.col("node").alias("src")), "src")
+        found = steps.join(dealt.edges, ["src", "salt"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = cut(found.join(visited, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -49,6 +82,24 @@ def reach(start: DataFrame, edges: DataFrame, max_depth: int | None = None, stop
     return visited
 
 
+def closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst): each node (node) with itself and all that it reaches over `edges` (src, dst), in as many rounds as the logarithm of the longest way.
+
+    A round adds what lies as many steps farther as have been taken, by the pairs that are so far apart.
+    """
+    found = cut(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct())
+    steps, known = cut(edges.select("src", "dst").where("src <> dst").distinct()), found.count()
+    while not steps.isEmpty():
+        more = found.join(steps.toDF("dst", "far"), "dst").select("src", F.col("far").alias("dst"))
+        found = cut(found.unionByName(more).distinct())
+        now = found.count()
+        if now == known:
+            break
+        known = now
+        steps = cut(steps.join(steps.toDF("dst", "far"), "dst").select("src", F.col("far").alias("dst")).distinct())
+    return found
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): each of `nodes` (node) with the smallest node that `edges` (src, dst) join it to, in either direction.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .loops import cut, reach
+from .loops import deal, reach
 from .navigate import edges
 from .select import annotation_edges, get_by_class, has_attribute_value, individuals
 from .tbox import TBox, below
@@ -28,14 +28,14 @@ def find(t: DataFrame, tb: TBox, roots: DataFrame, criterion: DataFrame | None =
 
     Each node comes once at its least depth. A criterion is any DataFrame with the column s.
     """
-    walk = cut(search_edges(t, tb, relationships, annotations).repartition("src"))
+    walk = deal(search_edges(t, tb, relationships, annotations))
     found = reach(roots.select(F.col("s").alias("root"), F.col("s").alias("node")), walk, max_depth)
     return found if criterion is None else found.join(criterion.select(F.col("s").alias("node")), "node", "left_semi").select("root", "node", "depth")
 
 
 def find_first(t: DataFrame, tb: TBox, roots: DataFrame, criterion: DataFrame, relationships: Iterable[str] = (S.TOP_RELATIONSHIP,), annotations: bool | Iterable[str] = True, max_depth: int | None = None) -> DataFrame:
     """(root, node): the nearest match of each root, the first by name of equals, or null. A root stops searching once it has a match."""
-    walk = cut(search_edges(t, tb, relationships, annotations).repartition("src"))
+    walk = deal(search_edges(t, tb, relationships, annotations))
     wanted = criterion.select(F.col("s").alias("node")).distinct()
     found = reach(roots.select(F.col("s").alias("root"), F.col("s").alias("node")), walk, max_depth, wanted)
     best = found.join(wanted, "node", "left_semi").groupBy("root").agg(F.min(F.struct("depth", "node")).alias("m"))

@@ -48,13 +48,14 @@ def get_by_ids(t: DataFrame, tb: TBox, ids: DataFrame, cls: str | None = None) -
 
 def get_by_class(t: DataFrame, tb: TBox, cls: str) -> DataFrame:
     """(s): individuals of a class or a class below it, each once."""
-    wanted = below(tb.classes, cls).withColumnRenamed("p", "o")
+    wanted = tb.subclasses(cls).withColumnRenamed("p", "o")
     return t.where((F.col("p") == S.TYPE) & (F.col("s_kind") != "literal")).join(wanted, "o", "left_semi").select("s").distinct()
 
 
 def is_a(t: DataFrame, tb: TBox, cls: str) -> DataFrame:
     """(s, is_a) for each individual; every owl:Class lies below owl:Thing."""
-    wanted = class_sub_closure(tb).where(F.col("super") == cls).select(F.col("sub").alias("class"), F.lit(True).alias("hit"))
+    found = class_sub_closure(tb).where(F.col("super") == cls).select("sub") if cls == S.THING else tb.subclasses(cls)
+    wanted = found.toDF("class").withColumn("hit", F.lit(True))
     return types_of(t, tb).join(wanted, "class", "left").groupBy("s").agg(F.max(F.coalesce("hit", F.lit(False))).alias("is_a"))
 
 

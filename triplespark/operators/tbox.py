@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .loops import cut, reach
+from .loops import closed, cut
+from .subsumption import Subsumption
 
 SMALL = 50_000
 #: Rows of a closure that are made on the driver.
@@ -80,13 +81,12 @@ def _closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(sub, super): reflexive and transitive, over edges (src, dst) and nodes (node).
 
     Small ontologies are closed on the driver; with over `SMALL` edges or nodes, or `CLOSED` rows of
-    the result, the frontier loop does it.
+    the result, joins do it, in as many rounds as the logarithm of the depth.
     """
     rows, all_nodes = edges.limit(SMALL + 1).collect(), nodes.distinct().limit(SMALL + 1).collect()
     out = _closed(rows, all_nodes) if max(len(rows), len(all_nodes)) <= SMALL else None
     if out is None:
-        start = nodes.select(F.col("node").alias("root"), "node")
-        return reach(start, edges).select(F.col("root").alias("sub"), F.col("node").alias("super"))
+        return closed(nodes, edges).toDF("sub", "super")
     return S.local(edges.sparkSession, out, ("sub", "super"))
 
 
@@ -115,7 +115,7 @@ class TBox:
     def __init__(self, triples: DataFrame):
         self.spark = triples.sparkSession
         self.triples = settle(S.union(triples, S.triples(self.spark, BUILT_IN)))
-        self._kept: dict[str, DataFrame] = {}
+        self._kept: dict[str, DataFrame | Subsumption | None] = {}
 
     def keep(self, what: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The part called `what`, made on the first call."""
@@ -141,6 +141,18 @@ class TBox:
     def classes(self) -> DataFrame:
         return self.keep("classes", lambda: class_closure(self))
 
+    def subclasses(self, cls: str) -> DataFrame:
+        """(p): a class and those below it. Where the pairs of all classes are too many, a comparison of numbers tells them (see `Subsumption`)."""
+        if "intervals" not in self._kept:
+            names, edges = self.names("class"), _steps(self, "class")
+            rows, nodes = edges.limit(SMALL + 1).collect(), names.limit(SMALL + 1).collect()
+            small = max(len(rows), len(nodes)) <= SMALL and _closed(rows, nodes) is not None
+            self._kept["intervals"] = None if small else Subsumption(names.select(F.col("s").alias("node")), edges)
+        intervals = self._kept["intervals"]
+        if intervals is None:
+            return below(self.classes, cls)
+        return self.names("class").toDF("p") if cls == S.THING else intervals.below(cls)
+
     @property
     def relationships(self) -> DataFrame:
         return self.keep("relationships", lambda: property_closure(self, "relationship"))
@@ -188,10 +200,14 @@ def direct_sub(tb: TBox) -> DataFrame:
     return direct_super(tb).select("super", "sub")
 
 
+def _steps(tb: TBox, kind: str) -> DataFrame:
+    """(src, dst): one step upwards from entities of a kind."""
+    return direct_super(tb).join(tb.names(kind).toDF("sub"), "sub", "left_semi").select(F.col("sub").alias("src"), F.col("super").alias("dst"))
+
+
 def _up(tb: TBox, kind: str, top: str | None) -> DataFrame:
     names = tb.names(kind)
-    edges = direct_super(tb).join(names.toDF("sub"), "sub", "left_semi").select(F.col("sub").alias("src"), F.col("super").alias("dst"))
-    out = _closure(edges, names.select(F.col("s").alias("node")))
+    out = _closure(_steps(tb, kind), names.select(F.col("s").alias("node")))
     if top:
         out = out.union(names.select("s", F.lit(top))).distinct()
     return out.toDF("sub", "super")
