@@ -672,3 +672,35 @@ def test_pieces_of_a_unigram_model(spark, model):
     for row in E.decode(E.encode(spark.createDataFrame([(t,) for t in texts], "text string"), model, head=10), model).collect():
         assert row["decoded"] == row["text"]
         assert abs(sum(model.scores[i] for i in row["ids"]) - best_segment("▁" + row["text"].replace(" ", "▁"), scores, -100.0)) < 1e-9
+
+
+ARTICLE = [f"{prose(i, 40)} One, two, {i}." for i in range(6)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in ARTICLE)
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><form id="aspnetForm"><div class="nav">Home</div><div>{PARAGRAPHS}</div><input name=q><button>Go</button></form></body>',
+    f'<body><form id="aspnetForm"><nav>Home</nav><article>{PARAGRAPHS}</article></form></body>',
+    "<body><div>" + "".join(f'<div class="elementor-widget elementor-widget-text"><p>{x}</p></div>' for x in ARTICLE) + '</div><div class="widget"><p>Other, things.</p></div></body>',
+    f'<body><article>{PARAGRAPHS}<form><p>Send us your mail, please.</p><input name=mail></form></article></body>',
+    f'<body><div class="page"><div class="site-header"><p>Site, name.</p></div><div class="content">{PARAGRAPHS}</div></div></body>',
+])
+def test_html_everyday_pages(page):
+    assert H.main_text(page) == "\n".join(ARTICLE)
+
+
+@pytest.mark.parametrize("outer", ["<article>{}</article>", '<div class="post">{}</div>', "<main><div>{}</div></main>"])
+@pytest.mark.parametrize("name", ["article-header", "post-header", "header"])
+def test_html_headers_of_the_article(outer, name):
+    page = outer.format(f'<div class="{name}"><h1>Title</h1><p>A standfirst, in one line.</p></div>{PARAGRAPHS}')
+    assert H.main_text(f"<body><nav>Home</nav>{page}</body>") == "\n".join(["Title", "A standfirst, in one line.", *ARTICLE])
+
+
+def test_html_sections_and_sources_of_the_article():
+    sections = "".join(f'<section id="{x}"><h2>On {x}</h2><p>{ARTICLE[i]}</p></section>' for i, x in enumerate(("cookies", "login", "social")))
+    want = [y for i, x in enumerate(("cookies", "login", "social")) for y in (f"On {x}", ARTICLE[i])]
+    sources = ["A long title of a first source of the text", "A long title of a second source of the text", "A long title of a third source of the text"]
+    listed = "".join(f"<li><a href=x>{x}</a></li>" for x in sources)
+    away = '<h2>Related stories</h2><ul>' + listed.replace("source", "story") + "</ul>"
+    page = f"<body><article><p>{ARTICLE[4]}</p>{sections}<h2>Sources</h2><ul>{listed}</ul>{away}<div class=social><a href=a>Share</a></div><div class=login><p>Log in, please.</p><input></div><div class=comments><p>{ARTICLE[5]}</p></div></article></body>"
+    assert H.main_text(page) == "\n".join([ARTICLE[4], *want, "Sources", *sources, "Related stories"])

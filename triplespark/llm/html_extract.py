@@ -21,7 +21,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p pre li dt dd td th blockquote figcaption caption summary".split())
 #: Elements whose content is never text of the article.
-DROPPED = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe object embed svg math canvas audio video menu dialog map".split())
+DROPPED = frozenset("head title script style noscript template nav footer aside button select option textarea input iframe object embed svg math canvas audio video menu dialog map".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 #: Words in class and id names, and roles, of what isn't the article.
 ASIDE = frozenset(
@@ -29,6 +29,12 @@ ASIDE = frozenset(
     "modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar widget widgets".split()
 )
+#: Words of blocks that within an article can be its own: its title and standfirst, and sections about these things.
+HEADED = frozenset("header masthead".split())
+TOPICS = frozenset("cookie cookies login search share sharing skip social signup subscribe subscription toolbar respond".split())
+#: Words of headings over links that lead away from the article.
+AWAY = frozenset("also categories latest more next popular previous read recent recommended related share tags topics trending".split())
+CONTROLS = frozenset("button input select textarea".split())
 #: Beside these a word of the above tells what stands around an element, as in has-sidebar or comments-open.
 QUALIFIERS = frozenset("has have with without no not is open closed enabled disabled on off".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -63,15 +69,16 @@ class Page:
     """
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.dropped, self.named = ["#root"], [0], [False], [False]
+        self.tag, self.parent, self.dropped, self.named, self.own = ["#root"], [0], [False], [()], [False]
         self.blocks: list[tuple[int, str, float]] = []
         self._open, self._text, self._linked, self._in_link = [0], [], 0, 0
         self._depths: dict[str, list[int]] = {}  # by tag, where it stands among the open elements
         self._outer = [0]  # where those that aren't inline stand
         self._read(html)
-        self.links = [0] * len(self.tag)
+        self.links, self.controls = [0] * len(self.tag), [0] * len(self.tag)
         for e in range(len(self.tag) - 1, 0, -1):
             self.links[self.parent[e]] += self.links[e] + (self.tag[e] == "a")
+            self.controls[self.parent[e]] += self.controls[e] + (self.tag[e] in CONTROLS)
 
     def _flush(self) -> None:
         if self._text:
@@ -116,8 +123,9 @@ class Page:
         self.parent.append(up)
         aside, named = self._is_aside(tag, attributes)
         # Whether a name tells the truth is only known with the whole page; text within a sentence goes at once.
-        self.dropped.append(self.dropped[up] or aside or named and tag in INLINE)
+        self.dropped.append(self.dropped[up] or aside or bool(named) and tag in INLINE)
         self.named.append(named)
+        self.own.append(self.own[up] or tag in ("article", "main"))
         if tag not in VOID:
             self._depths.setdefault(tag, []).append(len(self._open))
             if tag not in INLINE:
@@ -125,32 +133,64 @@ class Page:
             self._open.append(e)
             self._in_link += tag == "a"
 
-    def _is_aside(self, tag: str, attributes: str) -> tuple[bool, bool]:
-        """Whether an element is no text of the article, and whether its class or id says so."""
+    def _is_aside(self, tag: str, attributes: str) -> tuple[bool, tuple[str, ...]]:
+        """Whether an element is no text of the article, and those of its names that say so."""
         if tag in DROPPED:
-            return True, False
+            return True, ()
         if tag == "header":  # of the page; an article's own header holds its title
-            return not self._last("article", "main"), False
+            return not self._last("article", "main"), ()
+        form = ("form",) if tag == "form" else ()
         if not attributes.strip() or tag in ("html", "body", "article", "main"):
-            return False, False
+            return False, form
         given = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
         if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in ROLES or _HIDDEN.search(given.get("style", "")):
-            return True, False
-        names = f"{given.get('class', '')} {given.get('id', '')}"
-        words = [{w.lower() for w in _WORD.findall(name)} for name in names.split()]
-        return False, any(w & ASIDE and not w & QUALIFIERS for w in words)
+            return True, ()
+        names = f"{given.get('class', '')} {given.get('id', '')}".split()
+        return False, (*form, *[n for n in dict.fromkeys(names) if self._words(n) & ASIDE and not self._words(n) & QUALIFIERS])
 
-    def kept(self) -> list[tuple[int, str, float]]:
-        """The blocks without those of elements whose names are of asides, unless they hold most of the page's prose."""
-        prose = [0.0] * len(self.tag)
-        for owner, text, links in self.blocks:
+    @staticmethod
+    def _words(name: str) -> set[str]:
+        return {w.lower() for w in _WORD.findall(name)}
+
+    def kept(self) -> list[int]:
+        """For each block: 0 to keep, 1 if it stands in a header by its name, 2 if in another aside.
+
+        A name of which all elements together hold most of the page's prose is none of an aside, and
+        neither is a form that does. In an article a section with a heading and prose, without
+        controls and with few links, is a section of the article, if its name is only its topic.
+        """
+        n = len(self.tag)
+        prose, chars, first, longest = [0.0] * n, [0] * n, [len(self.blocks)] * n, [0] * n
+        for b, (owner, text, links) in enumerate(self.blocks):
             prose[owner] += len(text) * (1 - links)
-        for e in range(len(self.tag) - 1, 0, -1):
-            prose[self.parent[e]] += prose[e]
-        out = [False] * len(self.tag)
-        for e in range(1, len(self.tag)):
-            out[e] = out[self.parent[e]] or self.named[e] and prose[e] <= prose[0] / 2
-        return [b for b in self.blocks if not out[b[0]]]
+            chars[owner] += len(text)
+            first[owner] = min(first[owner], b)
+            longest[owner] = max(longest[owner], 0 if self.tag[owner] in HEADINGS else len(text))
+        for e in range(n - 1, 0, -1):
+            up = self.parent[e]
+            prose[up], chars[up] = prose[up] + prose[e], chars[up] + chars[e]
+            first[up], longest[up] = min(first[up], first[e]), max(longest[up], longest[e])
+        held: dict[str, float] = {}
+        within: list[frozenset[str]] = [frozenset()] * n
+        for e in range(1, n):
+            within[e] = within[self.parent[e]]
+            if self.named[e]:
+                for name in self.named[e]:
+                    if name not in within[e]:
+                        held[name] = held.get(name, 0.0) + prose[e]
+                if len(within[e]) < 50:
+                    within[e] |= frozenset(self.named[e])
+        out = [0] * n
+        for e in range(1, n):
+            out[e] = out[self.parent[e]]
+            names = [x for x in self.named[e] if held[x] <= prose[0] / 2] if out[e] < 2 and self.named[e] else ()
+            if names:
+                words = set().union(*[self._words(x) & ASIDE or {x} for x in names])
+                headed = first[e] < len(self.blocks) and self.tag[self.blocks[first[e]][0]] in HEADINGS
+                if self.own[e] and words <= TOPICS and headed and longest[e] >= 80 and not self.controls[e] and prose[e] > 0.75 * chars[e]:
+                    continue
+                out[e] = max(out[e], 1 if words <= HEADED else 2)
+        return [out[b[0]] for b in self.blocks]
 
     def _read(self, html: str) -> None:
         at, until, end = 0, 0, len(html)  # text begins at `at`; the next tag is sought from `until`
@@ -220,7 +260,8 @@ def main_text(html: str | None) -> str:
     if not isinstance(html, str) or not html:
         return ""
     page = Page(html)
-    blocks = page.kept()
+    kinds = page.kept()
+    blocks = [b for b, kind in zip(page.blocks, kinds) if kind == 0]
     if not blocks:
         return ""
     n = len(page.tag)
@@ -232,8 +273,17 @@ def main_text(html: str | None) -> str:
         chars[page.parent[e]] += chars[e]
         linked[page.parent[e]] += linked[e]
     density = [b / a if a else 0.0 for a, b in zip(chars, linked)]
-    # Lists that are nothing but links are menus.
+    # Lists that are nothing but links are menus; in an article those of long entries under a heading of their own are its sources.
     menu = [page.links[e] >= 3 and density[e] > 0.8 and page.tag[e] in ("ul", "ol", "dl", "table", "div", "section", "p") for e in range(n)]
+    over = ""
+    for owner, text, _ in blocks:
+        if page.tag[owner] in HEADINGS:
+            over = text
+        listed = page.parent[owner] if page.tag[owner] in ("li", "dd", "dt") else 0
+        if menu[listed] and page.own[listed] and over and not page._words(over) & AWAY and chars[listed] >= 30 * page.links[listed]:
+            menu[listed] = False
+        elif not menu[listed] and page.tag[owner] not in HEADINGS and not listed:
+            over = ""
     for e in range(1, n):
         menu[e] = menu[e] or menu[page.parent[e]]
     blocks = [b for b in blocks if not menu[b[0]]]
@@ -260,10 +310,13 @@ def main_text(html: str | None) -> str:
     for e in range(1, n):
         if best and page.parent[e] == page.parent[best] and (page.tag[e] in HEADINGS or chars[e] and density[e] < 0.25):
             keep.add(e)
-    inside = [False] * n
+    inside, chosen = [False] * n, [False] * n
     for e in range(n):
         inside[e] = e in keep or (e > 0 and inside[page.parent[e]])
-    return "\n".join(text for owner, text, _ in blocks if inside[owner])
+        chosen[e] = e == best and page.tag[e] not in ("#root", "html", "body") or (e > 0 and chosen[page.parent[e]])
+    # A header by its name within the chosen container is the article's own.
+    own = {id(b) for b in blocks if inside[b[0]]} | {id(b) for b, kind in zip(page.blocks, kinds) if kind == 1 and chosen[b[0]] and not menu[b[0]]}
+    return "\n".join(b[1] for b in page.blocks if id(b) in own)
 
 
 def extract_html(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
