@@ -586,43 +586,44 @@ def g2(spark, d):
 
 
 def halves(spark, d):
-    """Two graphs of suppliers that share every sixth: the even ones, and every third with other names."""
-    make = lambda n, text: tables.individuals_from_table(table(spark, d, "supplier").where(f"s_suppkey % {n} = 0"), name("Supplier"), iri("supplier", "s_suppkey"), {name("name"): (text, S.XSD + "string")})
-    return make(2, F.col("s_name")), make(3, F.concat(F.lit("other "), "s_name"))
+    """Two graphs that share some suppliers and have all of them together: those not divisible by three, and those divisible by two or three with other names."""
+    make = lambda which, text: tables.individuals_from_table(table(spark, d, "supplier").where(which), name("Supplier"), iri("supplier", "s_suppkey"), {name("name"): (text, S.XSD + "string")})
+    return make(FIRST, F.col("s_name")), make(SECOND, F.concat(F.lit("other "), "s_name"))
 
 
 def names_only(t):
     return t.where(F.col("p") == name("name")).select("s", "o")
 
 
-EVEN, THIRD = "select '{E}supplier/' || s_suppkey as s, s_name as o from supplier where s_suppkey % 2 = 0", "select '{E}supplier/' || s_suppkey as s, 'other ' || s_name as o from supplier where s_suppkey % 3 = 0"
+FIRST, SECOND = "(s_suppkey % 3 <> 0)", "(s_suppkey % 2 = 0 or s_suppkey % 3 = 0)"
+ONE, OTHER = f"select '{{E}}supplier/' || s_suppkey as s, s_name as o from supplier where {FIRST}", f"select '{{E}}supplier/' || s_suppkey as s, 'other ' || s_name as o from supplier where {SECOND}"
 
 
-@query("g4_union", EVEN + " union all " + THIRD)
+@query("g4_union", ONE + " union all " + OTHER)
 def g4_union(spark, d):
     a, b = halves(spark, d)
     return names_only(U.session_union(a, b, ontology(spark)))
 
 
-@query("g4_intersection", EVEN + " and s_suppkey % 3 = 0 union all " + THIRD + " and s_suppkey % 2 = 0")
+@query("g4_intersection", f"{ONE} and {SECOND} union all {OTHER} and {FIRST}")
 def g4_intersection(spark, d):
     a, b = halves(spark, d)
     return names_only(U.session_intersection(a, b, ontology(spark)))
 
 
-@query("g4_difference", EVEN + " and s_suppkey % 3 <> 0")
+@query("g4_difference", f"{ONE} and not {SECOND}")
 def g4_difference(spark, d):
     a, b = halves(spark, d)
     return names_only(U.session_difference(a, b, ontology(spark)))
 
 
-@query("g4_symmetric_difference", EVEN + " and s_suppkey % 3 <> 0 union all " + THIRD + " and s_suppkey % 2 <> 0")
+@query("g4_symmetric_difference", f"{ONE} and not {SECOND} union all {OTHER} and not {FIRST}")
 def g4_symmetric_difference(spark, d):
     a, b = halves(spark, d)
     return names_only(U.session_symmetric_difference(a, b, ontology(spark)))
 
 
-@query("g5_value_sets", "select '{E}supplier/' || s_suppkey as s from supplier where (s_suppkey % 2 = 0) <> (s_suppkey % 3 = 0)")
+@query("g5_value_sets", "select '{E}supplier/' || s_suppkey as s from supplier where " + FIRST + " <> " + SECOND)
 def g5(spark, d):
     a, b = halves(spark, d)
     return U.value_sets(a.select("s"), b.select("s"), "xor")
