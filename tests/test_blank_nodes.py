@@ -30,12 +30,9 @@ WORLD = [(E + "a", E + "p", "1", S.XSD + "integer"), (E + "a", E + "has", "_:x")
 CASES = {
     "renamed": (WORLD, renamed(WORLD, 3), True),
     "another value": (WORLD, renamed([*WORLD[:4], ("_:y", E + "name", "Y", S.XSD + "string"), WORLD[5]]), False),
-    "another language": (WORLD, renamed([*WORLD[:4], ("_:y", E + "name", "X", S.RDF + "langString", "en"), WORLD[5]]), False),
-    "another link": (WORLD, renamed([*WORLD[:5], ("_:x", E + "next", E + "b")]), False),
     "two rings of three and one of six": (ring("a", 3) + ring("b", 3), ring("c", 6), False),
     "rings of six": (ring("a", 6), renamed(ring("b", 6), 5), True),
     "three rings": (ring("a", 4) + ring("b", 4) + ring("c", 5), renamed(ring("d", 5) + ring("e", 4) + ring("f", 4), 2), True),
-    "two copies and three": (ring("a", 3) + ring("b", 3), ring("c", 3) + ring("d", 3) + ring("e", 3), False),
     "many twins": ([("_:hub", E + "p", f"_:t{k}") for k in range(40)], renamed([("_:hub", E + "p", f"_:t{k}") for k in range(40)], 1), True),
     "one twin less": ([("_:hub", E + "p", f"_:t{k}") for k in range(40)], [("_:hub", E + "p", f"_:t{k}") for k in range(39)], False),
     "a loop": ([("_:a", E + "p", "_:a")], [("_:b", E + "p", "_:c")], False),

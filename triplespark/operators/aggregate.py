@@ -78,7 +78,7 @@ def report_rows(t: DataFrame, tb: TBox, relationship: str = S.TOP_RELATIONSHIP)
     classes = types_of(t, tb).join(terms.toDF("class", "class_label"), "class", "left").groupBy(F.col("s").alias("neighbor")).agg(F.min(F.coalesce("class_label", "class")).alias("class_label"))
     rows = near.join(terms.toDF("relationship", "relationship_label"), "relationship", "left").join(named.toDF("neighbor", "label"), "neighbor", "left").join(classes, "neighbor", "left")
     order = Window.partitionBy("s").orderBy(F.coalesce("relationship_label", "relationship"), "relationship", "class_label", first("label", "neighbor"), "neighbor")
-    return rows.withColumn("n", F.row_number().over(order)).select("s", "n", "relationship", "neighbor", "class_label", "relationship_label", "label")
+    return rows.withColumn("n", F.row_number().over(order).cast("long")).select("s", "n", "relationship", "neighbor", "class_label", "relationship_label", "label")
 
 
 def entity_report(t: DataFrame, tb: TBox, relationship: str = S.TOP_RELATIONSHIP) -> DataFrame:
