@@ -408,60 +408,85 @@ def test_languages(spark):
     assert [tuple(r)[-2:] for r in L.language_id(spark.createDataFrame([(1, "123 !")], "doc_id long, text string"), network).collect()] == [("und", 0.0)]
 
 
-def test_automaton_sums_to_one(spark):
-    rows = [(i, prose(i, 60)) for i in range(40)]
-    words = [M.tokens(t) for _, t in rows]
-    count = Counter(w for t in words for w in t)
-    total, distinct = sum(count.values()), len(count)
-    got = M.lm_score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), orders=1e-3, head=1e-4).collect()
-    for r in got:
-        base = sum(math.log10((count[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in M.tokens(r["text"]))
-        assert abs(r["base_score"] - base) < 1e-6 and r["n_known"] == r["n_tokens"] and r["train_tokens"] == total
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
-    single = {w: math.log10((c + 0.1) / (total + 0.1 * (distinct + 1))) for w, c in count.most_common()}
-    ids = {w: i for i, w in enumerate(single)}
-    pairs, triples = Counter(), Counter()
-    for t in words:
-        row = [-1, *[ids[w] for w in t]]
-        pairs.update(zip(row, row[1:]))
-        triples.update(zip(row, row[1:], row[2:]))
-    a = M.build(single, [(*k, n) for k, n in pairs.items() if n > 1], [(*k, n) for k, n in triples.items() if n > 1], [count[w] for w in single], len(rows))
-    unseen = 0.1 / (total + 0.1 * (distinct + 1))
+def model(learned):
+    """Plain counts of words, pairs and triples of the training texts, and the log-probability of a text."""
+    start = b" start"
+    rows = [[start, *t] for t in learned]
+    one, two, three = (Counter(g for r in rows for g in zip(*[r[k:] for k in range(n)])) for n in (1, 2, 3))
+    two, three = ({g: c for g, c in x.items() if c >= 2} for x in (two, three))
+    total = sum(map(len, learned))
+    distinct = len({w for t in learned for w in t})
+    used2, used3 = Counter(), Counter()
+    for (a, _), c in two.items():
+        used2[a] += c - 0.5
+    for (a, b, _), c in three.items():
+        used3[a, b] += c - 0.5
+    first = lambda w: (one[(w,)] + 0.1) / (total + 0.1 * (distinct + 1))
+
+    def second(a, w):
+        return (two[a, w] - 0.5 if (a, w) in two else 0) / max(one[(a,)], 1) + (1 - used2[a] / max(one[(a,)], 1)) * first(w)
+
+    def third(a, b, w):
+        t = two.get((a, b), 1)
+        return (three[a, b, w] - 0.5 if (a, b, w) in three else 0) / t + (1 - used3[a, b] / t) * second(b, w)
+
+    def score(words):
+        row = [start, *words]
+        return sum(math.log10(third(*row[i - 2 : i + 1]) if i > 1 else second(*row[:2])) for i in range(1, len(row)))
+
+    return one, two, three, used2, used3, total, distinct, first, score
+
+
+def test_automaton_sums_to_one():
+    learned = [M.tokens(prose(i, 60)) for i in range(40)]
+    one, two, three, used2, used3, total, distinct, _, score = model(learned)
+    words = [b" start", b"", *sorted({w for t in learned for w in t if w})]
+    ids = {w: i for i, w in enumerate(words)}
+    pairs = [(ids[a], ids[b], c, used3[a, b]) for (a, b), c in two.items()]
+    at = {g: i for i, g in enumerate(two)}
+    triples = [(at[g[:2]], at[g[1:]], ids[g[2]], c) for g, c in three.items()]
+    a = M.build(np.array([one[(w,)] for w in words]), np.array([float(used2[w]) for w in words]), tuple(map(np.array, zip(*pairs))), tuple(map(np.array, zip(*triples))), total, distinct)
+    begin = a.start
+    for t in learned[:5]:
+        assert abs(a.walk([ids[w] for w in t]) - score(t)) < 1e-6
     for state in range(len(a.fails)):
-        mass = 0.0
-        for w in range(len(ids)):
-            b = M.Automaton(a.ids, a.arcs, a.fails, a.weights, state)
-            mass += 10 ** b.walk([w])
-        rest = 10 ** M.Automaton(a.ids, a.arcs, a.fails, a.weights, state).walk([-1]) * unseen
-        assert abs(mass + rest - 1) < 1e-6
-
-
-@pytest.mark.parametrize("orders", [1e-5, 0.02, 2.0])
-def test_rare_pairs_and_triples_count(spark, orders):
-    """All pairs and triples from two occurrences on, whatever share of them is broadcast."""
-    rows = [(i, f"{prose(i % 25, 40)} rare{i % 7} pair{i % 7} here{i % 7}") for i in range(60)] + [(60, None), (61, "never rare1 pair1 seen")]
+        a.start = state
+        mass = sum(10 ** a.walk([w]) for w in range(1, len(words)))
+        rest = 0.0
+        while state:
+            rest += a.weights[state]
+            state = a.fails[state]
+        assert abs(mass + 10**rest * 0.1 / (total + 0.1 * (distinct + 1)) - 1) < 1e-6
+    assert begin and len(set(a.targets)) > 20
+
+
+@pytest.mark.parametrize("chunk", [40, M.CHUNK])
+def test_scores_by_brute_force(spark, chunk, monkeypatch):
+    """All pairs and triples from two occurrences on, however texts fall into blocks."""
+    monkeypatch.setattr(M, "LEAST_BUCKETS", 3)
+    rows = [(i, f"{prose(i % 25, 40)} rare{i % 7} pair{i % 7} here{i % 7}") for i in range(60)] + [(60, None), (61, "never rare1 PAIR1 seen"), (62, ""), (63, "x"), (None, "rare1\x0bpair1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    learned = [M.tokens(t) for i, t in rows if i % 5]
-    count = Counter(w for t in learned for w in t)
-    total, distinct = sum(count.values()), len(count)
-    value = lambda c: math.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-    single = {w: value(c) for w, c in count.items()}
-    ids = {w: i for i, w in enumerate(single)}
-    grams = [Counter(g for t in learned for row in [[-1, *[ids[w] for w in t]]] for g in zip(*[row[k:] for k in range(n)])) for n in (2, 3)]
-    a = M.build(single, *[[(*k, c) for k, c in g.items() if c >= 2] for g in grams], list(count.values()), len(learned))
-    for r in M.lm_score(docs, F.col("doc_id") % 5 != 0, head=0.01, orders=orders).collect():
+    learned = [M.tokens(t) for i, t in rows if i and i % 5]
+    one, *_, total, distinct, first, score = model(learned)
+    got = M.lm_score(docs, F.col("doc_id") % 5 != 0, chunk=chunk).collect()
+    assert sorted(map(str, [(r["doc_id"], r["text"]) for r in got])) == sorted(map(str, rows))
+    for r in got:
         words = M.tokens(r["text"])
-        unseen = sum(value(0) for w in words if w not in ids)
-        assert abs(r["score"] - a.walk([ids.get(w, -1) for w in words]) - unseen) < 1e-6
-        assert abs(r["base_score"] - sum(value(count[w]) for w in words)) < 1e-6
-        assert r["n_known"] == sum(w in ids for w in words)
+        assert abs(r["score"] - score(words)) < 1e-6
+        assert abs(r["base_score"] - sum(math.log10(first(w)) for w in words)) < 1e-6
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(one[(w,)] > 0 for w in words), total)
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
-def test_rare_words_of_repeated_texts(spark):
+def test_scores_without_training_or_rows(spark):
     rows = [(i, "alpha beta") for i in range(5)] + [(9, "gamma alpha")]
-    got = M.lm_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") < 5, head=0.9).collect()
-    assert len({(r["n_known"], round(r["base_score"], 9)) for r in got if r["doc_id"] < 5}) == 1
-    assert [r["n_known"] for r in got if r["doc_id"] == 9] == [2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = M.lm_score(docs, F.lit(None).cast("boolean")).collect()
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got] == [(3, 0, 0, 0.0, 0.0)] * 6
+    assert M.lm_score(docs.limit(0), F.lit(True)).collect() == []
+    got = M.lm_score(docs.withColumns({"block": F.lit(1), "Score": F.lit("x"), "b.c": F.array(F.lit(2))}), F.col("doc_id") < 5, keep_text=False)
+    assert got.columns == ["doc_id", "block", "b.c", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert {(r["doc_id"], r["block"], tuple(r["b.c"]), r["n_known"]) for r in got.collect()} == {*[(i, 1, (2,), 3) for i in range(5)], (9, 1, (2,), 2)}
 
 
 def test_url_rules():
