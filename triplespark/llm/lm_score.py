@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,28 +58,23 @@ def tokens(text: str | None) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """Arcs by state * size + word: place of log10 probability and next state; failure states and weights by state."""
-
-    size: int
-    arcs: dict[int, int]
-    logs: list[float]
-    targets: list[int]
-    fails: list[int]
-    weights: list[float]
+    """A state is a multiple of the number of words. Arcs by state + word: log10 probability and next state; by state: failure weight and state."""
+
+    arcs: dict[int, tuple[float, int]]
+    fails: dict[int, tuple[float, int]]
     start: int
 
     def walk(self, words: list[int]) -> float:
         """Sum over the words in order, from the start of a text on."""
-        arcs, logs, targets, fails, weights, size = self.arcs, self.logs, self.targets, self.fails, self.weights, self.size
-        state, total = self.start, 0.0
+        follow, fails, state, total = self.arcs.get, self.fails, self.start, 0.0
         for w in words:
-            arc = arcs.get(state * size + w)
+            arc = follow(state + w)
             while arc is None:
-                total += weights[state]
-                state = fails[state]
-                arc = arcs.get(state * size + w)
-            total += logs[arc]
-            state = targets[arc]
+                log, state = fails[state]
+                total += log
+                arc = follow(state + w)
+            log, state = arc
+            total += log
         return total
 
 
@@ -99,27 +95,37 @@ def build(counts: np.ndarray, masses: np.ndarray, pairs: tuple[np.ndarray, ...],
     left2 = 1 - m / np.maximum(c, 1)
     triple = (c3 - DISCOUNT) / c[first] + left2[first] * double[second]
     # Histories without kept followers are no states.
-    word = np.where(masses > 0, np.arange(size) + 1, 0)
-    pair = np.where(m > 0, np.arange(len(a)) + size + 1, word[b])
-    keys = np.concatenate([np.arange(size), word[a] * size + b, pair[first] * size + w])
+    word = np.where(masses > 0, np.arange(size) + 1, 0) * size
+    pair = np.where(m > 0, (np.arange(len(a)) + size + 1) * size, word[b])
+    keys = np.concatenate([np.arange(size), word[a] + b, pair[first] + w])
+    logs, targets = np.log10(np.concatenate([single, double, triple])), np.concatenate([word, pair, pair[second]])
+    one, two = masses > 0, m > 0
+    states, fails = np.concatenate([word[one], pair[two]]), np.concatenate([np.zeros(one.sum(), np.int64), word[b[two]]])
+    weights = np.log10(np.concatenate([left[one], left2[two]]))
     return Automaton(
-        size,
-        dict(zip(keys.tolist(), range(len(keys)))),
-        np.log10(np.concatenate([single, double, triple])).tolist(),
-        np.concatenate([word, pair, pair[second]]).tolist(),
-        [0] * (size + 1) + word[b].tolist(),
-        np.log10(np.concatenate([[1.0], left, left2])).tolist(),
+        dict(zip(keys.tolist(), zip(logs.tolist(), targets.tolist()))),
+        dict(zip(states.tolist(), zip(weights.tolist(), fails.tolist()))),
         int(word[START]),
     )
 
 
+@cache
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def pack(x: np.ndarray) -> bytes:
     """Compressed, the first bytes of all values together, then the second ones, and so on."""
-    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes(), 3)
+    return _compressor().compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes())
 
 
 def unpack(x: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(_decompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
@@ -150,10 +156,21 @@ class Block:
     sizes: np.ndarray
     training: np.ndarray
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """Two hashes of each word."""
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), ">u8").reshape(-1, 2).astype(np.uint64)
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """A hash of each token and the next one."""
+        h = self.hashes[self.row, 0]
+        return _mixed(h[:-1], h[1:])
+
     def asked(self, n: int) -> Asked:
         """All n-grams of `n` words; the start of a text is a word, too."""
-        both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in self.words), ">u8").reshape(-1, 2).astype(np.uint64)
-        row, h = self.row, both[:, 0]
+        both, row = self.hashes, self.row
+        h = both[:, 0]
         learned = np.repeat(self.training, self.sizes)
         place = np.full(len(row), -1)
         if n == 1:
@@ -166,12 +183,17 @@ class Block:
             return Asked(place, token, h[order], both[order, 1], np.bincount(place[learned], minlength=len(order)))
         inner = row != END
         at = np.flatnonzero(inner if n == 2 else inner & np.append(inner[1:], False))
-        keys = _mixed(h[row[at]], h[row[at + 1]])
+        keys = self.pairs[at]
         if n == 3:
             keys = _mixed(keys, h[row[at + 2]])
-        keys, first, number = np.unique(keys, return_index=True, return_inverse=True)
+        order = np.argsort(keys)
+        keys, at = keys[order], at[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        number = np.cumsum(new) - 1
         place[at] = number
-        return Asked(place, at[first], keys, np.zeros(len(keys), np.uint64), np.bincount(number[learned[at]], minlength=len(keys)))
+        keys = keys[new]
+        return Asked(place, at[new], keys, np.zeros(len(keys), np.uint64), np.bincount(number[learned[at]], minlength=len(keys)))
 
 
 _BLOCKS = "block long, n long, ids long, words binary, row binary, sizes binary, training binary, passed binary"
@@ -349,7 +371,7 @@ def lm_score(docs: DataFrame, training: Column, text: str = "text", keep_text: b
         score = [automaton.walk(words[x + 1 : y]) for x, y in zip(begins, ends.tolist())]
         real = row != START
         owner = np.repeat(np.arange(len(ends)), block.sizes)[real]
-        logs = np.array(automaton.logs[: len(block.words)])
+        logs = np.array([automaton.arcs[w][0] for w in range(len(block.words))])
         sums = lambda x: np.bincount(owner, x, len(ends))
         made = [block.sizes - 1, sums(counts[row[real]] > 0).astype(np.int64), np.full(len(ends), train_tokens), sums(logs[row[real]]), score]
         table = pa.ipc.open_stream(kept).read_all()
