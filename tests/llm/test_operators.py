@@ -408,7 +408,7 @@ def test_languages(spark):
     assert [tuple(r)[-2:] for r in L.language_id(spark.createDataFrame([(1, "123 !")], "doc_id long, text string"), network).collect()] == [("und", 0.0)]
 
 
-def model(learned):
+def plain_model(learned):
     """Plain counts of words, pairs and triples of the training texts, and the log-probability of a text."""
     start = b" start"
     rows = [[start, *t] for t in learned]
@@ -439,7 +439,7 @@ def model(learned):
 
 def test_automaton_sums_to_one():
     learned = [M.tokens(prose(i, 60)) for i in range(40)]
-    one, two, three, used2, used3, total, distinct, _, score = model(learned)
+    one, two, three, used2, used3, total, distinct, _, score = plain_model(learned)
     words = [b" start", b"", *sorted({w for t in learned for w in t if w})]
     ids = {w: i for i, w in enumerate(words)}
     pairs = [(ids[a], ids[b], c, used3[a, b]) for (a, b), c in two.items()]
@@ -467,7 +467,7 @@ def test_scores_by_brute_force(spark, chunk, monkeypatch):
     rows = [(i, f"{prose(i % 25, 40)} rare{i % 7} pair{i % 7} here{i % 7}") for i in range(60)] + [(60, None), (61, "never rare1 PAIR1 seen"), (62, ""), (63, "x"), (None, "rare1\x0bpair1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     learned = [M.tokens(t) for i, t in rows if i and i % 5]
-    one, *_, total, distinct, first, score = model(learned)
+    one, *_, total, distinct, first, score = plain_model(learned)
     got = M.lm_score(docs, F.col("doc_id") % 5 != 0, chunk=chunk).collect()
     assert sorted(map(str, [(r["doc_id"], r["text"]) for r in got])) == sorted(map(str, rows))
     for r in got:
