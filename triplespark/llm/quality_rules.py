@@ -27,7 +27,7 @@ FLOORS = (0.08, 0.12, 0.30, 0.12, 0.20)
 #: degrees of freedom. The floors widen the scatter, so that clean texts stay far within it.
 CUT = 20.5
 MIN_WORDS = 50
-#: Rows of estimates that are broadcast, and parts of a group beyond that.
+#: Groups whose estimates (about 300 bytes for each of seven starts) are broadcast, and parts of a group beyond that.
 GROUPS = 20_000
 SALT = 64
 #: Concentration steps from all starts, and the starts that go on after them.
@@ -138,13 +138,13 @@ def _moments(rows: DataFrame, factor: float = 1.0) -> DataFrame:
     return out.select("grp", "k", "m", _inverse(F.col("cov")).alias("inv"), _log_det(F.col("cov")).alias("log_det"))
 
 
-def _with(rows: DataFrame, params: DataFrame, keys: tuple[str, ...] = ("grp",), how: str = "inner") -> DataFrame:
-    """`rows` joined with the table `params`, which has few rows for each group and was written before.
+def _with(rows: DataFrame, params: DataFrame, small: bool, keys: tuple[str, ...] = ("grp",), how: str = "inner") -> DataFrame:
+    """`rows` joined with the table `params`, which has few rows for each group.
 
-    Rows are not dealt by group: up to `GROUPS` rows of params are broadcast, and more are
+    Rows are not dealt by group: params are broadcast if they are known to be `small`, or else
     repeated for each of `SALT` parts of a group.
     """
-    if params.count() <= GROUPS:
+    if small:
         return rows.join(F.broadcast(params), list(keys), how)
     spread = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALT).cast("int"))
@@ -157,51 +157,53 @@ def _distance() -> Column:
     return reduce(lambda x, y: x + y, [inv[i][j] * (f[i] - m[i]) * (f[j] - m[j]) for i in range(D) for j in range(D)])
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, small: bool) -> DataFrame:
     """(grp, k, m, inv): medians with absolute deviations, the mean and covariance of all, and those of the half nearest to the median in each of the features."""
     f = F.col("f")
-    middle = written(rows.groupBy("grp").agg(F.array(*[F.percentile_approx(f[i], 0.5) for i in range(D)]).alias("m")), "mcd")
-    away = _with(rows, middle).select("grp", "m", F.zip_with("f", "m", lambda x, m: F.abs(x - m)).alias("f"))
+    middle = rows.groupBy("grp").agg(F.array(*[F.percentile_approx(f[i], 0.5) for i in range(D)]).alias("m"))
+    away = _with(rows, middle, small).select("grp", "m", F.zip_with("f", "m", lambda x, m: F.abs(x - m)).alias("f"))
     spread = away.groupBy("grp").agg(F.first("m").alias("m"), F.array(*[F.percentile_approx(f[i], 0.5) for i in range(D)]).alias("mad"))
     spread = written(spread, "mcd")
     inv = F.array(*[F.array(*[1 / ((1.4826 * F.col("mad")[i]) ** 2 + FLOORS[i] ** 2) if i == k else F.lit(0.0) for k in range(D)]) for i in range(D)])
     near = [F.when(F.abs(f[i] - F.col("m")[i]) <= F.col("mad")[i], F.lit(i + 2)) for i in range(D)]
-    parts = _with(rows, spread).select("grp", "f", F.explode(F.array_compact(F.array(F.lit(1), *near))).alias("k"))
+    parts = _with(rows, spread, small).select("grp", "f", F.explode(F.array_compact(F.array(F.lit(1), *near))).alias("k"))
     return spread.select("grp", F.lit(0).alias("k"), "m", inv.alias("inv")).unionByName(_moments(parts).drop("log_det"))
 
 
-def minimum_covariance(rows: DataFrame) -> DataFrame:
-    """Robust mean m and inverse scatter inv for each `grp` of `rows` (grp and the array f).
+def minimum_covariance(rows: DataFrame, small: bool | None = None) -> DataFrame:
+    """Robust mean m and inverse scatter inv for each `grp` of `rows` (grp and the array f); `small`: there are at most `GROUPS` groups (by default they are counted).
 
     Each of several starts takes concentration steps: the half of a group that lies nearest to the
     last estimate gives the next. After `TRIED` steps the `BEST` starts with the least determinants
     go on until their determinants stop falling, and the least one counts. Its reweighting keeps
     what lies within the 0.975 quantile of chi-square, on the scale that the median distance sets.
-    Medians are within a ten-thousandth of a group's rows.
+    Medians are within a ten-thousandth of a group's rows. A step is one plan, whose medians go to
+    the rows without being written.
     """
     rows = written(rows, "features")
-    state = written(_starts(rows).select("*", F.lit(float("inf")).alias("log_det"), F.lit(True).alias("falls")), "mcd")
+    if small is None:
+        small = rows.select("grp").distinct().count() <= GROUPS
+    state = written(_starts(rows, small).select("*", F.lit(float("inf")).alias("log_det"), F.lit(True).alias("falls")), "mcd")
     step = 0
     while not state.where("falls").isEmpty():
         before = state
-        now = written(state.where("falls").select("grp", "k", "m", "inv"), "mcd")
-        far = _with(rows, now).select("grp", "k", "f", _distance().alias("d2"))
-        edge = written(far.groupBy("grp", "k").agg(F.percentile_approx("d2", 0.5).alias("edge")), "mcd")
-        new = _moments(_with(far, edge, ("grp", "k")).where("d2 <= edge"), HALF)
-        both = state.join(new.withColumnsRenamed({c: f"new_{c}" for c in ("m", "inv", "log_det")}), ["grp", "k"], "left")
+        far = _with(rows, state.where("falls").select("grp", "k", "m", "inv"), small).select("grp", "k", "f", _distance().alias("d2"))
+        edge = far.groupBy("grp", "k").agg(F.percentile_approx("d2", 0.5).alias("edge"))
+        new = _moments(_with(far, edge, small, ("grp", "k")).where("d2 <= edge"), HALF)
+        new = new.withColumnsRenamed({c: f"new_{c}" for c in ("m", "inv", "log_det")})
+        both = state.join(F.broadcast(new) if small else new, ["grp", "k"], "left")
         falls = F.coalesce(F.col("new_log_det") < F.col("log_det") - 1e-6, F.lit(False))
         state = both.select("grp", "k", *[F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("m", "inv", "log_det")], falls.alias("falls"))
         step += 1
         if step == TRIED:
             state = state.withColumn("_n", F.row_number().over(Window.partitionBy("grp").orderBy("log_det", "k"))).where(F.col("_n") <= BEST).drop("_n")
         state = written(state, "mcd")
-        for table in (before, now, edge):
-            dropped(table)
+        dropped(before)
     best = state.groupBy("grp").agg(F.min_by(F.struct("m", "inv"), F.struct("log_det", "k")).alias("b")).select("grp", "b.m", "b.inv")
-    far = _with(rows, written(best, "mcd")).select("grp", F.lit(0).alias("k"), "f", _distance().alias("d2"))
+    far = _with(rows, best, small).select("grp", F.lit(0).alias("k"), "f", _distance().alias("d2"))
     # 4.35 is the median and 12.83 the 0.975 quantile of chi-square with five degrees of freedom.
-    edge = written(far.groupBy("grp").agg(F.percentile_approx("d2", 0.5).alias("edge")), "mcd")
-    near = _with(far, edge).where(F.col("d2") <= F.greatest(F.col("edge") / 4.35, F.lit(1.0)) * 12.83)
+    edge = far.groupBy("grp").agg(F.percentile_approx("d2", 0.5).alias("edge"))
+    near = _with(far, edge, small).where(F.col("d2") <= F.greatest(F.col("edge") / 4.35, F.lit(1.0)) * 12.83)
     out = written(_moments(near).drop("log_det", "k"), "mcd")
     dropped(rows)
     return out
@@ -229,13 +231,15 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     stats = written(stats, "stats")
     rows = stats.where(~F.col("base_failed")).select("_gl", "grp", "f")
     sizes = written(rows.groupBy("_gl", "grp").agg(F.count("*").alias("n_s")), "sizes")
+    # Each group is judged by its own estimate, its language's or the whole table's, so no table below has more groups.
+    small = 2 * sizes.count() + 1 <= GROUPS
     sizes = sizes.join(sizes.groupBy("_gl").agg(F.sum("n_s").alias("n_l")), "_gl")
     level = F.when(F.col("n_s") >= least, F.col("grp")).when(F.col("n_l") >= least, F.col("_gl")).otherwise(F.lit("a:"))
     sizes = written(sizes.select(F.col("grp").alias("key"), level.alias("grp")), "sizes")
     # Estimates are made only for what some group is judged by.
-    used = written(sizes.select("grp").distinct(), "sizes")
-    params = minimum_covariance(_with(rows.select(F.explode(F.array("grp", "_gl", F.lit("a:"))).alias("grp"), "f"), used))
-    estimates = written(sizes.join(params, "grp").select(F.col("key").alias("grp"), "m", "inv"), "mcd")
-    judged = _with(stats, estimates, how="left").withColumn("d2", _distance())
+    used = sizes.select("grp").distinct()
+    params = minimum_covariance(_with(rows.select(F.explode(F.array("grp", "_gl", F.lit("a:"))).alias("grp"), "f"), used, small), small)
+    estimates = sizes.join(params, "grp").select(F.col("key").alias("grp"), "m", "inv")
+    judged = _with(stats, estimates, small, how="left").withColumn("d2", _distance())
     verdict = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True))
     return judged.select(*[F.col("_row")[c].alias(c) for c in kept], *ADDED[:-1], verdict.alias("kept"))
