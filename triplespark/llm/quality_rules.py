@@ -27,7 +27,7 @@ FLOORS = (0.08, 0.12, 0.30, 0.12, 0.20)
 #: degrees of freedom. The floors widen the scatter, so that clean texts stay far within it.
 CUT = 20.5
 MIN_WORDS = 50
-#: Groups whose estimates (about 300 bytes for each of seven starts) are broadcast, and parts of a group beyond that.
+#: Groups whose estimates (seven rows of about 300 bytes at most) are broadcast, and parts of a group beyond that.
 GROUPS = 20_000
 SALT = 64
 #: Concentration steps from all starts, and the starts that go on after them.
@@ -139,7 +139,7 @@ def _moments(rows: DataFrame, factor: float = 1.0) -> DataFrame:
 
 
 def _with(rows: DataFrame, params: DataFrame, small: bool, keys: tuple[str, ...] = ("grp",), how: str = "inner") -> DataFrame:
-    """`rows` joined with the table `params`, which has few rows for each group.
+    """`rows` joined with the table `params`, which has few rows for each group and was written before.
 
     Rows are not dealt by group: params are broadcast if they are known to be `small`, or else
     repeated for each of `SALT` parts of a group.
@@ -160,7 +160,7 @@ def _distance() -> Column:
 def _starts(rows: DataFrame, small: bool) -> DataFrame:
     """(grp, k, m, inv): medians with absolute deviations, the mean and covariance of all, and those of the half nearest to the median in each of the features."""
     f = F.col("f")
-    middle = rows.groupBy("grp").agg(F.array(*[F.percentile_approx(f[i], 0.5) for i in range(D)]).alias("m"))
+    middle = written(rows.groupBy("grp").agg(F.array(*[F.percentile_approx(f[i], 0.5) for i in range(D)]).alias("m")), "mcd")
     away = _with(rows, middle, small).select("grp", "m", F.zip_with("f", "m", lambda x, m: F.abs(x - m)).alias("f"))
     spread = away.groupBy("grp").agg(F.first("m").alias("m"), F.array(*[F.percentile_approx(f[i], 0.5) for i in range(D)]).alias("mad"))
     spread = written(spread, "mcd")
@@ -177,8 +177,7 @@ def minimum_covariance(rows: DataFrame, small: bool | None = None) -> DataFrame:
     last estimate gives the next. After `TRIED` steps the `BEST` starts with the least determinants
     go on until their determinants stop falling, and the least one counts. Its reweighting keeps
     what lies within the 0.975 quantile of chi-square, on the scale that the median distance sets.
-    Medians are within a ten-thousandth of a group's rows. A step is one plan, whose medians go to
-    the rows without being written.
+    Medians are within a ten-thousandth of a group's rows.
     """
     rows = written(rows, "features")
     if small is None:
@@ -187,22 +186,23 @@ def minimum_covariance(rows: DataFrame, small: bool | None = None) -> DataFrame:
     step = 0
     while not state.where("falls").isEmpty():
         before = state
-        far = _with(rows, state.where("falls").select("grp", "k", "m", "inv"), small).select("grp", "k", "f", _distance().alias("d2"))
-        edge = far.groupBy("grp", "k").agg(F.percentile_approx("d2", 0.5).alias("edge"))
+        now = written(state.where("falls").select("grp", "k", "m", "inv"), "mcd")
+        far = _with(rows, now, small).select("grp", "k", "f", _distance().alias("d2"))
+        edge = written(far.groupBy("grp", "k").agg(F.percentile_approx("d2", 0.5).alias("edge")), "mcd")
         new = _moments(_with(far, edge, small, ("grp", "k")).where("d2 <= edge"), HALF)
-        new = new.withColumnsRenamed({c: f"new_{c}" for c in ("m", "inv", "log_det")})
-        both = state.join(F.broadcast(new) if small else new, ["grp", "k"], "left")
+        both = state.join(new.withColumnsRenamed({c: f"new_{c}" for c in ("m", "inv", "log_det")}), ["grp", "k"], "left")
         falls = F.coalesce(F.col("new_log_det") < F.col("log_det") - 1e-6, F.lit(False))
         state = both.select("grp", "k", *[F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("m", "inv", "log_det")], falls.alias("falls"))
         step += 1
         if step == TRIED:
             state = state.withColumn("_n", F.row_number().over(Window.partitionBy("grp").orderBy("log_det", "k"))).where(F.col("_n") <= BEST).drop("_n")
         state = written(state, "mcd")
-        dropped(before)
+        for table in (before, now, edge):
+            dropped(table)
     best = state.groupBy("grp").agg(F.min_by(F.struct("m", "inv"), F.struct("log_det", "k")).alias("b")).select("grp", "b.m", "b.inv")
-    far = _with(rows, best, small).select("grp", F.lit(0).alias("k"), "f", _distance().alias("d2"))
+    far = _with(rows, written(best, "mcd"), small).select("grp", F.lit(0).alias("k"), "f", _distance().alias("d2"))
     # 4.35 is the median and 12.83 the 0.975 quantile of chi-square with five degrees of freedom.
-    edge = far.groupBy("grp").agg(F.percentile_approx("d2", 0.5).alias("edge"))
+    edge = written(far.groupBy("grp").agg(F.percentile_approx("d2", 0.5).alias("edge")), "mcd")
     near = _with(far, edge, small).where(F.col("d2") <= F.greatest(F.col("edge") / 4.35, F.lit(1.0)) * 12.83)
     out = written(_moments(near).drop("log_det", "k"), "mcd")
     dropped(rows)
@@ -237,9 +237,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     level = F.when(F.col("n_s") >= least, F.col("grp")).when(F.col("n_l") >= least, F.col("_gl")).otherwise(F.lit("a:"))
     sizes = written(sizes.select(F.col("grp").alias("key"), level.alias("grp")), "sizes")
     # Estimates are made only for what some group is judged by.
-    used = sizes.select("grp").distinct()
+    used = written(sizes.select("grp").distinct(), "sizes")
     params = minimum_covariance(_with(rows.select(F.explode(F.array("grp", "_gl", F.lit("a:"))).alias("grp"), "f"), used, small), small)
-    estimates = sizes.join(params, "grp").select(F.col("key").alias("grp"), "m", "inv")
+    estimates = written(sizes.join(params, "grp").select(F.col("key").alias("grp"), "m", "inv"), "mcd")
     judged = _with(stats, estimates, small, how="left").withColumn("d2", _distance())
     verdict = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True))
     return judged.select(*[F.col("_row")[c].alias(c) for c in kept], *ADDED[:-1], verdict.alias("kept"))
