@@ -77,12 +77,12 @@ def s4(spark, d):
     return tables.import_triples(dirty(spark, d), ontology(spark)).groupBy("p").agg(F.count("*").alias("n"))
 
 
-@query("s5_main_individual", "select '{E}nation/' || min(n_nationkey) as s from nation where n_regionkey = (select max(n_regionkey) from nation) and length(cast(n_nationkey as varchar)) = (select min(length(cast(n_nationkey as varchar))) from nation where n_regionkey = (select max(n_regionkey) from nation))")
+@query("s5_main_individual", "select min('{E}customer/' || c_custkey) as s from customer where c_acctbal < 0")
 def s5(spark, d):
-    t, tb = graph(spark, d, "region", "nation"), ontology(spark)
-    last = table(spark, d, "nation").agg(F.max("n_regionkey")).first()[0]
-    short = table(spark, d, "nation").where(F.col("n_regionkey") == last).where("length(cast(n_nationkey as string)) = 1")
-    flags = S.from_structs(short, S.literal(iri("nation", "n_nationkey"), S.MAIN, F.lit("true"), S.XSD + "boolean"))
+    """All customers in debt are flagged, of whom the first by name, as text, is taken."""
+    t, tb = graph(spark, d, "nation", "customer"), ontology(spark)
+    debtors = table(spark, d, "customer").where("c_acctbal < 0")
+    flags = S.from_structs(debtors, S.literal(iri("customer", "c_custkey"), S.MAIN, F.lit("true"), S.XSD + "boolean"))
     return rdf.main_individual(t.unionByName(flags), P.individuals(t, tb))
 
 
@@ -93,6 +93,14 @@ def s6(spark, d):
     return out.groupBy("p").agg(F.count("*").alias("n"))
 
 
+@query("s6_export_rows", "select '{E}customer/' || c_custkey as s, '{TYPE}' as p, " + SEGMENT + " as o from customer union all select '{E}customer/' || c_custkey, '{E}name', c_name from customer union all select '{E}customer/1', '" + S.MAIN + "', 'true'")
+def s6_rows(spark, d):
+    """All triples of an export of the customers, but for their balances: links to nations, which aren't chosen, stay behind."""
+    t, tb = graph(spark, d, "nation", "customer", "supplier"), ontology(spark)
+    out = tables.export_triples(t, tb, chosen=P.get_by_class(t, tb, name("Customer")), main=EX + "customer/1")
+    return out.where(F.col("p") != name("balance")).select("s", "p", "o")
+
+
 @query("s1_s7_ntriples", "select '{E}part/' || p_partkey as s, p_name as o, '{XSD}string' as o_dt from part union all select '{E}part/' || p_partkey, cast(p_size as varchar), '{XSD}integer' from part")
 def s1(spark, d):
     back = rdf.parse_ntriples(rdf.ntriples_lines(graph(spark, d, "part")))
