@@ -132,3 +132,13 @@ def test_stages_of_an_empty_table(spark, folder):
 def test_decontaminate_query(spark, folder):
     path, _ = folder
     assert [(r["doc_id"], r["item_id"]) for r in Q.op8_decontaminate(spark, path).collect()] == [(1200, 1)]
+
+
+def test_url_rules_of_the_contract(spark, tmp_path):
+    """Each rule of op7's contract with the verdict that it names there, on its host and on a subdomain."""
+    rules = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+    hosts = {"com/en/": "a.com", "example.com/en/7": "example.com", "net/de/": "poker.net", "example.net/de/8": "example.net", "org/es/": "a.org"}
+    rows = [(n, f"http://{sub}{hosts[rule]}/{rule.partition('/')[2]}1") for n, (sub, rule) in enumerate((sub, rule) for sub in ("", "x.") for rule, _ in rules)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in Q.op7_url_filters(spark, str(tmp_path)).collect()}
+    assert [got[n] for n in range(len(rows))] == rules * 2
