@@ -99,3 +99,12 @@ def test_hubs_are_spread(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_estimates_stay_small_over_rounds(spark):
+    """Joins multiply estimated sizes; what is cut starts from the size of its rows again."""
+    pairs = loops.cut(spark.range(1000).selectExpr("id", "id + 1 as far"))
+    for _ in range(6):
+        pairs = loops.cut(pairs.join(pairs.toDF("far", "f"), "far").selectExpr("id", "f as far"))
+    assert pairs.count() == 937
+    assert int(str(pairs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 30

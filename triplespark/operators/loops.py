@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of `df` with a checkpoint in the folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cuts the lineage of `df` with a table in the folder that all executors share.
+
+    A checkpoint would keep the estimated size of its plan. Joins multiply estimates, so in a loop their
+    digits double with each round, until these numbers alone fill the driver; a table has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Edges of one node that a task joins; the edges of nodes with more are spread.
