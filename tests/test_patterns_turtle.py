@@ -182,3 +182,15 @@ def test_round_trips(spark, tmp_path, form):
     assert bad.count() == 0
     empty = turtle.turtle_lines(t.where("false"), {"e": "http://e/"})
     assert all(r["value"].startswith("@prefix") for r in empty.collect())
+
+
+def test_turtle_repeated_directives(spark, tmp_path):
+    """Directives that say again what holds are no rows; those that change a prefix, and relative ones behind another base, are."""
+    (tmp_path / "many.ttl").write_text(
+        "".join(f"@prefix a: <http://x/> .\na:s{n} a:p {n} .\n" for n in range(40)) + "@prefix a: <http://y/> .\na:s a:p 40 .\n@prefix a: <http://x/> .\na:s a:p 41 .\n"
+        + "".join(f"@base <http://b{n}/> .\n@prefix r: <r/> .\nr:s a:p {50 + n} .\n" for n in range(2))
+    )
+    rows = turtle.statements(spark, str(tmp_path))
+    assert turtle._directives(rows).count() == 3 + 4
+    found = {(r["s"], r["o"]) for r in turtle.read_turtle(spark, str(tmp_path)).collect()}
+    assert found == {(f"http://x/s{n}", str(n)) for n in range(40)} | {("http://y/s", "40"), ("http://x/s", "41"), ("http://b0/r/s", "50"), ("http://b1/r/s", "51")}

@@ -181,6 +181,9 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(joined).where(F.col("text").rlike(r"\S"))
 
 
+_WHOLE_IRI = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+
+
 class _Bad(ValueError):
     pass
 
@@ -211,7 +214,7 @@ class _Reader:
         return self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local)
 
     def whole(self, iri: str) -> str:
-        return iri if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", iri) else urljoin(self.base, iri)
+        return iri if re.match(_WHOLE_IRI, iri) else urljoin(self.base, iri)
 
     def node(self) -> str:
         self.made += 1
@@ -365,7 +368,16 @@ def _directives(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["file", "block", "n", "k", "name", "iri"])
 
-    return starts.mapInArrow(run, "file string, block long, n long, k long, name string, iri string")
+    return _changes(starts.mapInArrow(run, "file string, block long, n long, k long, name string, iri string"))
+
+
+def _changes(found: DataFrame) -> DataFrame:
+    """Directives without those that say again what holds: the same name with the same whole IRI as the one before. First within each split, so that few are left for a whole file."""
+    for keys in (["file", "block", "name"], ["file", "name"]):
+        before = F.lag("iri").over(Window.partitionBy(*keys).orderBy("block", "n", "k"))
+        again = F.col("iri").rlike(_WHOLE_IRI) & (F.col("iri") == F.col("before"))
+        found = found.withColumn("before", before).where(~F.coalesce(again, F.lit(False))).drop("before")
+    return found
 
 
 def _environment(directives: list[tuple], base: str) -> list[tuple[tuple[int, int], dict[str, str], str]]:
