@@ -96,3 +96,12 @@ def test_large_documents_give_all_triples(spark, nodes):
     t = graph(spark, doc, hub)
     assert t.groupBy("p").count().orderBy("p").collect() == [(E + "h", nodes), (E + "p", nodes), (E + "q", nodes)]
     assert U.graph_equal(t.where(f"p = '{E}h'"), graph(spark, hub))
+
+
+def test_documents_of_one_file_are_spread(spark, monkeypatch):
+    """The first level, too, is dealt over tasks, however few partitions the documents come in."""
+    seen, real = [], jsonld._level
+    monkeypatch.setattr(jsonld, "_level", lambda rows: (seen.append(rows), real(rows))[1])
+    docs = spark.createDataFrame([(f'{{"@id": "http://x/{n}", "http://x/p": {n}}}',) for n in range(50)], "value string").coalesce(1)
+    assert jsonld.parse_jsonld(docs).count() == 50
+    assert "hashpartitioning(xxhash64(text" in seen[0]._jdf.queryExecution().toString()

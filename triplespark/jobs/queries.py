@@ -783,8 +783,10 @@ def s2_forms(spark, d):
 def s2_lists(spark, d):
     t = rdf.parse_jsonld(nested(spark, d))
     first, rest = S.RDF + "first", S.RDF + "rest"
-    rows = N.bgp(t, [("?s", name("seq"), "?l"), ("?l", first, "?first"), ("?l", rest, "?m"), ("?m", first, "?second"), ("?m", rest, S.RDF + "nil"), ("?s", name("home"), "?home"), ("?home", name("in"), "?b"), ("?b", name("title"), "?inner")])
-    return rows.select("s", "first", "first_dt", "second", "second_lang", "home", "inner").distinct()
+    rows = N.bgp(t, [("?s", name("seq"), "?l"), ("?l", first, "?first"), ("?l", rest, "?m"), ("?m", first, "?second"), ("?m", rest, S.RDF + "nil"), ("?s", name("home"), "?home")])
+    # A home has a node within from each of its customers; what they say is taken once before it meets the customers.
+    inner = N.bgp(t, [("?home", name("in"), "?b"), ("?b", name("title"), "?inner")]).select("home", "inner").distinct()
+    return rows.join(inner, "home").select("s", "first", "first_dt", "second", "second_lang", "home", "inner").distinct()
 
 
 STATES = "with log as (select event_id as seq, case when event_type = 'error' then 'delete' else 'add' end as op, '{E}user/' || user_id as s, case when event_type = 'error' then 'click' else event_type end as o from events where event_type in ('purchase', 'click', 'error')), last as (select s, o, arg_max(op, seq) as op from log group by all), base as (select distinct '{E}user/' || user_id as s, event_type as o from events where event_type <> 'purchase') select s, o from base where not exists (select 1 from last l where l.s = base.s and l.o = base.o) union all select s, o from last where op = 'add'"

@@ -182,6 +182,8 @@ def _entity(x: str) -> tuple:
 
 
 _ROW = ("kind", *S.COLUMNS, "id", "k", "x", "doc", "ctx", "subject", "path", "text")
+#: What a triple's row has no value for.
+_NO_NODE = (None,) * (len(_ROW) - 1 - len(S.COLUMNS))
 
 
 class _Level:
@@ -200,7 +202,7 @@ class _Level:
         self.emit("node", doc=self.doc, ctx=json.dumps(context), subject=subject, path=path, text=self.text[at:end])
 
     def triple(self, s: str, p: str, o: tuple) -> None:
-        self.emit("triple", **dict(zip(S.COLUMNS, (s, _entity(s)[1], p, *o))))
+        self.out.append(("triple", s, "bnode" if s.startswith("_:") else "iri", p, *o, *_NO_NODE))
 
     def blank(self, path: str) -> str:
         return "_:j" + blake2b(f"{self.doc} {path}".encode(), digest_size=12).hexdigest()
@@ -431,6 +433,8 @@ def expanded(documents: DataFrame) -> DataFrame:
     """All rows that documents (value) give, level by level: triples, and with kind `bad` what isn't understood."""
     none = F.lit(None).cast("string")
     waiting = documents.where(F.col("value").isNotNull()).select(F.lit("").alias("doc"), none.alias("ctx"), none.alias("subject"), F.lit("").alias("path"), F.col("value").alias("text"))
+    # So are the documents, which may come from few files.
+    waiting = waiting.repartition(F.xxhash64("text"))
     out = None
     while True:
         found = cut(_level(waiting))
