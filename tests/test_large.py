@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triplespark import schema as S
+from triplespark.jobs import mapping
 from triplespark.operators import loops
 from triplespark.operators import select as P
 from triplespark.operators import tbox as T
@@ -108,3 +109,10 @@ def test_estimates_stay_small_over_rounds(spark):
         pairs = loops.cut(pairs.join(pairs.toDF("far", "f"), "far").selectExpr("id", "f as far"))
     assert pairs.count() == 937
     assert int(str(pairs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 30
+
+
+def test_tables_are_spread_by_rows(spark, monkeypatch):
+    """A task's share of a table doesn't grow with the table, whatever its files are."""
+    monkeypatch.setattr(mapping, "ROWS", 100)
+    rows = mapping.spread(spark.range(1000).coalesce(1), "id")
+    assert rows.rdd.getNumPartitions() == 10 and rows.count() == 1000

@@ -73,6 +73,15 @@ def money(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)").cast("string")
 
 
+#: Rows of a table that one task makes into triples. All of a task's triples are sorted by predicate before they are written, so this bounds what it holds.
+ROWS = 200_000
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """`rows` dealt by `keys` over as many tasks as their number asks for, however few files they come from."""
+    return rows.repartition(max(1, -(-rows.count() // ROWS)), *keys)
+
+
 _GRAPHS: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -106,7 +115,9 @@ def statistics(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
 
 def _of(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     """The triples of the named tables; each subject's come from one row."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    whole_table = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    keys = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+    read = lambda t: spread(whole_table(t), keys[t]) if t in keys else whole_table(t)
     text, whole, decimal = S.XSD + "string", S.XSD + "integer", S.XSD + "decimal"
     parts = []
     for t in tables:
@@ -127,7 +138,7 @@ def _of(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
             own = individuals_from_table(read(t), name("Order"), iri("order", "o_orderkey"), {name("status"): (F.col("o_orderstatus"), text), name("date"): (F.col("o_orderdate"), S.XSD + "dateTime")})
             parts += [own, S.from_structs(read(t), S.link(iri("customer", "o_custkey"), name("places"), iri("order", "o_orderkey")))]
         elif t == "lineitem":  # which parts an order has; several lines can name one part
-            parts.append(S.from_structs(read(t).select("l_orderkey", "l_partkey").distinct(), S.link(iri("order", "l_orderkey"), name("orders"), iri("part", "l_partkey"))))
+            parts.append(S.from_structs(spread(read(t).select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey").distinct(), S.link(iri("order", "l_orderkey"), name("orders"), iri("part", "l_partkey"))))
         elif t == "documents":
             doc = iri("document", "doc_id")
             tagged = S.RDF + "langString"
