@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from triplespark import schema as S
@@ -194,3 +195,12 @@ def test_turtle_repeated_directives(spark, tmp_path):
     assert turtle._directives(rows).count() == 3 + 4
     found = {(r["s"], r["o"]) for r in turtle.read_turtle(spark, str(tmp_path)).collect()}
     assert found == {(f"http://x/s{n}", str(n)) for n in range(40)} | {("http://y/s", "40"), ("http://x/s", "41"), ("http://b0/r/s", "50"), ("http://b1/r/s", "51")}
+
+
+def test_turtle_holds_little():
+    # A batch has up to 10,000 rows, however long: a few are turned into Python's strings at a time.
+    texts = ["x" * 200_000 if n % 3 else None for n in range(60)] + ["", "y" * 5_000_000, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(63), pa.int64()), pa.array(texts, pa.string())], ["n", "text"])
+    parts = list(turtle._parts(iter([batch, batch.slice(0, 0)]), "n", "text"))
+    assert [(n, x) for part in parts for n, x in zip(*part)] == list(enumerate(texts))
+    assert all(sum(len(x or "") for x in part[1][:-1]) < turtle.HELD for part in parts) and len(parts) > 5

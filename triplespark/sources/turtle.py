@@ -21,7 +21,9 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from urllib.parse import urljoin
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,9 @@ from .. import schema as S
 #: Prefixes and bases that are sent to all tasks; more of them are joined by file.
 SENT = 100_000
 
+#: Bytes that a task turns into Python's strings, or back into a batch, at a time: batches are bounded by rows, and rows can be long.
+HELD = 1 << 20
+
 _CODE = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
 _FIRST = r"A-Za-zÀ-ÖØ-öø-˿Ͱ-ͽͿ-῿‌‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000EFFFF"
 _CHAR = _FIRST + r"_0-9\-·̀-ͯ‿-⁀"
@@ -80,11 +85,24 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep="\n").select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), "value")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:
+    """The columns' values, of about `HELD` bytes of rows at a time."""
+    for batch in batches:
+        start = size = 0
+        texts = [c for c in columns if pa.types.is_string(batch.schema.field(c).type) or pa.types.is_large_string(batch.schema.field(c).type)]
+        lengths = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in texts).tolist()
+        for n, length in enumerate(lengths, 1):
+            size += length + 8
+            if size >= HELD or n == batch.num_rows:
+                part = batch.slice(start, n - start)
+                yield tuple(part.column(c).to_pylist() for c in columns)
+                start, size = n, 0
+
+
 def _per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str], bool]]:
     """Key, lines and whether the split is new, for each stretch of lines of one split."""
     last = None
-    for batch in batches:
-        files, blocks, values = (batch.column(c).to_pylist() for c in ("file", "block", "value"))
+    for files, blocks, values in _parts(batches, "file", "block", "value"):
         start = 0
         for n in range(1, len(files) + 1):
             if n == len(files) or files[n] != files[start] or blocks[n] != blocks[start]:
@@ -137,7 +155,11 @@ def _cut(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        key, state, n, held = None, "", 0, []
+        key, state, n, held, size = None, "", 0, [], 0
+
+        def batch() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["file", "block", "n", "text", "ended"])
 
         def last() -> list[tuple]:
             if key is None:
@@ -155,12 +177,13 @@ def _cut(lines: DataFrame) -> DataFrame:
                     rows.append((*key, n, "\n".join([*held, line[at:end]]), True))
                     held, at, n = [], end, n + 1
                 held.append(line[at:])
-                if len(rows) >= 5000:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("file", "block", "n", "text", "ended"), r)) for r in rows])
-                    rows = []
+                size += len(line)
+                if len(rows) >= 5000 or (rows and size >= HELD):
+                    yield batch()
+                    rows, size = [], 0
         rows += last()
         if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(("file", "block", "n", "text", "ended"), r)) for r in rows])
+            yield batch()
 
     return lines.mapInArrow(run, _CUT)
 
@@ -356,9 +379,9 @@ def _directives(rows: DataFrame) -> DataFrame:
     starts = rows.where(F.lower("text").rlike(r"^(?:\s|#[^\n]*\n)*(?:@?prefix|@?base)\b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in _parts(batches, "file", "block", "n", "text"):
             out = []
-            for file, block, n, text in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "n", "text"))):
+            for file, block, n, text in zip(*part):
                 reader = _Reader({}, "", "")
                 reader.whole = lambda iri: iri
                 try:
@@ -410,9 +433,9 @@ def _parsed(rows: DataFrame, base: str | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
-        for batch in batches:
+        for part in _parts(batches, "file", "block", "n", "text", "own"):
             out: list[tuple] = []
-            for file, block, n, text, own in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "n", "text", "own"))):
+            for file, block, n, text, own in zip(*part):
                 if file not in known:
                     known = {file: _environment([tuple(x.values()) for x in own or []] if sent is None else sent.value.get(file, []), base or file)}
                 at = known[file]
@@ -482,8 +505,8 @@ def turtle_lines(t: DataFrame, prefixes: dict[str, str] | None = None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = [f"@prefix {name}: <{BAD_IRI.sub(lambda m: f'{chr(92)}u{ord(m[0]):04X}', start)}> ." for name, start in sorted((prefixes or {}).items())]
         s = p = None
-        for batch in batches:
-            for s2, s_kind, p2, o, kind, dt, lang in zip(*(batch.column(c).to_pylist() for c in S.COLUMNS)):
+        for part in _parts(batches, *S.COLUMNS):
+            for s2, s_kind, p2, o, kind, dt, lang in zip(*part):
                 o = term(o, kind, dt, lang)
                 predicate = "a" if p2 == S.TYPE else iri(p2)
                 if s2 != s:
