@@ -116,3 +116,15 @@ def test_tables_are_spread_by_rows(spark, monkeypatch):
     monkeypatch.setattr(mapping, "ROWS", 100)
     rows = mapping.spread(spark.range(1000).coalesce(1), "id")
     assert rows.rdd.getNumPartitions() == 10 and rows.count() == 1000
+
+
+def test_the_graph_is_not_sent(spark, tmp_path):
+    # A graph's predicates and datatypes take few bytes of its files, so Spark would send all of its rows to each task instead of the ontology's.
+    rows = spark.range(100_000).select(F.lit(mapping.name("size")).alias("attribute"), F.lit(S.XSD + "integer").alias("o_dt"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "g"))
+    kinds = T.attribute_datatypes(mapping.ontology(spark))
+    found = spark.read.parquet(str(tmp_path / "g")).join(kinds, "attribute").where("o_dt = datatype").groupBy("attribute", "n_ranges").count()
+    assert [tuple(r) for r in found.collect()] == [(mapping.name("size"), 1, 100_000)] and dict(kinds.dtypes)["n_ranges"] == "bigint"
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastExchange" in plan and "LocalTableScan" in plan.split("BroadcastExchange")[1] and "FileScan" not in plan.split("BroadcastExchange")[1].split("FileScan")[0]
+    assert "Parquet" not in plan.split("BroadcastExchange")[1].split("LocalTableScan")[0]

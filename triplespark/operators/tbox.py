@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,11 +71,11 @@ def settled_kinds(kinds: DataFrame) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """`df` as a small table within plans if it has at most `SMALL` rows of strings, else kept in memory and on disk."""
+    """`df` as a small table within plans if it has at most `SMALL` rows of strings and whole numbers, else kept in memory and on disk."""
     rows = df.limit(SMALL + 1).collect()
-    if len(rows) > SMALL or any(kind != "string" for _, kind in df.dtypes):
+    if len(rows) > SMALL or any(kind not in ("string", "bigint") for _, kind in df.dtypes):
         return df.persist()
-    return S.local(df.sparkSession, [tuple(r) for r in rows], tuple(df.columns))
+    return S.local(df.sparkSession, [tuple(r) for r in rows], tuple(df.columns), {c: pa.int64() for c, kind in df.dtypes if kind == "bigint"})
 
 
 def _closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -339,6 +340,7 @@ def compositions(tb: TBox) -> DataFrame:
     return out.groupBy("id", "operator").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "member"))), lambda x: x["member"]).alias("operands"))
 
 
+@_part
 def attribute_datatypes(tb: TBox) -> DataFrame:
     """(attribute, datatype, n_ranges): the range of the attribute or a super-attribute; null if it has none, and several are a violation."""
     ranges = tb.triples.where(F.col("p") == S.RDFS + "range").select(F.col("s").alias("super"), F.col("o").alias("datatype"))
