@@ -144,6 +144,20 @@ def test_collocations_against_brute_force(spark, options, support):
     assert found == mined_by_hand(rows, support)
 
 
+def test_numbers_of_phrases():
+    r = random.Random(3)
+    block = P.Block()
+    for n in range(60):
+        block.add(" ".join(r.choice("abcdefgh") for _ in range(40)).encode(), f"l{n % 3}".encode(), 0)
+    block.close()
+    for k in range(1, P.LONGEST + 1):
+        at = block.starts(k)
+        phrases = [(block.lang[x], *block.ids[x : x + k]) for x in at]
+        for largest in (P.LARGEST, 20_000):  # without and with numbers that don't fit
+            found = block.numbers(at, k, largest).tolist()
+            assert len(set(found)) == len(set(phrases)) == len(set(zip(found, phrases)))
+
+
 def test_collocations_of_awkward_rows(spark, awkward):  # noqa: F811
     rows = [(r["text"], r["lang"]) for r in awkward.collect()]
     assert sorted(tuple(r) for r in P.collocations(awkward, top=7).collect()) == mined_by_hand(rows, 30, 7)

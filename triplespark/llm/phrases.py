@@ -38,6 +38,8 @@ SHARE = 80
 BLOCK = 2_000_000
 #: Most bits of a map of frequent n-grams; beyond it more n-grams pass and are counted.
 MOST_BITS = 1 << 28
+#: Beyond this, numbers that stand for a phrase's language and words are dealt anew.
+LARGEST = 1 << 62
 #: Salts among which each language's best phrases are found first.
 SALTS = 64
 UNKNOWN = "und"
@@ -111,6 +113,16 @@ class Block:
         """Hash and shard as one number."""
         return (self.keys(at, k) << np.uint64(_SHARD_BITS)) | self.shard[at].astype(np.uint64)
 
+    def numbers(self, at: np.ndarray, k: int, largest: int = LARGEST) -> np.ndarray:
+        """A number for each place, the same for the same language and words and for no others; numbers that could pass `largest` are dealt anew on the way."""
+        out, most, size = self.lang[at], len(self.langs), len(self.words)
+        for j in range(k):
+            if most * size > largest:  # numbered anew, so that the next word fits in
+                known, out = np.unique(out, return_inverse=True)
+                most = len(known)
+            out, most = out * size + self.ids[at + j], most * size
+        return out
+
 
 def _bits(codes: np.ndarray, size: int) -> list[np.ndarray]:
     """The two bits of each code in a map of `size` bits, a power of two."""
@@ -223,7 +235,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", suppo
     chosen = bit_map(union, most_bits)
 
     def whole(b: Block) -> Iterator[pa.RecordBatch]:
-        langs, size = list(b.langs), len(b.words)
+        langs = list(b.langs)
         for code, n in enumerate(np.bincount(b.lang[b.run], minlength=len(langs))):
             yield _phrases([langs[code]], [b""], 0, [int(n)])
         for k in range(1, LONGEST + 1):
@@ -231,9 +243,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", suppo
             at = at[_passes(b.keys(at, k), chosen.value)]
             if not len(at):
                 continue
-            code = b.lang[at]
-            for j in range(k):
-                code = np.unique(code * size + b.ids[at + j], return_inverse=True)[1]
+            code = b.numbers(at, k)
             _, first, n = np.unique(code, return_index=True, return_counts=True)
             first = at[first]
             for x in range(0, len(first), 50_000):
