@@ -460,6 +460,32 @@ def test_automaton_sums_to_one():
     assert begin and len(a.fails) > 20
 
 
+def test_texts_are_walked_side_by_side(spark, monkeypatch):
+    """Pieces of texts take a word of each at a time, as many rounds as a piece has words, and give each text's whole walk."""
+    rows = [(i, prose(i % 9, 1 + i * i)) for i in range(30)] + [(30, None), (31, prose(3, 4 * M.PIECE) + " unheard of")]
+    learned = [M.tokens(t) for i, t in rows if i % 5]
+    one, two, three, used2, used3, total, distinct, _, score = plain_model(learned)
+    words = [b" start", b"", *sorted({w for _, t in rows for w in M.tokens(t) if w})]
+    ids = {w: i for i, w in enumerate(words)}
+    at = {g: i for i, g in enumerate(two)}
+    pairs = [(ids[a], ids[b], c, used3[a, b]) for (a, b), c in two.items()]
+    triples = [(at[g[:2]], at[g[1:]], ids[g[2]], c) for g, c in three.items()]
+    a = M.build(np.array([one[(w,)] for w in words]), np.array([float(used2[w]) for w in words]), tuple(map(np.array, zip(*pairs))), tuple(map(np.array, zip(*triples))), total, distinct)
+    texts = [[0, *[ids[w] for w in M.tokens(t)]] for _, t in rows]
+    row, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    rounds, step = [], M.Automaton.step
+    monkeypatch.setattr(M.Automaton, "step", lambda *x: rounds.append(len(x[1])) or step(*x))
+    expected = [score(M.tokens(t)) for _, t in rows]
+    for piece in (2, 3, 50, M.PIECE, 10**6):
+        rounds.clear()
+        assert np.abs(a.walks(row, sizes, piece) - expected).max() < 1e-6
+        assert len(rounds) == min(piece + 2, sizes.max() - 1) and min(rounds) > 0
+    assert a.walks(row[:0], sizes[:0]).tolist() == []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in M.lm_score(docs, F.col("doc_id") % 5 != 0).collect():
+        assert abs(r["score"] - expected[r["doc_id"]]) < 1e-6
+
+
 @pytest.mark.parametrize("chunk", [40, M.CHUNK])
 def test_scores_by_brute_force(spark, chunk, monkeypatch):
     """All pairs and triples from two occurrences on, however texts fall into blocks."""

@@ -14,8 +14,9 @@ mass that is left.
    A bucket adds them up and answers each block in the order in which it asked; n-grams that are
    not kept are zeros. One of the blocks that hold a kept n-gram adds its discounted count to
    that of its history when histories are counted in the next round.
-3. A block makes the part of the automaton that its own words can reach, and walks each text from
-   left to right, with failure arcs wherever a word doesn't follow.
+3. A block makes the part of the automaton that its own words can reach, and walks its texts from
+   left to right, with failure arcs wherever a word doesn't follow. Many pieces of texts are walked
+   at once, a word of each at a time.
 
 N-grams so travel once, as about seven bytes, and are dealt by hashes alone, so no word or
 history is hot. Words are known by 128 bits, pairs and triples by 64.
@@ -46,6 +47,8 @@ ADDED = 0.1
 #: Tokens of a block, but for longer texts; a bucket has at most about twice as many n-grams.
 CHUNK = 500_000
 LEAST_BUCKETS = 48
+#: Words of a text that are walked one after another, while those of other pieces are walked beside them.
+PIECE = 128
 #: Ids of the start and the end of a text in each block; no word holds a space or is empty.
 START, END = 0, 1
 MARKS = (b" start", b"")
@@ -58,24 +61,67 @@ def tokens(text: str | None) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """A state is a multiple of the number of words. Arcs by state + word: log10 probability and next state; by state: failure weight and state."""
+    """States from 0 (no history) on, over words 0 to size - 1.
 
-    arcs: dict[int, tuple[float, int]]
-    fails: dict[int, tuple[float, int]]
+    Arcs in the order of their keys, which are state * size + word, with log10 probability and next
+    state; those of state 0 come first, one for each word. Of each state: the failure arc's weight
+    and its next state.
+    """
+
+    size: int
+    keys: np.ndarray
+    logs: np.ndarray
+    targets: np.ndarray
+    weights: np.ndarray
+    shorter: np.ndarray
     start: int
 
+    @property
+    def fails(self) -> dict[int, tuple[float, int]]:
+        """Failure weight and state of all states but the empty one."""
+        return {i + 1: x for i, x in enumerate(zip(self.weights[1:].tolist(), self.shorter[1:].tolist()))}
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and next states of one word from each state, over failure arcs where the word doesn't follow."""
+        states, arcs, total = states.copy(), words.copy(), np.zeros(len(words))
+        left = np.flatnonzero(states)
+        while len(left):
+            wanted = states[left] * self.size + words[left]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            there = self.keys[at] == wanted
+            arcs[left[there]] = at[there]
+            left = left[~there]
+            here = states[left]
+            total[left] += self.weights[here]
+            states[left] = self.shorter[here]
+            left = left[states[left] > 0]
+        return total + self.logs[arcs], self.targets[arcs]
+
+    def walks(self, row: np.ndarray, sizes: np.ndarray, piece: int = PIECE) -> np.ndarray:
+        """Sum over the words of each text in order; texts stand in `row` one after another, each after a mark of its start.
+
+        Texts are walked side by side in pieces of `piece` words, at least two. Two words determine the
+        state after them, so any piece but a text's first sets out two words early without a history.
+        """
+        ends = np.cumsum(sizes)
+        pieces = -(-(sizes - 1) // piece)
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = (ends - sizes + 1)[owner] + place * piece
+        early = np.where(place > 0, 2, 0)
+        lengths = np.minimum(first + piece, ends[owner]) - first + early
+        order = np.argsort(-lengths, kind="stable")
+        at, early, lengths = (first - early)[order], early[order], lengths[order]
+        states, total = np.where(early > 0, 0, self.start), np.zeros(len(order))
+        for n in range(lengths[0] if len(order) else 0):
+            live = np.searchsorted(-lengths, -n)  # those with over n words
+            logs, states = self.step(states[:live], row[at[:live] + n])
+            total[:live] += np.where(early[:live] > n, 0.0, logs)
+        return np.bincount(owner[order], total, len(sizes))
+
     def walk(self, words: list[int]) -> float:
         """Sum over the words in order, from the start of a text on."""
-        follow, fails, state, total = self.arcs.get, self.fails, self.start, 0.0
-        for w in words:
-            arc = follow(state + w)
-            while arc is None:
-                log, state = fails[state]
-                total += log
-                arc = follow(state + w)
-            log, state = arc
-            total += log
-        return total
+        return float(self.walks(np.array([START, *words]), np.array([len(words) + 1]))[0])
 
 
 def build(counts: np.ndarray, masses: np.ndarray, pairs: tuple[np.ndarray, ...], triples: tuple[np.ndarray, ...], total: int, distinct: int) -> Automaton:
@@ -95,18 +141,15 @@ def build(counts: np.ndarray, masses: np.ndarray, pairs: tuple[np.ndarray, ...],
     left2 = 1 - m / np.maximum(c, 1)
     triple = (c3 - DISCOUNT) / c[first] + left2[first] * double[second]
     # Histories without kept followers are no states.
-    word = np.where(masses > 0, np.arange(size) + 1, 0) * size
-    pair = np.where(m > 0, (np.arange(len(a)) + size + 1) * size, word[b])
-    keys = np.concatenate([np.arange(size), word[a] + b, pair[first] + w])
-    logs, targets = np.log10(np.concatenate([single, double, triple])), np.concatenate([word, pair, pair[second]])
     one, two = masses > 0, m > 0
-    states, fails = np.concatenate([word[one], pair[two]]), np.concatenate([np.zeros(one.sum(), np.int64), word[b[two]]])
-    weights = np.log10(np.concatenate([left[one], left2[two]]))
-    return Automaton(
-        dict(zip(keys.tolist(), zip(logs.tolist(), targets.tolist()))),
-        dict(zip(states.tolist(), zip(weights.tolist(), fails.tolist()))),
-        int(word[START]),
-    )
+    word = np.where(one, np.cumsum(one), 0)
+    pair = np.where(two, one.sum() + np.cumsum(two), word[b])
+    keys = np.concatenate([np.arange(size), word[a] * size + b, pair[first] * size + w])
+    order = np.argsort(keys)
+    logs, targets = np.log10(np.concatenate([single, double, triple])), np.concatenate([word, pair, pair[second]])
+    weights = np.log10(np.concatenate([[1.0], left[one], left2[two]]))
+    shorter = np.concatenate([np.zeros(1 + one.sum(), np.int64), word[b[two]]])
+    return Automaton(size, keys[order], logs[order], targets[order], weights, shorter, int(word[START]))
 
 
 @cache
@@ -367,13 +410,11 @@ def lm_score(docs: DataFrame, training: Column, text: str = "text", keep_text: b
         number[pairs] = np.arange(len(pairs))
         automaton = build(counts, masses, (row[at], row[at + 1], c2[pairs], m2[pairs]), (number[two.place[at3]], number[two.place[at3 + 1]], row[at3 + 2], c3[triples_]), train_tokens, distinct)
         ends = np.cumsum(block.sizes)
-        words, begins = row.tolist(), (ends - block.sizes).tolist()
-        score = [automaton.walk(words[x + 1 : y]) for x, y in zip(begins, ends.tolist())]
+        score = automaton.walks(row, block.sizes)
         real = row != START
         owner = np.repeat(np.arange(len(ends)), block.sizes)[real]
-        logs = np.array([automaton.arcs[w][0] for w in range(len(block.words))])
         sums = lambda x: np.bincount(owner, x, len(ends))
-        made = [block.sizes - 1, sums(counts[row[real]] > 0).astype(np.int64), np.full(len(ends), train_tokens), sums(logs[row[real]]), score]
+        made = [block.sizes - 1, sums(counts[row[real]] > 0).astype(np.int64), np.full(len(ends), train_tokens), sums(automaton.logs[row[real]]), score]
         table = pa.ipc.open_stream(kept).read_all()
         arrays = [*table.columns[1:], *[pa.array(x, k) for x, k in zip(made, kinds[len(passed) :])]]
         return pa.table(arrays, names=[f.name for f in fields])
